@@ -2,10 +2,10 @@
 
 Texts are cut to pre-tokens in blocks of bounded size. A block keeps, for each
 document, the sequence of its pre-tokens as places in the block's dictionary;
-only the dictionary's words travel. They are shuffled and sorted by the word, so
-that each distinct word meets one task, is encoded there once, and its ids go
-back to each block that holds it, where documents are put together by position.
-A very frequent word is one row per block, never one row per occurrence.
+only the dictionary's words travel. They are shuffled in buckets of the word's
+hash, so that each distinct word meets one task, is encoded there once, and its
+ids go back to each block that holds it, where documents are put together by
+position. A very frequent word is one word per block, never one per occurrence.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,6 @@ from . import pretokens
 from .common import binary_array, cut, resource, table, text_blocks, text_view, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Rows of words that a task gathers before it hands their ids back, block by block.
-GATHER = 200_000
 
 
 @functools.cache
@@ -70,64 +69,81 @@ def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[n
     return values[take], at
 
 
-def _cut_blocks(batches):
-    """One row per document, and one with the block's distinct pre-tokens."""
-    part, n = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
-    for block in text_blocks(batches, "text"):
-        data, off = text_view(block.column("text"))
-        at = pretokens.starts(data, off)
-        code = binary_array(data, np.append(at, len(data))).dictionary_encode()
-        place = code.indices.to_numpy(zero_copy_only=False)
-        doc = np.searchsorted(at, off)
-        number = (part << 33) | n
-        n += 1
-        rows = block.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([number] * (rows + 1), pa.int64()), pa.concat_arrays([block.column("doc_id").combine_chunks(), pa.nulls(1, block.column("doc_id").type)]) if rows else block.column("doc_id"), pa.array([pack(place[a:b]) for a, b in zip(doc[:-1], doc[1:], strict=True)] + [None], pa.binary()), pa.array([None] * rows + [code.dictionary.to_pylist()], pa.list_(pa.binary()))],
-            names=["block", "doc_id", "places", "words"],
-        )
+def pack_words(words: list[bytes]) -> bytes:
+    """Words as one zstd frame: their number and lengths, then their bytes."""
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words))
 
 
-def _encode_words(path: str):
+def unpack_words(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    at = (4 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)])).tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _cut_blocks(buckets: int):
+    """A row per document, and a row for each bucket of the block's distinct pre-tokens.
+
+    The dictionary is ordered by bucket and word, so a place in it needs no number on the way.
+    """
+
     def run(batches):
-        enc, last, ids = _encoder(path), None, b""
-        block, place, out = [], [], []
-
-        def flush():
-            b, p = np.array(block, np.int64), np.array(place, np.int32)
-            size = np.array([len(x) // 4 for x in out], np.int32)
-            flat, off = np.frombuffer(b"".join(out), "<u4"), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-            order = np.argsort(b, kind="stable")
-            edge = np.flatnonzero(np.diff(b[order])) + 1
-            groups = np.split(order, edge)
-            made = [(int(b[g[0]]), pack(p[g]), pack(size[g]), pack(ragged(flat, off, g)[0])) for g in groups]
-            block.clear(), place.clear(), out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), *(pa.array([m[k] for m in made], pa.binary()) for k in (1, 2, 3))], names=["block", "places", "sizes", "ids"])
+        part, n = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
+        for block in text_blocks(batches, "text"):
+            data, off = text_view(block.column("text"))
+            at = pretokens.starts(data, off)
+            code = binary_array(data, np.append(at, len(data))).dictionary_encode()
+            words = code.dictionary.to_pylist()
+            keys = [(zlib.crc32(w) % buckets, w) for w in words]
+            order = sorted(range(len(words)), key=keys.__getitem__)
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words))
+            seq = place[code.indices.to_numpy(zero_copy_only=False)]
+            of = np.array([keys[i][0] for i in order], np.int32)
+            edge = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else [0]
+            packed = [pack_words([words[i] for i in order[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            doc = np.searchsorted(at, off)
+            number = (part << 33) | n
+            n += 1
+            rows, own = block.num_rows, block.column("doc_id").combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number] * (rows + len(packed)), pa.int64()), pa.array([None] * rows + [int(of[a]) for a in edge[:-1]], pa.int32()), pa.concat_arrays([own, pa.nulls(len(packed), own.type)]), pa.array([pack(seq[a:b]) for a, b in zip(doc[:-1], doc[1:], strict=True)] + packed, pa.binary())],
+                names=["block", "bucket", "doc_id", "packed"],
+            )
 
+    return run
+
+
+def _encode_words(path: str):
+    """Ids of each row of packed words. Rows of a bucket come one after another; each word is encoded once."""
+
+    def run(batches):
+        enc, bucket, known = _encoder(path), None, {}
         for batch in batches:
-            block += batch.column("block").to_pylist()
-            place += batch.column("place").to_pylist()
-            for w in batch.column("word").to_pylist():
-                if w != last:
-                    last, ids = w, np.array(enc._encode_single_piece(w), "<u4").tobytes()
-                out.append(ids)
-            if len(block) >= GATHER:
-                yield flush()
-        if block:
-            yield flush()
+            sizes, ids = [], []
+            for k, data in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if k != bucket:
+                    bucket, known = k, {}
+                made = []
+                for w in unpack_words(data):
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = np.array(enc._encode_single_piece(w), "<u4").tobytes()
+                    made.append(got)
+                sizes.append(pack(np.array([len(x) // 4 for x in made], np.uint32)))
+                ids.append(pack(np.frombuffer(b"".join(made), "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "bucket", "sizes", "ids"])
 
     return run
 
 
 def _assemble(words: pa.Table, docs: pa.Table) -> pa.Table:
     """The ids of a block's documents, by position."""
-    parts = [[unpack(x) for x in words.column(c).to_pylist()] for c in ("places", "sizes", "ids")]
-    place, size, ids = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in parts)
+    words = words.sort_by("bucket")
+    size, ids = (np.concatenate([unpack(x) for x in words.column(c).to_pylist()] or [np.zeros(0, np.uint32)]) for c in ("sizes", "ids"))
     off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    row = np.empty(len(place), np.int64)
-    row[place] = np.arange(len(place))
-    seqs = [unpack(x) for x in docs.column("places").to_pylist()]
-    flat, at = ragged(ids, off, row[np.concatenate(seqs)] if seqs and len(place) else np.zeros(0, np.int64))
+    seqs = [unpack(x) for x in docs.column("packed").to_pylist()]
+    flat, at = ragged(ids, off, np.concatenate(seqs) if seqs else np.zeros(0, np.int64))
     ends = at[np.concatenate([[0], np.cumsum([len(s) for s in seqs], dtype=np.int64)])]
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
     return pa.table({"doc_id": docs.column("doc_id"), "ids": lists})
@@ -144,11 +160,12 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tune(spark)
     kind = docs.schema[id_col].dataType
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_id", kind), T.StructField("places", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
-    blocks = cut(held.mapInArrow(_cut_blocks, schema), "bpe-blocks")
-    words = blocks.where(F.col("words").isNotNull()).select("block", F.posexplode("words").alias("place", "word")).repartition("word").sortWithinPartitions("word")
-    coded = words.mapInArrow(_encode_words(path), "block long, places binary, sizes binary, ids binary")
-    rows = blocks.where(F.col("places").isNotNull()).select("block", "doc_id", "places")
+    buckets = max(64, min(65_536, 4 * held.rdd.getNumPartitions()))
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("doc_id", kind), T.StructField("packed", T.BinaryType())])
+    blocks = cut(held.mapInArrow(_cut_blocks(buckets), schema), "bpe-blocks")
+    words = blocks.where(F.col("bucket").isNotNull()).select("block", "bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
+    coded = words.mapInArrow(_encode_words(path), "block long, bucket int, sizes binary, ids binary")
+    rows = blocks.where(F.col("bucket").isNull()).select("block", "doc_id", "packed")
     return coded.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_assemble, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
