@@ -25,9 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .common import binary_array, cut, resource, table, text_blocks, text_view, tune
+from .common import binary_array, resource, table, text_blocks, text_view, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Ranks by frequency in a block at which the next tier of its dictionary begins.
+TIERS = (255, 4096)
+#: Bytes of text in a block: the larger, the fewer words are held by several blocks.
+BLOCK_BYTES = 12 << 20
 
 
 @functools.cache
@@ -81,47 +85,75 @@ def unpack_words(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Places with one byte for the most frequent words and four planes for others."""
+    rare = places >= TIERS[0]
+    return zstandard.ZstdCompressor(level=3).compress(np.where(rare, 255, places).astype(np.uint8).tobytes() + places[rare].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_places(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    out = raw[:n].astype(np.uint32)
+    out[raw[:n] == 255] = np.ascontiguousarray(raw[n:].reshape(4, -1).T).view("<u4").ravel()
+    return out
+
+
 def _cut_blocks(buckets: int):
-    """A row per document, and a row for each bucket of the block's distinct pre-tokens.
+    """A row with the block's documents, and rows of its distinct pre-tokens by tier and bucket.
 
-    The dictionary is ordered by bucket and word, so a place in it needs no number on the way.
+    The dictionary is ordered by tier, bucket and word, so a place in it needs no number on the way.
     """
 
     def run(batches):
         part, n = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
-        for block in text_blocks(batches, "text"):
+        for block in text_blocks(batches, "text", BLOCK_BYTES):
             data, off = text_view(block.column("text"))
             at = pretokens.starts(data, off)
             code = binary_array(data, np.append(at, len(data))).dictionary_encode()
-            words = code.dictionary.to_pylist()
-            keys = [(zlib.crc32(w) % buckets, w) for w in words]
-            order = sorted(range(len(words)), key=keys.__getitem__)
+            seq, words = code.indices.to_numpy(zero_copy_only=False), code.dictionary
+            size = np.diff(np.searchsorted(at, off))
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")] = np.arange(len(words))
+            bucket = np.array([zlib.crc32(w) for w in words.to_pylist()], np.int64) % buckets
+            group = np.searchsorted(TIERS, rank, "right") * buckets + bucket
+            order = pc.sort_indices(words).to_numpy().astype(np.int64)
+            order = order[np.argsort(group[order], kind="stable")]
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words))
-            seq = place[code.indices.to_numpy(zero_copy_only=False)]
-            of = np.array([keys[i][0] for i in order], np.int32)
-            edge = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else [0]
-            packed = [pack_words([words[i] for i in order[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            doc = np.searchsorted(at, off)
-            number = (part << 33) | n
-            n += 1
-            rows, own = block.num_rows, block.column("doc_id").combine_chunks()
+            group, words = group[order], words.take(pa.array(order)).to_pylist()
+            edge = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else [0]
+            packed = [pack_words(words[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            own = block.column("doc_id").combine_chunks()
+            ids = pa.ListArray.from_arrays(pa.array([0] + [block.num_rows] * (len(packed) + 1), pa.int32()), own)
+            first = [int(group[a]) for a in edge[:-1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * (rows + len(packed)), pa.int64()), pa.array([None] * rows + [int(of[a]) for a in edge[:-1]], pa.int32()), pa.concat_arrays([own, pa.nulls(len(packed), own.type)]), pa.array([pack(seq[a:b]) for a, b in zip(doc[:-1], doc[1:], strict=True)] + packed, pa.binary())],
-                names=["block", "bucket", "doc_id", "packed"],
+                [
+                    pa.array([(part << 33) | n] * (len(packed) + 1), pa.int64()),
+                    pa.array([None, *(x // buckets for x in first)], pa.int32()),
+                    pa.array([None, *(x % buckets for x in first)], pa.int32()),
+                    ids,
+                    pa.array([size.astype(np.int32).tolist()] + [None] * len(packed), pa.list_(pa.int32())),
+                    pa.array([pack_places(place[seq]), *packed], pa.binary()),
+                ],
+                names=["block", "tier", "bucket", "doc_ids", "sizes", "packed"],
             )
+            n += 1
 
     return run
 
 
 def _encode_words(path: str):
-    """Ids of each row of packed words. Rows of a bucket come one after another; each word is encoded once."""
+    """Puts ids in place of packed words. Rows of a bucket come one after another; each word is encoded once."""
 
     def run(batches):
         enc, bucket, known = _encoder(path), None, {}
         for batch in batches:
             sizes, ids = [], []
-            for k, data in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            for k, data, own in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+                if k is None:
+                    sizes.append(own)
+                    ids.append(data)
+                    continue
                 if k != bucket:
                     bucket, known = k, {}
                 made = []
@@ -130,23 +162,26 @@ def _encode_words(path: str):
                     if got is None:
                         got = known[w] = np.array(enc._encode_single_piece(w), "<u4").tobytes()
                     made.append(got)
-                sizes.append(pack(np.array([len(x) // 4 for x in made], np.uint32)))
-                ids.append(pack(np.frombuffer(b"".join(made), "<u4")))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "bucket", "sizes", "ids"])
+                sizes.append(None)
+                ids.append(pack(np.concatenate([[len(made)], np.array([len(x) // 4 for x in made]), np.frombuffer(b"".join(made), "<u4")])))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("block", "tier", "bucket", "doc_ids")] + [pa.array(sizes, pa.list_(pa.int32())), pa.array(ids, pa.binary())], names=batch.schema.names)
 
     return run
 
 
-def _assemble(words: pa.Table, docs: pa.Table) -> pa.Table:
+def _assemble(rows: pa.Table) -> pa.Table:
     """The ids of a block's documents, by position."""
-    words = words.sort_by("bucket")
-    size, ids = (np.concatenate([unpack(x) for x in words.column(c).to_pylist()] or [np.zeros(0, np.uint32)]) for c in ("sizes", "ids"))
+    docs = rows.filter(pc.is_null(rows.column("bucket")))
+    words = rows.filter(pc.is_valid(rows.column("bucket"))).sort_by([("tier", "ascending"), ("bucket", "ascending")])
+    parts = [unpack(x) for x in words.column("packed").to_pylist()]
+    size = np.concatenate([x[1 : x[0] + 1] for x in parts] or [np.zeros(0, np.uint32)])
+    ids = np.concatenate([x[x[0] + 1 :] for x in parts] or [np.zeros(0, np.uint32)])
     off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    seqs = [unpack(x) for x in docs.column("packed").to_pylist()]
-    flat, at = ragged(ids, off, np.concatenate(seqs) if seqs else np.zeros(0, np.int64))
-    ends = at[np.concatenate([[0], np.cumsum([len(s) for s in seqs], dtype=np.int64)])]
+    each = np.array(docs.column("sizes")[0].as_py(), np.int64)
+    flat, at = ragged(ids, off, unpack_places(docs.column("packed")[0].as_py(), int(each.sum())))
+    ends = at[np.concatenate([[0], np.cumsum(each)])]
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": lists})
+    return pa.table({"doc_id": docs.column("doc_ids")[0].values, "ids": lists})
 
 
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -161,12 +196,10 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = max(64, min(65_536, 4 * held.rdd.getNumPartitions()))
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("doc_id", kind), T.StructField("packed", T.BinaryType())])
-    blocks = cut(held.mapInArrow(_cut_blocks(buckets), schema), "bpe-blocks")
-    words = blocks.where(F.col("bucket").isNotNull()).select("block", "bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
-    coded = words.mapInArrow(_encode_words(path), "block long, bucket int, sizes binary, ids binary")
-    rows = blocks.where(F.col("bucket").isNull()).select("block", "doc_id", "packed")
-    return coded.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_assemble, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("tier", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())])
+    blocks = held.mapInArrow(_cut_blocks(buckets), schema).repartition(F.coalesce("bucket", "block")).sortWithinPartitions("bucket")
+    coded = blocks.mapInArrow(_encode_words(path), schema)
+    return coded.groupBy("block").applyInArrow(_assemble, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def _lists(arr) -> tuple[np.ndarray, np.ndarray]:
