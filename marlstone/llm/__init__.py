@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "decontam", "prefix_counts")
+MODULES = ("bpe", "decontam", "quality_rules", "prefix_counts")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
