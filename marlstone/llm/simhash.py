@@ -289,9 +289,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """One row of each component, that of the least id (of repeated ids, the first by all columns)."""
     ids = components(docs, id_col, text_col, tau)
-    kept = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "doc_id").agg(F.min("fp").alias("fp"))
-    held = docs.join(kept.select(F.col("doc_id").alias(f"{id_col}_kept")), F.col(id_col).eqNullSafe(F.col(f"{id_col}_kept")), "left_semi")
-    return held.groupBy(F.col(id_col).alias("_key")).agg(F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("_row")).select("_row.*")
+    kept = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = cut(kept, "simhash-kept").withColumnsRenamed({"doc_id": "kept_id", "n": "kept_rows"})
+    of = lambda rows: docs.alias("d").join(rows, F.col(f"d.{id_col}").eqNullSafe(F.col("kept_id")), "left_semi")
+    once, more = kept.where("kept_rows = 1"), kept.where("kept_rows > 1")
+    if more.isEmpty():
+        return of(once)
+    first = of(more).groupBy(F.col(id_col).alias("kept_id")).agg(F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("kept_row"))
+    return of(once).unionByName(first.select("kept_row.*"))
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
