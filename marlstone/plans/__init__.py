@@ -1,4 +1,4 @@
 """Named queries over the tables."""
 
-from . import series_queries, table_queries  # noqa: F401
+from . import check_queries, series_queries, service_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
