@@ -305,4 +305,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array(c["items"]), ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"))
 
 
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT id, least(10, len(w)) AS m, w[k:k + least(10, len(w)) - 1] AS win FROM i, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(k) WHERE len(w) > 0),
+ms AS (SELECT DISTINCT m FROM iw),
+dw AS (SELECT r, k, m, w[k:k + m - 1] AS win FROM d, ms, unnest(range(1, greatest(len(w) - m + 2, 1))) AS t(k)),
+hit AS (SELECT r, k, m, id FROM dw JOIN iw USING (m, win)),
+n AS (SELECT r, count(DISTINCT k + j) AS n_hit FROM hit, unnest(range(0, m)) AS t(j) GROUP BY r),
+it AS (SELECT r, count(DISTINCT id) AS n_items, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)
+"""
+
 QUERIES = {"op3_decontamination": op3_decontamination}
+ORACLES = {"op3_decontamination": SQL}

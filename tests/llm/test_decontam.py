@@ -64,3 +64,13 @@ def test_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination(docs, none).first().contamination.n_hit == 0
     assert decontam.contamination(docs.limit(0), none).count() == 0
+
+
+def test_against_sql(spark):
+    import duckdb
+
+    d, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    got = {tuple(r) for r in decontam.op3_decontamination(spark, d).collect()}
+    assert got == set(con.sql(decontam.SQL).fetchall()) and any(r[-1] for r in got)
