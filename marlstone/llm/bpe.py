@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .common import binary_array, resource, table, text_blocks, text_view, tune
+from .common import binary_array, resource, table, text_blocks, text_view, tidy, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Ranks by frequency in a block at which the next tier of its dictionary begins.
@@ -108,7 +108,7 @@ def _cut_blocks(buckets: int):
         part, n = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
         for block in text_blocks(batches, "text", BLOCK_BYTES):
             data, off = text_view(block.column("text"))
-            at = pretokens.starts(data, off)
+            at = pretokens.starts_by_steps(data, off)
             code = binary_array(data, np.append(at, len(data))).dictionary_encode()
             seq, words = code.indices.to_numpy(zero_copy_only=False), code.dictionary
             size = np.diff(np.searchsorted(at, off))
@@ -197,9 +197,9 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = max(64, min(65_536, 4 * held.rdd.getNumPartitions()))
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("tier", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())])
-    blocks = held.mapInArrow(_cut_blocks(buckets), schema).repartition(F.coalesce("bucket", "block")).sortWithinPartitions("bucket")
-    coded = blocks.mapInArrow(_encode_words(path), schema)
-    return coded.groupBy("block").applyInArrow(_assemble, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    blocks = held.mapInArrow(tidy(_cut_blocks(buckets)), schema).repartition(F.coalesce("bucket", "block")).sortWithinPartitions("bucket")
+    coded = blocks.mapInArrow(tidy(_encode_words(path)), schema)
+    return coded.groupBy("block").applyInArrow(tidy(_assemble), T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def _lists(arr) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +225,7 @@ def bpe_decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
             yield pa.RecordBatch.from_arrays([b.column(0), decode_ids(pc.if_else(pc.is_null(b.column(1)), pa.scalar([], b.column(1).type), b.column(1)) if b.column(1).null_count else b.column(1), path).cast(pa.binary())], names=["doc_id", "bytes"])
 
     schema = T.StructType([T.StructField("doc_id", tokens.schema[id_col].dataType), T.StructField("bytes", T.BinaryType())])
-    return tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, schema)
+    return tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(run), schema)
 
 
 def token_digests(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -243,7 +243,7 @@ def token_digests(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(said), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([T.StructField("doc_id", tokens.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(tidy(run), schema)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

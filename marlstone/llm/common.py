@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import os
 import tempfile
 import uuid
@@ -48,6 +51,43 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except AttributeError:  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back, for workers stay when their task has ended."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidy(f):
+    """A worker's function that gives freed memory back when it ends."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(*args):
+            try:
+                yield from f(*args)
+            finally:
+                release()
+
+    else:
+
+        @functools.wraps(f)
+        def run(*args):
+            try:
+                return f(*args)
+            finally:
+                release()
+
+    return run
+
+
 def text_view(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in one buffer, and len + 1 offsets into it; null reads as empty."""
     if isinstance(arr, pa.ChunkedArray):

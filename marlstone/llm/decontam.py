@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut, table, text_blocks, text_view, tune
+from .common import cut, table, text_blocks, text_view, tidy, tune
 
 WINDOW = 10
 #: Rows of benchmark fingerprints and windows, 16 bytes each and the items' ids, that may be broadcast.
@@ -140,7 +140,7 @@ def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["length", "kind", "hash", "item"])
 
     rows = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "length int, kind string, hash long, item string").distinct()
+    return rows.mapInArrow(tidy(run), "length int, kind string, hash long, item string").distinct()
 
 
 class Index:
@@ -219,6 +219,7 @@ def _by_broadcast(docs: DataFrame, rows: DataFrame, text_col: str, out: str) ->
     held = docs.sparkSession.sparkContext.broadcast(Index(rows.toArrow()))
 
     @arrow_udf(KIND)
+    @tidy
     def mark(texts: pa.Array) -> pa.Array:
         parts = []
         for b in text_blocks([pa.RecordBatch.from_arrays([texts], names=["t"])], "t", STEP_BYTES):
@@ -257,9 +258,9 @@ def _by_shuffle(docs: DataFrame, rows: DataFrame, text_col: str, out: str, lengt
                     h = grams(words, m, _M3)[s].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([b.column("row")[i].as_py()] * len(s), pa.int64()), pa.array([m] * len(s), pa.int32()), pa.array(h), pa.array(s.astype(np.int32))], names=["row", "length", "hash", "start"])
 
-    met = texts.mapInArrow(prints, "row long, length int, hash long, at int").join(rows.where("kind = 'f'").select("length", "hash"), ["length", "hash"], "left_semi")
+    met = texts.mapInArrow(tidy(prints), "row long, length int, hash long, at int").join(rows.where("kind = 'f'").select("length", "hash"), ["length", "hash"], "left_semi")
     met = met.groupBy("row").agg(F.collect_list(F.struct("length", "at")).alias("met"))
-    hit = cut(met.join(texts, "row").select("row", "text", "met").mapInArrow(extend, "row long, length int, hash long, start int").join(rows.where("kind = 'w'").select("length", "hash", "item"), ["length", "hash"]).select("row", "start", (F.col("start") + F.col("length")).alias("end"), "item"), "decontam-hits")
+    hit = cut(met.join(texts, "row").select("row", "text", "met").mapInArrow(tidy(extend), "row long, length int, hash long, start int").join(rows.where("kind = 'w'").select("length", "hash", "item"), ["length", "hash"]).select("row", "start", (F.col("start") + F.col("length")).alias("end"), "item"), "decontam-hits")
     spans = hit.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"))
     merged = F.expr("""aggregate(all, cast(array() as array<struct<start:int,end:int>>), (a, x) ->
         case when size(a) > 0 and x.start <= element_at(a, -1).end

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import pretokens
 from .bpe import ragged
-from .common import binary_array, new_path, resource, table, text_blocks, text_view, tune
+from .common import binary_array, new_path, resource, table, text_blocks, text_view, tidy, tune
 from .warc import file_system
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -331,7 +331,7 @@ def write_ids(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    files = ordered.mapInArrow(_writer(root, path or resource(TOKENIZER), end_id, file_ids), "part long, roll long, file string, docs long, ids long, bytes long")
+    files = ordered.mapInArrow(tidy(_writer(root, path or resource(TOKENIZER), end_id, file_ids)), "part long, roll long, file string, docs long, ids long, bytes long")
     listed = sorted(files.collect(), key=lambda r: (r.part, r.roll))  # a row per file
     fs, at = file_system(root)
     fs.create_dir(at, recursive=True)
@@ -359,7 +359,7 @@ def _each_file(spark: SparkSession, root: str, make, schema: str) -> DataFrame:
                     names, sizes, ids = from_file(f.read())
                 yield from make(names, first + np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, ids)
 
-    return spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows))).mapInArrow(run, schema)
+    return spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows))).mapInArrow(tidy(run), schema)
 
 
 def read_ids(spark: SparkSession, root: str) -> DataFrame:

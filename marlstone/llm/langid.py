@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import crc_mod, table, text_view, tune
+from .common import crc_mod, table, text_view, tidy, tune
 from .features import bounded_sample, by_steps, ngram_counts, unit_rows
 
 WIDTH = 4096
@@ -120,7 +120,7 @@ def fit_model(rows: DataFrame, families: dict[str, str] = FAMILIES, per_language
             for at, x in zip(range(0, b.num_rows, 64), (features(*text_view(b.column("text").slice(a, 64))) for a in range(0, b.num_rows, 64)), strict=True):
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(at, 64), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = some.mapInArrow(run, "lang string, x binary").toArrow()
+    got = some.mapInArrow(tidy(run), "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
@@ -137,6 +137,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", out:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    @tidy
     def run(texts: pa.Array) -> pa.Array:
         def step(data, off, part):
             letters = np.array([t is not None and any(map(str.isalpha, t)) for t in part.to_pylist()], bool)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import crc_mod, table, text_view, tune
+from .common import crc_mod, table, text_view, tidy, tune
 from .decontam import grams, inner, word_hashes
 from .features import bounded_sample, by_steps, ngram_counts, unit_rows
 
@@ -98,7 +98,7 @@ def fit_space(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rank
                 x = terms(*text_view(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("quality").cast(pa.int32()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["quality", "x"])
 
-    got = some.mapInArrow(run, "quality int, x binary").toArrow()
+    got = some.mapInArrow(tidy(run), "quality int, x binary").toArrow()
     if not got.num_rows:
         return None
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, WIDTH + len(REPEATS) + 1).astype(np.float32)
@@ -115,6 +115,7 @@ def quality_score(docs: DataFrame, space: Space | None, text_col: str = "text",
     held = docs.sparkSession.sparkContext.broadcast(space)
 
     @arrow_udf(T.DoubleType())
+    @tidy
     def run(texts: pa.Array) -> pa.Array:
         def step(data, off, part):
             if held.value is None:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import binary_array, resource, table, text_blocks, text_view, tune
+from .common import binary_array, resource, table, text_blocks, text_view, tidy, tune
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -133,6 +133,7 @@ def token_count(text_col, path: str | None = None):
     path = path or resource(MODEL)
 
     @arrow_udf(T.LongType())
+    @tidy
     def count(texts: pa.Array) -> pa.Array:
         parts = [count_block(b.column("t"), path) for b in text_blocks([pa.RecordBatch.from_arrays([texts], names=["t"])], "t", STEP_BYTES)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
@@ -149,6 +150,7 @@ def prefix_counts(docs: DataFrame, text_col: str = "text", out: str = "prefix_to
     tune(docs.sparkSession)
 
     @arrow_udf(T.ArrayType(T.IntegerType()))
+    @tidy
     def run(texts: pa.Array) -> pa.Array:
         c, rows = counter(path), []
         for t in pc.fill_null(texts, "").to_pylist():

@@ -91,3 +91,13 @@ def starts(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
         rest = hit & (size > cut)
         out[at[rest] + cut[rest]] = True
     return np.flatnonzero(out)
+
+
+def starts_by_steps(data: np.ndarray, docs: np.ndarray, step: int = 2 << 20) -> np.ndarray:
+    """As ``starts``, some texts at a time, so that its arrays stay small beside the block."""
+    parts, a = [], 0
+    while a < len(docs) - 1:
+        b = max(a + 1, int(np.searchsorted(docs, docs[a] + step, "right")) - 1)
+        parts.append(starts(data[docs[a] : docs[b]], docs[a : b + 1] - docs[a]) + docs[a])
+        a = b
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut, table, tune
+from .common import cut, table, tidy, tune
 
 BITS, TAU, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints from which pairs are estimated; nothing else depends on the sample.
@@ -54,6 +54,7 @@ def fingerprint(text: str | None) -> int:
 
 
 @arrow_udf(T.LongType())
+@tidy
 def fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
@@ -216,7 +217,7 @@ def links(prints: DataFrame, tau: int = TAU, sample_rows: int = SAMPLE, chunk: i
     n = prints.count()
     few = prints.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(max(1, n // sample_rows))) == 0).limit(4 * sample_rows)
     parts = plan(np.array([r.fp for r in few.select("fp").collect()], np.int64).view(np.uint64), n, tau)
-    rows = prints.select("fp").mapInArrow(_probe(parts), "part int, key long, query int, fp long")
+    rows = prints.select("fp").mapInArrow(tidy(_probe(parts)), "part int, key long, query int, fp long")
     large = cut(rows.where("query != 1").groupBy("part", "key").count().where(F.col("count") > chunk), "simhash-large")
     hot = large.count()  # n * parts / chunk at most
     large = large.withColumn("blocks", F.ceil(F.col("count") / chunk).cast("int")).drop("count")
@@ -234,7 +235,7 @@ def links(prints: DataFrame, tau: int = TAU, sample_rows: int = SAMPLE, chunk: i
         rows = rows.select("part", "key", F.lit(0).alias("row"), F.lit(0).alias("col"), "query", "fp")
     rows = rows.repartition("part", "key", "row", "col").sortWithinPartitions("part", "key", "row", "col")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return rows.mapInArrow(_verify(tau), "a long, b long")
+    return rows.mapInArrow(tidy(_verify(tau)), "a long, b long")
 
 
 def roots(edges: DataFrame, rounds: int = 40) -> DataFrame:
