@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, tune
+from .common import new_path, table, tidy, tune
 
 #: Compressed bytes after which a file is closed; the record at the limit is still in it.
 ROLL_BYTES = 32 << 20
@@ -69,22 +69,26 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """``page_id, url, html, payload_bytes, payload_digest, refers_to, original_url``.
+def payloads(pages: DataFrame) -> DataFrame:
+    """``page_id, url, html, payload_bytes, payload_digest``; a null html is an empty payload."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1("html"))
 
-    A null html is an empty payload. Of equal payloads of ``least`` bytes or more the
-    one with the largest page_id stands, the others refer to it; null ids come last,
-    and of rows that repeat that id each stands. Equal payloads that fill many rows are met by salted keys.
+
+def revisits(rows: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """``page_id, payload_digest, refers_to, original_url`` of pages that refer to another.
+
+    Of equal payloads of ``least`` bytes or more the one with the largest page_id
+    stands, the others refer to it; null ids come last, and of rows that repeat the
+    standing id each stands. Payloads travel as digests; a digest that fills many
+    rows is met by salted keys.
     """
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1("html"))
-    twice = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("o"), F.count("*").alias("n")).where("n > 1")
-    twice = twice.select(F.col("payload_digest").alias("d"), F.col("o.page_id").alias("o_id"), F.col("o.url").alias("o_url"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    salted = rows
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    met = salted.join(twice, (salted.payload_digest == twice.d) & (salted.salt == twice.s) & (salted.payload_bytes >= least), "left")
-    other = F.col("o_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("o_id"))
-    return met.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(other, F.col("o_id")).alias("refers_to"), F.when(other, F.col("o_url")).alias("original_url"))
+    keys = rows.where(F.col("payload_bytes") >= least).select("page_id", "url", "payload_digest")
+    twice = keys.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("o"), F.count("*").alias("n")).where("n > 1 and o.page_id is not null")
+    twice = twice.select("payload_digest", "o", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = keys.select("page_id", "payload_digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
+    met = salted.join(twice, ["payload_digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("o.page_id")))
+    return met.select("page_id", "payload_digest", F.col("o.page_id").alias("refers_to"), F.col("o.url").alias("original_url"))
 
 
 def _writer(root: str, roll: int):
@@ -93,7 +97,7 @@ def _writer(root: str, roll: int):
         fs.create_dir(at, recursive=True)
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        out, n, done = None, 0, []
+        out, n, done, told = None, 0, [], (None, None)
 
         def close():
             nonlocal out, n
@@ -107,6 +111,10 @@ def _writer(root: str, roll: int):
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", "original_url")]
             for page, url, html, length, digest, refers, original in zip(*cols, strict=True):
+                if html is None:  # what is known of the pages that follow
+                    told = (page, digest), (refers, original)
+                    continue
+                refers, original = told[1] if told[0] == (page, digest) else (None, None)
                 data = member(record(page, url, html.encode() if refers is None else b"", length, digest, refers, original))
                 if out is None:
                     temp = f"{at}/.part-{part:05d}-{n:05d}-{attempt}.tmp"
@@ -129,8 +137,12 @@ def write_warc(pages: DataFrame, root: str, roll: int = ROLL_BYTES, least: int =
     An empty table gives a manifest without files. Other columns are not read.
     """
     tune(pages.sparkSession)
-    ordered = with_revisits(pages, least).repartitionByRange("page_id", "url", "payload_digest").sortWithinPartitions("page_id", "url", "payload_digest")
-    files = ordered.mapInArrow(_writer(root, roll), "part long, roll long, file string, bytes long, records long, crc32 long")
+    rows = payloads(pages)
+    known = revisits(rows, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(None).cast("long").alias("payload_bytes"), "payload_digest", "refers_to", "original_url")
+    both = rows.withColumns({"refers_to": F.lit(None).cast("long"), "original_url": F.lit(None).cast("string")}).unionByName(known)
+    # a page and what is known of it meet in one range; payloads are shuffled once
+    ordered = both.repartitionByRange("page_id", "payload_digest").sortWithinPartitions("page_id", "payload_digest", F.col("html").isNotNull(), "url")
+    files = ordered.mapInArrow(tidy(_writer(root, roll)), "part long, roll long, file string, bytes long, records long, crc32 long")
     # one row per file; a file holds tens of megabytes
     rows = sorted(files.collect(), key=lambda r: (r.part, r.roll))
     fs, at = file_system(root)
@@ -203,7 +215,7 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     listed = spark.createDataFrame([(f["file"],) for f in files], "file string").repartition(max(1, len(files)))
-    return listed.mapInArrow(run, schema)
+    return listed.mapInArrow(tidy(run), schema)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
