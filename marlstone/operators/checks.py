@@ -120,3 +120,64 @@ def anomaly_delta(now: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
 
 def before(column: Column, keys: list[str], order: str) -> Column:
     return F.lag(column).over(Window.partitionBy(*keys).orderBy(order))
+
+
+def signed_chain(base: Column, parts: list[Column], target: Column, tol: float = 3.0, rel: float = 5e-5) -> Column:
+    """Whether parts lead from base to target, read as signed or as magnitudes to subtract; skip if one is null."""
+    missing = base.isNull() | target.isNull()
+    signed, plain = base, base
+    for p in parts:
+        missing = missing | p.isNull()
+        signed, plain = signed + p, plain - F.abs(p)
+    slack = tolerance(target, tol, rel)
+    return F.when(missing, "skip").when((F.abs(signed - target) <= slack) | (F.abs(plain - target) <= slack), "pass").otherwise("fail")
+
+
+def roll_forward(opening: Column, flows: list[Column], closing: Column, tol: float = 3.0, rel: float = 5e-5) -> Column:
+    """opening + flows = closing."""
+    total = opening
+    for f in flows:
+        total = total + f
+    return verdict(total, closing, tol, rel)
+
+
+def in_band(value: Column, low: float, high: float) -> Column:
+    return F.when(value.isNull(), "skip").when(value.between(low, high), "pass").otherwise("fail")
+
+
+def collapses(df: DataFrame, keys: list[str], order: str, value: str, was: float, now: float) -> DataFrame:
+    """Values at least ``was`` at the position before that fall under ``now``."""
+    before = df.select(*keys, (F.col(order) + 1).alias(order), F.col(value).alias("before"))
+    return df.join(before, [*keys, order]).where((F.col("before") >= was) & (F.col(value) < now))
+
+
+def seam(old: DataFrame, new: DataFrame, keys: list[str], line: str, value: str, least: int = 3, share: float = 0.6) -> DataFrame:
+    """Statement by statement: lines new, lines gone, and the power of ten if most lines moved by one."""
+    a, b = old.select(*keys, line, F.col(value).alias("a")), new.select(*keys, line, F.col(value).alias("b"))
+    got = a.join(b, [*keys, line], "full")
+    log = F.log10(F.when((F.col("a") != 0) & (F.col("b") != 0), F.abs(F.col("b") / F.nullif(F.col("a"), F.lit(0.0)))))
+    unit = F.when((F.abs(log - F.round(log)) < 0.01) & F.round(log).isin(-6, -3, 3, 6), F.round(log).cast("int"))
+    agg = got.withColumn("u", unit).groupBy(*keys).agg(
+        F.count_if(F.col("a").isNull()).alias("new_lines"), F.count_if(F.col("b").isNull()).alias("gone_lines"), F.count("u").alias("scaled"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.mode("u").alias("factor")
+    )
+    hit = (F.col("scaled") >= least) & (F.col("scaled") >= share * F.col("both"))
+    return agg.select(*keys, "new_lines", "gone_lines", F.when(hit, F.col("factor")).alias("unit_switch"))
+
+
+def flags(rules: list[tuple[str, Column]]) -> Column:
+    """Names of the rules that hold, as an array."""
+    return F.filter(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules)), lambda x: x.isNotNull())
+
+
+def signal(kind: str, keys: list[str], payload: list[str]) -> list[Column]:
+    """A deterministic id and a JSON payload of a finding."""
+    return [F.concat_ws(":", F.lit(kind), *(F.col(k).cast("string") for k in keys)).alias("signal_id"), F.to_json(F.struct(*payload)).alias("payload")]
+
+
+def capture_share(stored: DataFrame, printed: DataFrame, keys: list[str], value: str, factors=(1, 1000, 1000000)) -> DataFrame:
+    """The share of stored amounts found among printed ones, at the factor that finds most."""
+    a = stored.where(F.abs(value) >= 1).select(*keys, F.round(F.abs(value)).cast("decimal(38,0)").alias("v"), F.explode(F.array(*(F.lit(int(f)) for f in factors))).alias("factor"))
+    b = printed.select(*keys, F.round(F.abs(value)).cast("decimal(38,0)").alias("p")).distinct().withColumn("hit", F.lit(1))
+    met = a.withColumn("p", (F.col("v") * F.col("factor")).cast("decimal(38,0)")).join(b, [*keys, "p"], "left")
+    each = met.groupBy(*keys, "factor").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("found"))
+    return each.groupBy(*keys).agg(F.max("found").alias("found"), F.max_by("factor", F.struct("found", -F.col("factor"))).alias("factor"))
