@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -48,7 +49,10 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    return t, [x.content.encode() for x in t.get_added_tokens_decoder().values()], {}
+    # the byte-level alphabet: printable bytes stand for themselves, others from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}}
+    return t, [x.content.encode() for x in t.get_added_tokens_decoder().values()], {}, letters
 
 
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +61,7 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     Each distinct word of the block goes through the library once; a text that holds
     a special token's string goes through it whole.
     """
-    tok, special, known = _tokenizer(path)
+    tok, special, known, letters = _tokenizer(path)
     data, docs = text_view(texts)
     raw = data.tobytes()
     whole = {}
@@ -71,12 +75,11 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     at = pretokens.starts(data, docs)
     code = binary_array(data, np.append(at, len(data))).dictionary_encode()
     words = code.dictionary.to_pylist()
-    new = [w for w in words if w not in known]
-    fresh = {}
-    for a in range(0, len(new), 20_000):
-        part = new[a : a + 20_000]
-        got = tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-        fresh.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
+    apply, ints, fresh = tok.model.tokenize, struct.Struct, {}
+    for w in words:
+        if w not in known:
+            ids = [t.id for t in apply(w.decode("latin-1").translate(letters))]
+            fresh[w] = ints(f"<{len(ids)}I").pack(*ids)
     each = [known.get(w) or fresh[w] for w in words]
     for w, x in fresh.items():
         if len(known) >= REMEMBERED:
@@ -98,7 +101,7 @@ class _Mix:
     def __init__(self, lanes: int):
         self.base = np.arange(lanes, dtype=np.int64) * SLOTS
         self.seen = [np.zeros(lanes * SLOTS, np.uint32) for _ in (1, 2)]  # id << 2 | confidence
-        self.right = [np.full(lanes * 4, 4096, np.int64) for _ in (1, 2)]  # in 1 / 65536
+        self.right = [np.full(lanes * 4, 4096, np.int32) for _ in (1, 2)]  # in 1 / 65536
         self.lane4 = np.arange(lanes, dtype=np.int64) * 4
         self.before = [np.zeros(lanes, np.uint32) for _ in (1, 2)]
 
@@ -109,25 +112,30 @@ class _Mix:
     def predict(self):
         """The ids of orders 1 and 2 and their widths out of 2 ** SCALE."""
         one, two = self.before
-        h1 = (one * np.uint32(2654435761)) >> np.uint32(22)
-        h2 = ((one * np.uint32(2654435761)) ^ (two * np.uint32(2246822519) + np.uint32(97))) * np.uint32(3266489917) >> np.uint32(22)
-        self.at = self.base + h1, self.base + h2
-        self.got = self.seen[0].take(self.at[0]), self.seen[1].take(self.at[1])
+        h = one * np.uint32(2654435761)
+        h2 = (h ^ (two * np.uint32(2246822519) + np.uint32(97))) * np.uint32(3266489917)
+        self.at = self.base + (h >> np.uint32(22)), self.base + (h2 >> np.uint32(22))
+        self.got = [self.seen[k].take(self.at[k]) for k in (0, 1)]
+        self.conf = [g & np.uint32(3) for g in self.got]
         p1, p2 = self.got[0] >> np.uint32(2), self.got[1] >> np.uint32(2)
-        self.state = self.lane4 + (self.got[0] & np.uint32(3)), self.lane4 + (self.got[1] & np.uint32(3))
-        self.share = self.right[0].take(self.state[0]), self.right[1].take(self.state[1])
-        f2 = self.share[1] << (SCALE - 16)
+        self.state = [self.lane4 + c for c in self.conf]
+        self.share = [self.right[k].take(self.state[k]) for k in (0, 1)]
+        f2 = self.share[1].astype(np.int64) << (SCALE - 16)
         f1 = (((1 << SCALE) - f2) * self.share[0]) >> 16
-        f1[p1 == p2] = 0
+        f1 *= p1 != p2
         return p1, p2, f1, f2
 
-    def learn(self, ids: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> None:
-        for k, p in ((0, p1), (1, p2)):
-            hit = ids == p
-            conf = self.got[k] & np.uint32(3)
-            new = np.where(hit, self.got[k] + (conf < 3), np.where(conf > 0, self.got[k] - np.uint32(1), ids << np.uint32(2)))
+    def learn(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        fresh = ids << np.uint32(2)
+        for k, hit in ((0, hit1), (1, hit2)):
+            got, conf, share = self.got[k], self.conf[k], self.share[k]
+            new = np.where(conf > 0, got - np.uint32(1), fresh)
+            at = np.flatnonzero(hit)
+            new[at] = got[at] + (conf[at] < 3)
+            share += (128 - share) >> 5
+            share[at] += 1902  # 61000 - 128 over 32
             self.seen[k][self.at[k]] = new
-            self.right[k][self.state[k]] = self.share[k] + ((np.where(hit, 61000, 128) - self.share[k]) >> 5)
+            self.right[k][self.state[k]] = share
         self.before = [ids, self.before[0]]
 
 
@@ -140,16 +148,23 @@ def _frequencies(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(f)])
 
 
-def _renorm(low: np.ndarray, span: np.ndarray):
-    """Lanes whose upper 16 bits are settled, with the span cut where bounds straddle."""
+def _renorm(low: np.ndarray, span: np.ndarray, move) -> None:
+    """Move 16 bits out of each lane whose upper bits are settled, or whose bounds are tight, until none is."""
     fixed = (low ^ (low + span)) < _TOP
-    tight = span < _BOTTOM
-    at = np.flatnonzero(fixed | tight)
-    if at.size:
-        cut = at[~fixed[at]]
-        if cut.size:
-            span[cut] = (~low[cut] + _U(1)) & (_BOTTOM - _U(1))
-    return at
+    at = np.flatnonzero(fixed | (span < _BOTTOM))
+    fixed = fixed[at]
+    while at.size:
+        lo, sp = low[at], span[at]
+        if not fixed.all():
+            cut = np.flatnonzero(~fixed)
+            sp[cut] = (~lo[cut] + _U(1)) & (_BOTTOM - _U(1))
+        move(at, lo)
+        lo <<= _U(16)
+        sp <<= _U(16)
+        low[at], span[at] = lo, sp
+        fixed = (lo ^ (lo + sp)) < _TOP
+        more = np.flatnonzero(fixed | (sp < _BOTTOM))
+        at, fixed = at[more], fixed[more]
 
 
 def compress(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -159,19 +174,21 @@ def compress(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     if not n:
         return [], counts
     cum = _frequencies(counts)
+    begins, ends = cum[:-1].copy(), cum[1:].copy()
     lanes = -(-n // BLOCK_IDS)
     grid = np.zeros(lanes * BLOCK_IDS, np.uint32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK_IDS).T)
     last = n - (lanes - 1) * BLOCK_IDS
     mix, low, span = _Mix(lanes), np.zeros(lanes, _U), np.full(lanes, ~_U(0))
-    out, size = np.zeros((lanes, 2 * BLOCK_IDS + 16), ">u2"), np.zeros(lanes, np.int64)
+    width = 2 * BLOCK_IDS + 16
+    out, first = np.zeros(lanes * width, np.uint16), np.arange(lanes, dtype=np.int64) * width
+    next_at = first.copy()
 
-    def emit(at, low, span):
-        out[at, size[at]] = low[at] >> _U(48)
-        size[at] += 1
-        low[at] <<= _U(16)
-        span[at] <<= _U(16)
+    def emit(at, lo):
+        to = next_at[at]
+        out[to] = lo >> _U(48)
+        next_at[at] = to + 1
 
     active = lanes
     for step in range(BLOCK_IDS):
@@ -183,22 +200,32 @@ def compress(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         lo, sp, now = low[:active], span[:active], grid[step, :active]
         p1, p2, f1, f2 = mix.predict()
         rest = (1 << SCALE) - f1 - f2
-        a, b = cum[now], cum[now + 1]
-        begin, end = f1 + f2 + ((rest * a) >> ZERO_BITS), f1 + f2 + ((rest * b) >> ZERO_BITS)
-        by1 = (now == p1) & (f1 > 0)
-        by2 = now == p2
-        begin = np.where(by2, 0, np.where(by1, f2, begin))
-        end = np.where(by2, f2, np.where(by1, f1 + f2, end))
+        i, known = now.astype(np.int64), f1 + f2
+        begin, end = known + ((rest * begins.take(i)) >> ZERO_BITS), known + ((rest * ends.take(i)) >> ZERO_BITS)
+        hit1, hit2 = now == p1, now == p2
+        _known(begin, end, f1, f2, hit1 & ~hit2, hit2)
         unit = sp >> _U(SCALE)
-        lo += unit * begin.astype(_U)
-        sp[:] = unit * (end - begin).astype(_U)
-        while (at := _renorm(lo, sp)).size:
-            emit(at, lo, sp)
-        mix.learn(now, p1, p2)
+        end -= begin
+        lo += unit * begin.view(_U)
+        np.multiply(unit, end.view(_U), out=sp)
+        _renorm(lo, sp, emit)
+        mix.learn(now, hit1, hit2)
     every = np.arange(lanes)
     for _ in range(4):
-        emit(every, low, span)
-    return [out[i, : size[i]].tobytes() for i in range(lanes)], counts
+        emit(every, low)
+        low <<= _U(16)
+    big = out.astype(">u2")
+    return [big[a:b].tobytes() for a, b in zip(first.tolist(), next_at.tolist(), strict=True)], counts
+
+
+def _known(begin, end, f1, f2, by1, by2) -> None:
+    """Bounds of ids that order 1 or 2 predicted, put in place of those by frequency."""
+    at = np.flatnonzero(by1)
+    begin[at] = f2[at]
+    end[at] = f2[at] + f1[at]
+    at = np.flatnonzero(by2)
+    begin[at] = 0
+    end[at] = f2[at]
 
 
 def expand(blocks: list[bytes], counts: np.ndarray, n: int) -> np.ndarray:
@@ -206,48 +233,55 @@ def expand(blocks: list[bytes], counts: np.ndarray, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint32)
     cum = _frequencies(counts)
+    begins, ends = cum[:-1].copy(), cum[1:].copy()
     lanes = len(blocks)
     width = max(map(len, blocks)) // 2 + 8
     units = np.zeros((lanes, width), np.uint16)
     for i, b in enumerate(blocks):
         units[i, : len(b) // 2] = np.frombuffer(b, ">u2")
-    units = units.ravel()
+    units = units.ravel().astype(_U)
     start = np.arange(lanes, dtype=np.int64) * width
     code = np.zeros(lanes, _U)
     for _ in range(4):
-        code = (code << _U(16)) | units[start].astype(_U)
+        code = (code << _U(16)) | units[start]
         start += 1
     last = n - (lanes - 1) * BLOCK_IDS
     mix, low, span = _Mix(lanes), np.zeros(lanes, _U), np.full(lanes, ~_U(0))
     grid, active = np.zeros((BLOCK_IDS, lanes), np.uint32), lanes
+
+    def fill(at, lo):
+        to = start[at]
+        code[at] = (code[at] << _U(16)) | units[to]
+        start[at] = to + 1
+
     for step in range(BLOCK_IDS):
         if step == last and active == lanes:
             active -= 1
             if not active:
                 break
             mix.narrow(active)
-        lo, sp, cd, st = low[:active], span[:active], code[:active], start[:active]
+        lo, sp = low[:active], span[:active]
         p1, p2, f1, f2 = mix.predict()
-        rest = (1 << SCALE) - f1 - f2
+        known = f1 + f2
+        rest = (1 << SCALE) - known
         unit = sp >> _U(SCALE)
-        value = np.minimum((cd - lo) // unit, _U((1 << SCALE) - 1)).astype(np.int64)
-        own = value - f1 - f2
-        by2, by1 = value < f2, (value >= f2) & (own < 0)
-        target = (((np.maximum(own, 0) + 1) << ZERO_BITS) - 1) // rest
-        now = np.searchsorted(cum, target, "right") - 1
-        begin, end = f1 + f2 + ((rest * cum[now]) >> ZERO_BITS), f1 + f2 + ((rest * cum[now + 1]) >> ZERO_BITS)
-        now = np.where(by2, p2, np.where(by1, p1, now)).astype(np.uint32)
-        begin = np.where(by2, 0, np.where(by1, f2, begin))
-        end = np.where(by2, f2, np.where(by1, f1 + f2, end))
-        lo += unit * begin.astype(_U)
-        sp[:] = unit * (end - begin).astype(_U)
-        while (at := _renorm(lo, sp)).size:
-            cd[at] = (cd[at] << _U(16)) | units[st[at]].astype(_U)
-            st[at] += 1
-            lo[at] <<= _U(16)
-            sp[at] <<= _U(16)
+        value = np.minimum((code[:active] - lo) // unit, _U((1 << SCALE) - 1)).view(np.int64)
+        own = value - known
+        by2, by1 = value < f2, own < 0
+        np.maximum(own, 0, out=own)
+        target = (((own + 1) << ZERO_BITS) - 1) // rest
+        i = np.searchsorted(cum, target, "right") - 1
+        begin, end = known + ((rest * begins.take(i)) >> ZERO_BITS), known + ((rest * ends.take(i)) >> ZERO_BITS)
+        now = i.astype(np.uint32)
+        by1 &= ~by2
+        _known(begin, end, f1, f2, by1, by2)
+        now[by1], now[by2] = p1[by1], p2[by2]
+        end -= begin
+        lo += unit * begin.view(_U)
+        np.multiply(unit, end.view(_U), out=sp)
+        _renorm(lo, sp, fill)
         grid[step, :active] = now
-        mix.learn(now, p1, p2)
+        mix.learn(now, now == p1, now == p2)
     return grid.T.ravel()[:n]
 
 
@@ -305,7 +339,7 @@ def _writer(root: str, path: str, end_id: int, file_ids: int):
             done.append((part, n, name, len(names), held, len(data)))
             names, sizes, ids, held, n = [], [], [], 0, n + 1
 
-        for block in text_blocks(batches, "text", 4 << 20):
+        for block in text_blocks(batches, "text", 6 << 20):
             got, off = encode_texts(block.column("text"), path)
             names += block.column("doc_id").to_pylist()
             got = np.insert(got, off[1:], end_id)
