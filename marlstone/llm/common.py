@@ -66,26 +66,33 @@ def release() -> None:
 
 
 def tidy(f):
-    """A worker's function that gives freed memory back when it ends."""
+    """A worker's function of one or two arguments that gives freed memory back when it ends."""
+
+    def of(*args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
     if inspect.isgeneratorfunction(f):
 
-        @functools.wraps(f)
-        def run(*args):
+        def run(batches):
             try:
-                yield from f(*args)
+                yield from f(batches)
             finally:
                 release()
 
+    elif len(inspect.signature(f).parameters) == 2:
+
+        def run(a, b):
+            return of(a, b)
+
     else:
 
-        @functools.wraps(f)
-        def run(*args):
-            try:
-                return f(*args)
-            finally:
-                release()
+        def run(a):
+            return of(a)
 
-    return run
+    return functools.wraps(f)(run)
 
 
 def text_view(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
