@@ -14,10 +14,9 @@ def exact_sum(column: Column) -> Column:
 def shares(df: DataFrame, period: str, entity: str, value: str) -> DataFrame:
     """Share of the period's positive values, and rank by value (then by entity)."""
     positive = F.when(F.col(value) > 0, F.col(value))
-    totals = df.groupBy(period).agg(exact_sum(positive).cast("double").alias("total"))
-    rank = F.row_number().over(Window.partitionBy(period).orderBy(F.col(value).desc(), entity))
-    got = df.join(totals, period)
-    return got.select(period, entity, value, F.when(F.col("total") > 0, positive / F.col("total")).alias("share"), rank.alias("rank"))
+    w = Window.partitionBy(period)
+    got = df.withColumn("_total", exact_sum(positive).over(w).cast("double")).withColumn("rank", F.row_number().over(w.orderBy(F.col(value).desc(), entity)))
+    return got.select(period, entity, value, F.when(F.col("_total") > 0, positive / F.col("_total")).alias("share"), "rank")
 
 
 def concentration(shared: DataFrame, period: str) -> DataFrame:
@@ -29,12 +28,11 @@ def league(shared: DataFrame, period: str, entity: str, back: int = 4) -> DataFr
     """Change of rank since the period before, and of share since ``back`` periods of the list."""
     periods = shared.groupBy(period).agg(F.count("*").alias("_n"))
     number = F.row_number().over(Window.orderBy(period))  # one row per period
-    periods = periods.select(period, number.alias("_p"))
-    at = shared.join(F.broadcast(periods), period)
-    before = at.select(entity, (F.col("_p") + 1).alias("_p"), F.col("rank").alias("_rank"))
-    far = at.select(entity, (F.col("_p") + back).alias("_p"), F.col("share").alias("_share"))
-    got = at.join(before, [entity, "_p"], "left").join(far, [entity, "_p"], "left")
-    return got.select(period, entity, "share", "rank", (F.col("_rank") - F.col("rank")).alias("rank_change"), (F.col("share") - F.col("_share")).alias("share_shift"))
+    at = shared.join(F.broadcast(periods.select(period, number.alias("_p"))), period)
+    w = Window.partitionBy(entity).orderBy("_p")
+    # rows of an entity may miss periods: look for the one that lies exactly so far back
+    then = lambda column, n: F.coalesce(*(F.when(F.lag("_p", k).over(w) == F.col("_p") - n, F.lag(column, k).over(w)) for k in range(1, n + 1)))
+    return at.select(period, entity, "share", "rank", (then("rank", 1) - F.col("rank")).alias("rank_change"), (F.col("share") - then("share", back)).alias("share_shift"))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -92,7 +92,7 @@ def flow_graph(spark, sf):
     return m.unionByName(top).withColumn("v", F.round("v", 2))
 
 
-@query("""SELECT o_orderkey AS k, count(*) AS n, sum(length(l_returnflag || l_linestatus)) AS chars, min(l_linenumber)::INT AS first FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+@query("""SELECT o_orderkey AS k, count(*) AS n, sum(length(l_returnflag || l_linestatus))::BIGINT AS chars, min(l_linenumber)::INT AS first FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def document_grids(spark, sf):
     """Cells of each document as one JSON grid, read back through a schema."""
     lines = table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"])

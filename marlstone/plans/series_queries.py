@@ -57,7 +57,8 @@ YTD = f"""{SUPPLIER}, ytd AS (SELECT g, o, stock, sum(flow::DECIMAL(38,6)) OVER
 def _ytd(spark, sf):
     year = (F.col("o") / 4).cast("int")
     w = Window.partitionBy("g", year).orderBy("o")
-    return supplier_quarters(spark, sf).withColumn("ytd", F.sum(F.col("flow").cast("decimal(38,6)")).over(w).cast("double"))
+    at = supplier_quarters(spark, sf).repartition("g")  # one shuffle serves all windows of an entity
+    return at.withColumn("ytd", F.sum(F.col("flow").cast("decimal(38,6)")).over(w).cast("double"))
 
 
 def _panel(spark, sf):
