@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .common import binary_array, resource, table, text_blocks, text_view, tidy, tune
+from .common import binary_array, byte_list, resource, table, text_blocks, text_view, tidy, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Ranks by frequency in a block at which the next tier of its dictionary begins.
@@ -114,13 +114,13 @@ def _cut_blocks(buckets: int):
             size = np.diff(np.searchsorted(at, off))
             rank = np.empty(len(words), np.int64)
             rank[np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")] = np.arange(len(words))
-            bucket = np.array([zlib.crc32(w) for w in words.to_pylist()], np.int64) % buckets
+            bucket = np.array([zlib.crc32(w) for w in byte_list(words)], np.int64) % buckets
             group = np.searchsorted(TIERS, rank, "right") * buckets + bucket
             order = pc.sort_indices(words).to_numpy().astype(np.int64)
             order = order[np.argsort(group[order], kind="stable")]
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words))
-            group, words = group[order], words.take(pa.array(order)).to_pylist()
+            group, words = group[order], byte_list(words.take(pa.array(order)))
             edge = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else [0]
             packed = [pack_words(words[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             own = block.column("doc_id").combine_chunks()

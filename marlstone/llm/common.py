@@ -117,6 +117,13 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
 
 
+def byte_list(arr: pa.Array) -> list[bytes]:
+    """The binaries of an array as a list, by slices of its buffer."""
+    data, off = text_view(arr)
+    raw, off = data.tobytes(), off.tolist()
+    return [raw[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
 def text_blocks(batches, column: str, limit: int = BLOCK_BYTES):
     """Regroup record batches into tables of about ``limit`` bytes of ``column``."""
     held, size = [], 0

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import pretokens
 from .bpe import ragged
-from .common import binary_array, new_path, resource, table, text_blocks, text_view, tidy, tune
+from .common import binary_array, byte_list, new_path, resource, table, text_blocks, text_view, tidy, tune
 from .warc import file_system
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -74,7 +74,7 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
             at = raw.find(s, at + 1)
     at = pretokens.starts(data, docs)
     code = binary_array(data, np.append(at, len(data))).dictionary_encode()
-    words = code.dictionary.to_pylist()
+    words = byte_list(code.dictionary)
     apply, ints, fresh = tok.model.tokenize, struct.Struct, {}
     for w in words:
         if w not in known:
@@ -234,6 +234,7 @@ def expand(blocks: list[bytes], counts: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.uint32)
     cum = _frequencies(counts)
     begins, ends = cum[:-1].copy(), cum[1:].copy()
+    at_share = np.repeat(np.arange(len(counts), dtype=np.uint32), np.diff(cum))  # the id of each of 2 ** ZERO_BITS shares
     lanes = len(blocks)
     width = max(map(len, blocks)) // 2 + 8
     units = np.zeros((lanes, width), np.uint16)
@@ -270,9 +271,9 @@ def expand(blocks: list[bytes], counts: np.ndarray, n: int) -> np.ndarray:
         by2, by1 = value < f2, own < 0
         np.maximum(own, 0, out=own)
         target = (((own + 1) << ZERO_BITS) - 1) // rest
-        i = np.searchsorted(cum, target, "right") - 1
+        now = at_share.take(target)
+        i = now.astype(np.int64)
         begin, end = known + ((rest * begins.take(i)) >> ZERO_BITS), known + ((rest * ends.take(i)) >> ZERO_BITS)
-        now = i.astype(np.uint32)
         by1 &= ~by2
         _known(begin, end, f1, f2, by1, by2)
         now[by1], now[by2] = p1[by1], p2[by2]

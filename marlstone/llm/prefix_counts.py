@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import binary_array, resource, table, text_blocks, text_view, tidy, tune
+from .common import binary_array, byte_list, resource, table, text_blocks, text_view, tidy, tune
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -123,7 +123,7 @@ def count_block(arr: pa.Array, path: str) -> np.ndarray:
     data, docs = text_view(_prefixed(arr, c.dummy))
     at = segments(data, docs)
     code = binary_array(data, np.append(at, len(data))).dictionary_encode()
-    each = np.array([c.total(s) for s in code.dictionary.to_pylist()] or [0], np.int64)
+    each = np.array([c.total(s) for s in byte_list(code.dictionary)] or [0], np.int64)
     sums = np.concatenate([[0], np.cumsum(each[code.indices.to_numpy(zero_copy_only=False)])])
     return np.diff(sums[np.searchsorted(at, docs)])
 
