@@ -45,12 +45,12 @@ def by_steps(texts: pa.Array, run):
             yield run(*text_view(part), part)
 
 
-def bounded_sample(rows: DataFrame, wanted: dict, key: str, salt: int) -> DataFrame:
-    """Rows of each ``key`` with the share wanted of it, chosen by a hash of the text.
+def bounded_sample(rows: DataFrame, wanted: dict, key: str, salt: int, by: list[str]) -> DataFrame:
+    """Rows of each ``key`` with the share wanted of it, chosen by a hash of the columns ``by``.
 
     ``wanted``: key -> (rows there, rows wanted). The choice doesn't depend on how
     rows are dealt out, and no key is gathered in one task.
     """
     share = F.create_map(*(F.lit(x) for k, (n, m) in wanted.items() for x in (k, min(1.0, m / max(1, n)))))
-    spin = F.pmod(F.xxhash64(F.lit(salt), "text"), F.lit(1 << 20)) / float(1 << 20)
+    spin = F.pmod(F.xxhash64(F.lit(salt), *by), F.lit(1 << 20)) / float(1 << 20)
     return rows.where(spin < F.coalesce(share[F.col(key)], F.lit(0.0)))

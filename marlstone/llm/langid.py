@@ -107,13 +107,15 @@ class Model:
 
 
 def fit_model(rows: DataFrame, families: dict[str, str] = FAMILIES, per_language: int = PER_LANGUAGE, all_languages: int = ALL_LANGUAGES) -> Model | None:
-    """Fit on ``text, lang`` rows; rows without either don't count. None if there are none."""
+    """Fit on ``text, lang`` rows (and ``doc_id``, if there); rows without either don't count. None if there are none."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     there = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not there:
         return None
     share = min(per_language, max(20, all_languages // len(there)))
-    some = bounded_sample(rows.select("lang", "text"), {k: (n, share) for k, n in there.items()}, "lang", 2)
+    # the id keeps a large group of copies from being chosen as one
+    by = [c for c in ("doc_id", "text") if c in rows.columns]
+    some = bounded_sample(rows.select("lang", *by), {k: (n, share) for k, n in there.items()}, "lang", 2, by).select("lang", "text")
 
     def run(batches):
         for b in batches:

@@ -88,8 +88,9 @@ def fit_space(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rank
     n = marked.count()
     if not n:
         return None
-    few = bounded_sample(marked.select(F.lit(0).alias("all"), "quality", F.col("doc_id"), F.col("doc_id").cast("string").alias("text")), {0: (n, labelled)}, "all", 5)
-    some = rows.join(few.select("doc_id", "quality"), "doc_id").select("quality", "text")
+    few = bounded_sample(marked.select(F.lit(0).alias("all"), "quality", "doc_id"), {0: (n, labelled)}, "all", 5, ["doc_id"])
+    # one row for each labelled id, however often documents repeat it
+    some = rows.join(few.select("doc_id", "quality"), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).select("quality", "text")
 
     def run(batches):
         for b in batches:

@@ -61,3 +61,14 @@ def test_quality_edges_and_held_out(spark):
     assert all(0 <= r.score <= 1 for r in neighbours.quality_score(odd, space).collect())
     assert neighbours.training_space(docs.select("doc_id", "text"), labels.limit(0)) is None
     assert neighbours.quality_score(odd, None).first().score == 0.5
+
+
+def test_samples_stay_bounded_under_copies(spark):
+    from marlstone.llm.features import bounded_sample
+
+    rows = spark.range(4000).selectExpr("id AS doc_id", "'the same text' AS text", "'en' AS lang")
+    n = bounded_sample(rows, {"en": (4000, 400)}, "lang", 2, ["doc_id", "text"]).count()
+    assert 250 < n < 550
+    docs = spark.createDataFrame([(1, "a b")] * 500 + [(2, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (1, 0)], "doc_id long, quality int")
+    assert len(neighbours.fit_space(docs, labels).labels) == 2
