@@ -292,7 +292,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     ids = components(docs, id_col, text_col, tau)
     kept = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = cut(kept, "simhash-kept").withColumnsRenamed({"doc_id": "kept_id", "n": "kept_rows"})
-    of = lambda rows: docs.alias("d").join(rows, F.col(f"d.{id_col}").eqNullSafe(F.col("kept_id")), "left_semi")
+    # joined by a shuffle at every size, so that few documents are not treated unlike many
+    of = lambda rows: docs.alias("d").join(rows.hint("shuffle_hash"), F.col(f"d.{id_col}").eqNullSafe(F.col("kept_id")), "left_semi")
     once, more = kept.where("kept_rows = 1"), kept.where("kept_rows > 1")
     if more.isEmpty():
         return of(once)
