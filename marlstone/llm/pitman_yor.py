@@ -212,7 +212,7 @@ class _Block:
         key ^= key >> np.uint64(29)
         key *= np.uint64(0xBF58476D1CE4E5B9)
         key = (key ^ (key >> np.uint64(32))) >> np.uint64(8)
-        bucket = ((key * np.uint64(buckets)) >> np.uint64(56)).astype(np.int64)
+        bucket = (((key >> np.uint64(24)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)  # of the top 32 bits: no overflow
         order = np.argsort(key, kind="stable")  # by bucket too: buckets are ranges of keys
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))

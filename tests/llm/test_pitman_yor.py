@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import pitman_yor as p
@@ -57,6 +58,33 @@ def test_next_words_sum_to_one(spark):
     assert all(v < 0 for v in got.values()) and ends
 
 
+@pytest.mark.parametrize("parts", [3, 80])
+def test_next_words_sum_to_one_at_any_number_of_partitions(spark, parts):
+    """Texts of one and two words give p up to factors f(u) / f(w), which leave the greatest eigenvalue at 1."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(20)]
+    train = [" ".join(words[min(int(x), 19)] for x in rng.exponential(4, 12)) for _ in range(160)]
+    every = [*words, "unseen"]
+    texts = ["", *every, *(f"{u} {w}" for u in every for w in every)]
+    rows = [(t, False) for t in train] + [(t, True) for t in texts]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, held boolean").repartitionByRange(parts, F.col("doc_id"))
+    of = {r.doc_id - len(train): r.score for r in p.score_texts(df, F.col("held")).collect() if r.held_out}
+    score = {t: of[k] for k, t in enumerate(texts)}
+    m = [[score[""], *[0.0] * len(every)]] + [[score[u], *(score[f"{u} {w}"] - score[w] for w in every)] for u in every]
+    assert abs(np.abs(np.linalg.eigvals(10.0 ** np.array(m))).max() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("buckets", [128, 640, 4 * 65_536])
+def test_buckets_are_ranges_of_keys(buckets):
+    b = object.__new__(p._Block)
+    b.number = np.arange(2000, dtype=np.int64) << 36
+    b.seq = np.random.default_rng(1).integers(0, 2000, 50_000)
+    b.before, b.held, b.size = np.roll(b.seq, 1), np.zeros(1, bool), np.array([50_000])
+    _, _, key, bucket, _, _ = b.pairs(buckets)
+    assert (np.diff(key.astype(np.float64)) >= 0).all() and (np.diff(bucket) >= 0).all()
+    assert bucket.min() >= 0 and buckets * 0.9 < bucket.max() < buckets
+
+
 def test_nothing_to_learn_and_empty(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = p.score_texts(df, F.lit(True)).first()
