@@ -264,41 +264,57 @@ def roots(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row of ``docs``.
-
-    The component's id is its least non-null doc_id (null if it has none). Null,
-    empty and wordless texts share fingerprint 0 and link like any others. Repeated
-    rows stay; columns other than id and text are not read.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, tau: int, **more) -> DataFrame:
+    """``doc_id``, the columns ``more``, ``fp, component_id`` and the component's ``root`` fingerprint of each row."""
     tune(docs.sparkSession)
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col).cast("string")).alias("fp")), "simhash-fp")
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in more.items()), fingerprints(F.col(text_col).cast("string")).alias("fp")), "simhash-fp")
     groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "simhash-groups")
     of = roots(links(groups.select("fp"), tau))
     named = groups.join(of, groups.fp == of.node, "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
     named = cut(named, "simhash-named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = cut(named.join(least, "root").select("fp", "rows", "component_id"), "simhash-labels")
+    labels = cut(named.join(least, "root").select("fp", "rows", "component_id", "root"), "simhash-labels")
     total = rows.count()
     # fingerprints with a thousandth of the rows each are 1000 at most: they are broadcast
-    heavy = labels.where(F.col("rows") * 1000 > total).select("fp", F.col("component_id").alias("c"), F.lit(True).alias("hot"))
+    heavy = labels.where(F.col("rows") * 1000 > total).select("fp", F.col("component_id").alias("c"), F.col("root").alias("r"), F.lit(True).alias("hot"))
     mixed = rows.join(F.broadcast(heavy), "fp", "left")
-    light = mixed.where("hot is null").select("doc_id", "fp").join(labels.where(F.col("rows") * 1000 <= total).select("fp", "component_id"), "fp")
-    return mixed.where("hot").select("doc_id", "fp", F.col("c").alias("component_id")).union(light.select("doc_id", "fp", "component_id"))
+    light = mixed.where("hot is null").select(*rows.columns).join(labels.where(F.col("rows") * 1000 <= total).drop("rows"), "fp")
+    return mixed.where("hot").select(*rows.columns, F.col("c").alias("component_id"), F.col("r").alias("root")).union(light.select(*rows.columns, "component_id", "root"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
+    """``doc_id, fp, component_id`` of each row of ``docs``.
+
+    The component's id is its least non-null doc_id (null if it has none). Null,
+    empty and wordless texts share fingerprint 0 and link like any others. Repeated
+    rows stay; columns other than id and text are not read.
+    """
+    return _components(docs, id_col, text_col, tau).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
-    """One row of each component, that of the least id (of repeated ids, the first by all columns)."""
-    ids = components(docs, id_col, text_col, tau)
-    kept = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = cut(kept, "simhash-kept").withColumnsRenamed({"doc_id": "kept_id", "n": "kept_rows"})
+    """One row of each component, that of the least id, null last (of repeated ids, the first by all columns).
+
+    Rows are found again by id and text, which always stand in one component; an id
+    alone may stand in several, and null stands in any number.
+    """
+    key = {f"text_{k}": F.xxhash64(F.lit(k), F.col(text_col).cast("string")) for k in (1, 2)}
+    ids = _components(docs, id_col, text_col, tau, **key)
+    least = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", *key).agg(F.count("*").alias("n"))
+    least = cut(least, "simhash-least")
+    rows = least.groupBy("root").agg(F.sum("n").alias("kept_rows"))
+    kept = cut(least.drop("n").join(rows.hint("shuffle_hash"), "root"), "simhash-kept").withColumnsRenamed({c: f"kept_{c}" for c in ("root", "doc_id", *key)})
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("kept_doc_id"))
+    for k, c in key.items():
+        same &= F.xxhash64(F.lit(int(k[-1])), F.col(f"d.{text_col}").cast("string")) == F.col(f"kept_{k}")
     # joined by a shuffle at every size, so that few documents are not treated unlike many
-    of = lambda rows: docs.alias("d").join(rows.hint("shuffle_hash"), F.col(f"d.{id_col}").eqNullSafe(F.col("kept_id")), "left_semi")
+    of = lambda rows, how: docs.alias("d").join(rows.hint("shuffle_hash"), same, how)
     once, more = kept.where("kept_rows = 1"), kept.where("kept_rows > 1")
     if more.isEmpty():
-        return of(once)
-    first = of(more).groupBy(F.col(id_col).alias("kept_id")).agg(F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("kept_row"))
-    return of(once).unionByName(first.select("kept_row.*"))
+        return of(once, "left_semi")
+    row = F.struct(*(F.col(f"d.{c}") for c in docs.columns))
+    first = of(more, "inner").groupBy("kept_root").agg(F.min(row).alias("kept_row"))
+    return of(once, "left_semi").unionByName(first.select("kept_row.*"))
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,5 +84,21 @@ def test_components_and_one_kept(spark):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(c) for _, c in want})
 
 
+@pytest.mark.parametrize("least", [None, 7])
+def test_one_kept_of_each_component_with_null_and_repeated_ids(spark, least):
+    """Unlike texts under one id, or none, lead components of their own."""
+    rng = random.Random(12)
+    text = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(40)) for _ in range(6)]
+    rows = [(least, text[0], "a"), (least, text[1], "b"), (least, text[1], "a"), (least, text[1] + " z", "c"), (least, None, "d"), (least, "", "e")]
+    # 9 leads a component once and stands in that of 8, too; 10 has a null beside it
+    rows += [(9, text[2], "a"), (9, text[3], "b"), (8, text[3], "c"), (None, text[4], "d"), (10, text[4], "e"), (11, text[5], "f"), (11, text[5], "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, from string").repartition(4)
+    lab = brute_components([s.fingerprint(t) for _, t, _ in rows])
+    assert len(set(lab)) == 7
+    last = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "", r[2])
+    want = [min((r for r, k in zip(rows, lab) if k == x), key=last) for x in set(lab)]
+    assert sorted(map(tuple, s.keep_one(df).collect()), key=last) == sorted(want, key=last)
+
+
 def test_empty(spark):
     assert s.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
