@@ -1,22 +1,16 @@
 """Token ids in compressed binary files.
 
-Ids are coded in blocks that are reset and checksummed each by itself. For every id
-three predictions are mixed: the id seen last after the two ids before (order 2),
-after the one before (order 1), and the file's id frequencies (order 0). The shares
-of the mix adapt, within a block, to how often each prediction was right at its
-degree of confidence. The mixture drives an arithmetic coder with 64-bit bounds.
-All blocks of a file advance together, one id at a time, as array operations.
-
-Documents are range-sorted by id, each task writes the files of its range under
-temporary names, and a manifest written last names the files in order.
+Ids are coded by ``idcoder`` in blocks that are reset, checksummed and decoded each by
+itself. Documents are range-sorted by id, each task writes the files of its range
+under temporary names, and a manifest written last names the files in order.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
-import struct
 import zlib
 
 import numpy as np
@@ -29,18 +23,18 @@ from pyspark.sql import functions as F
 from . import pretokens
 from .bpe import ragged
 from .common import binary_array, byte_list, new_path, resource, table, text_blocks, text_view, tidy, tune
+from .idcoder import BLOCK_IDS, from_block, to_block
+from .ranges import bounds, in_ranges
 from .warc import file_system
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-BLOCK_IDS = 2048
 #: Ids after which a file is closed; a document is never split.
-FILE_IDS = 6_000_000
-#: Words whose ids a worker remembers.
+FILE_IDS = 12_000_000
+#: Bytes of text of one range of ids.
+PART_BYTES = 16 << 20
+#: Words whose ids a worker remembers; blocks that would go beyond keep theirs to themselves.
 REMEMBERED = 700_000
-MAGIC = b"IDMIX1\0\0"
-_U = np.uint64
-SLOTS, SCALE, ZERO_BITS = 1024, 30, 20
-_TOP, _BOTTOM = _U(1 << 48), _U(1 << 40)
+MAGIC = b"IDMIX2\0\0"
 
 
 @functools.cache
@@ -51,8 +45,34 @@ def _tokenizer(path: str):
     t = Tokenizer.from_file(path)
     # the byte-level alphabet: printable bytes stand for themselves, others from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}}
-    return t, [x.content.encode() for x in t.get_added_tokens_decoder().values()], {}, letters
+    letters = np.zeros(256, "<u4")
+    letters[plain] = plain
+    letters[letters == 0] = 256 + np.arange(256 - len(plain))
+    return t, [x.content.encode() for x in t.get_added_tokens_decoder().values()], _Words(), letters
+
+
+class _Words:
+    """Words that a worker has met: their places in a list of ids."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def encode(self, words: list[bytes], apply, letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, the ends of words in them, and the place of each of ``words``; unknown ones go through ``apply``."""
+        at = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        fresh = [words[k] for k in new.tolist()]
+        cut = np.cumsum([0, *map(len, fresh)]).tolist()
+        line = letters[np.frombuffer(b"".join(fresh), np.uint8)].tobytes().decode("utf-32-le")
+        found = [apply(line[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        at[new] = len(self.ends) - 1 + np.arange(len(new))
+        ids = np.concatenate([self.ids, np.array([t.id for x in found for t in x], np.uint32)])
+        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([*map(len, found)], dtype=np.int64)])
+        if len(self.place) + len(fresh) <= REMEMBERED:
+            self.place.update(zip(fresh, at[new].tolist(), strict=True))
+            self.ids, self.ends = ids, ends
+        return ids, ends, at
 
 
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -74,20 +94,8 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
             at = raw.find(s, at + 1)
     at = pretokens.starts(data, docs)
     code = binary_array(data, np.append(at, len(data))).dictionary_encode()
-    words = byte_list(code.dictionary)
-    apply, ints, fresh = tok.model.tokenize, struct.Struct, {}
-    for w in words:
-        if w not in known:
-            ids = [t.id for t in apply(w.decode("latin-1").translate(letters))]
-            fresh[w] = ints(f"<{len(ids)}I").pack(*ids)
-    each = [known.get(w) or fresh[w] for w in words]
-    for w, x in fresh.items():
-        if len(known) >= REMEMBERED:
-            break
-        known[w] = x
-    flat = np.frombuffer(b"".join(each), "<u4")
-    off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in each], dtype=np.int64)])
-    ids, ends = ragged(flat, off, code.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    flat, off, place = known.encode(byte_list(code.dictionary), tok.model.tokenize, letters)
+    ids, ends = ragged(flat, off, place[code.indices.to_numpy(zero_copy_only=False)])
     docs_at = ends[np.searchsorted(at, docs)]
     if whole:
         parts = [np.array(whole[d], np.uint32) if d in whole else ids[docs_at[d] : docs_at[d + 1]] for d in range(len(docs) - 1)]
@@ -95,212 +103,22 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, docs_at
 
 
-class _Mix:
-    """Predictions and their shares, one state for each block."""
-
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.seen = [np.zeros(lanes * SLOTS, np.uint32) for _ in (1, 2)]  # id << 2 | confidence
-        self.right = [np.full(lanes * 4, 4096, np.int32) for _ in (1, 2)]  # in 1 / 65536
-        self.lane4 = np.arange(lanes, dtype=np.int64) * 4
-        self.before = [np.zeros(lanes, np.uint32) for _ in (1, 2)]
-
-    def narrow(self, lanes: int) -> None:
-        self.base, self.lane4 = self.base[:lanes], self.lane4[:lanes]
-        self.before = [x[:lanes] for x in self.before]
-
-    def predict(self):
-        """The ids of orders 1 and 2 and their widths out of 2 ** SCALE."""
-        one, two = self.before
-        h = one * np.uint32(2654435761)
-        h2 = (h ^ (two * np.uint32(2246822519) + np.uint32(97))) * np.uint32(3266489917)
-        self.at = self.base + (h >> np.uint32(22)), self.base + (h2 >> np.uint32(22))
-        self.got = [self.seen[k].take(self.at[k]) for k in (0, 1)]
-        self.conf = [g & np.uint32(3) for g in self.got]
-        p1, p2 = self.got[0] >> np.uint32(2), self.got[1] >> np.uint32(2)
-        self.state = [self.lane4 + c for c in self.conf]
-        self.share = [self.right[k].take(self.state[k]) for k in (0, 1)]
-        f2 = self.share[1].astype(np.int64) << (SCALE - 16)
-        f1 = (((1 << SCALE) - f2) * self.share[0]) >> 16
-        f1 *= p1 != p2
-        return p1, p2, f1, f2
-
-    def learn(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        fresh = ids << np.uint32(2)
-        for k, hit in ((0, hit1), (1, hit2)):
-            got, conf, share = self.got[k], self.conf[k], self.share[k]
-            new = np.where(conf > 0, got - np.uint32(1), fresh)
-            at = np.flatnonzero(hit)
-            new[at] = got[at] + (conf[at] < 3)
-            share += (128 - share) >> 5
-            share[at] += 1902  # 61000 - 128 over 32
-            self.seen[k][self.at[k]] = new
-            self.right[k][self.state[k]] = share
-        self.before = [ids, self.before[0]]
-
-
-def _frequencies(counts: np.ndarray) -> np.ndarray:
-    """Cumulated frequencies that add up to 2 ** ZERO_BITS; each id that occurs has one at least."""
-    total, there = counts.sum(), counts > 0
-    f = np.where(there, np.maximum(1, (counts * ((1 << ZERO_BITS) - there.sum())) // max(1, total)), 0).astype(np.int64)
-    if total:
-        f[np.argmax(f)] += (1 << ZERO_BITS) - f.sum()
-    return np.concatenate([[0], np.cumsum(f)])
-
-
-def _renorm(low: np.ndarray, span: np.ndarray, move) -> None:
-    """Move 16 bits out of each lane whose upper bits are settled, or whose bounds are tight, until none is."""
-    fixed = (low ^ (low + span)) < _TOP
-    at = np.flatnonzero(fixed | (span < _BOTTOM))
-    fixed = fixed[at]
-    while at.size:
-        lo, sp = low[at], span[at]
-        if not fixed.all():
-            cut = np.flatnonzero(~fixed)
-            sp[cut] = (~lo[cut] + _U(1)) & (_BOTTOM - _U(1))
-        move(at, lo)
-        lo <<= _U(16)
-        sp <<= _U(16)
-        low[at], span[at] = lo, sp
-        fixed = (lo ^ (lo + sp)) < _TOP
-        more = np.flatnonzero(fixed | (sp < _BOTTOM))
-        at, fixed = at[more], fixed[more]
-
-
-def compress(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The coded blocks of ``ids`` and the id counts they need."""
-    n = len(ids)
-    counts = np.bincount(ids) if n else np.zeros(1, np.int64)
-    if not n:
-        return [], counts
-    cum = _frequencies(counts)
-    begins, ends = cum[:-1].copy(), cum[1:].copy()
-    lanes = -(-n // BLOCK_IDS)
-    grid = np.zeros(lanes * BLOCK_IDS, np.uint32)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK_IDS).T)
-    last = n - (lanes - 1) * BLOCK_IDS
-    mix, low, span = _Mix(lanes), np.zeros(lanes, _U), np.full(lanes, ~_U(0))
-    width = 2 * BLOCK_IDS + 16
-    out, first = np.zeros(lanes * width, np.uint16), np.arange(lanes, dtype=np.int64) * width
-    next_at = first.copy()
-
-    def emit(at, lo):
-        to = next_at[at]
-        out[to] = lo >> _U(48)
-        next_at[at] = to + 1
-
-    active = lanes
-    for step in range(BLOCK_IDS):
-        if step == last and active == lanes:
-            active -= 1
-            if not active:
-                break
-            mix.narrow(active)
-        lo, sp, now = low[:active], span[:active], grid[step, :active]
-        p1, p2, f1, f2 = mix.predict()
-        rest = (1 << SCALE) - f1 - f2
-        i, known = now.astype(np.int64), f1 + f2
-        begin, end = known + ((rest * begins.take(i)) >> ZERO_BITS), known + ((rest * ends.take(i)) >> ZERO_BITS)
-        hit1, hit2 = now == p1, now == p2
-        _known(begin, end, f1, f2, hit1 & ~hit2, hit2)
-        unit = sp >> _U(SCALE)
-        end -= begin
-        lo += unit * begin.view(_U)
-        np.multiply(unit, end.view(_U), out=sp)
-        _renorm(lo, sp, emit)
-        mix.learn(now, hit1, hit2)
-    every = np.arange(lanes)
-    for _ in range(4):
-        emit(every, low)
-        low <<= _U(16)
-    big = out.astype(">u2")
-    return [big[a:b].tobytes() for a, b in zip(first.tolist(), next_at.tolist(), strict=True)], counts
-
-
-def _known(begin, end, f1, f2, by1, by2) -> None:
-    """Bounds of ids that order 1 or 2 predicted, put in place of those by frequency."""
-    at = np.flatnonzero(by1)
-    begin[at] = f2[at]
-    end[at] = f2[at] + f1[at]
-    at = np.flatnonzero(by2)
-    begin[at] = 0
-    end[at] = f2[at]
-
-
-def expand(blocks: list[bytes], counts: np.ndarray, n: int) -> np.ndarray:
-    """The ids that ``compress`` coded."""
-    if not n:
-        return np.zeros(0, np.uint32)
-    cum = _frequencies(counts)
-    begins, ends = cum[:-1].copy(), cum[1:].copy()
-    at_share = np.repeat(np.arange(len(counts), dtype=np.uint32), np.diff(cum))  # the id of each of 2 ** ZERO_BITS shares
-    lanes = len(blocks)
-    width = max(map(len, blocks)) // 2 + 8
-    units = np.zeros((lanes, width), np.uint16)
-    for i, b in enumerate(blocks):
-        units[i, : len(b) // 2] = np.frombuffer(b, ">u2")
-    units = units.ravel().astype(_U)
-    start = np.arange(lanes, dtype=np.int64) * width
-    code = np.zeros(lanes, _U)
-    for _ in range(4):
-        code = (code << _U(16)) | units[start]
-        start += 1
-    last = n - (lanes - 1) * BLOCK_IDS
-    mix, low, span = _Mix(lanes), np.zeros(lanes, _U), np.full(lanes, ~_U(0))
-    grid, active = np.zeros((BLOCK_IDS, lanes), np.uint32), lanes
-
-    def fill(at, lo):
-        to = start[at]
-        code[at] = (code[at] << _U(16)) | units[to]
-        start[at] = to + 1
-
-    for step in range(BLOCK_IDS):
-        if step == last and active == lanes:
-            active -= 1
-            if not active:
-                break
-            mix.narrow(active)
-        lo, sp = low[:active], span[:active]
-        p1, p2, f1, f2 = mix.predict()
-        known = f1 + f2
-        rest = (1 << SCALE) - known
-        unit = sp >> _U(SCALE)
-        value = np.minimum((code[:active] - lo) // unit, _U((1 << SCALE) - 1)).view(np.int64)
-        own = value - known
-        by2, by1 = value < f2, own < 0
-        np.maximum(own, 0, out=own)
-        target = (((own + 1) << ZERO_BITS) - 1) // rest
-        now = at_share.take(target)
-        i = now.astype(np.int64)
-        begin, end = known + ((rest * begins.take(i)) >> ZERO_BITS), known + ((rest * ends.take(i)) >> ZERO_BITS)
-        by1 &= ~by2
-        _known(begin, end, f1, f2, by1, by2)
-        now[by1], now[by2] = p1[by1], p2[by2]
-        end -= begin
-        lo += unit * begin.view(_U)
-        np.multiply(unit, end.view(_U), out=sp)
-        _renorm(lo, sp, fill)
-        grid[step, :active] = now
-        mix.learn(now, now == p1, now == p2)
-    return grid.T.ravel()[:n]
-
-
 def to_file(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    """A file: magic, header length, zstd of the header, blocks. The header has each block's length and checksum."""
-    blocks, counts = compress(ids)
-    sums = [zlib.crc32(ids[a : a + BLOCK_IDS].astype("<u4").tobytes()) for a in range(0, len(ids), BLOCK_IDS)]
-    there = np.flatnonzero(counts)
-    parts = [np.array([len(doc_ids), len(ids), len(blocks), len(there)], "<i8"), np.array([x is None for x in doc_ids], "u1"), np.array([x or 0 for x in doc_ids], "<i8"), sizes.astype("<i8"), np.array([len(b) for b in blocks], "<i8"), np.array(sums, "<u4"), there.astype("<i8"), counts[there].astype("<i8")]
+    """A file: magic, header length, zstd of the header, blocks. The header has the documents and each block's length."""
+    n = -(-len(ids) // BLOCK_IDS)
+    blocks = [to_block(x) for x in np.array_split(ids, n)] if n else []
+    parts = [np.array([len(doc_ids), len(blocks)], "<i8"), np.array([x is None for x in doc_ids], "u1"), np.array([x or 0 for x in doc_ids], "<i8"), sizes.astype("<i8"), np.array([len(b) for b in blocks], "<i8")]
     head = zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() for p in parts))
-    return MAGIC + len(head).to_bytes(8, "little") + head + b"".join(blocks)
+    return MAGIC + np.array([len(head), zlib.crc32(head)], "<u4").tobytes() + head + b"".join(blocks)
 
 
 def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, ids in each document, and all ids; ValueError if a checksum is wrong."""
     if data[:8] != MAGIC:
         raise ValueError("not a file of ids")
-    size = int.from_bytes(data[8:16], "little")
+    size, checksum = np.frombuffer(data, "<u4", 2, 8).tolist()
+    if zlib.crc32(data[16 : 16 + size]) != checksum:
+        raise ValueError("checksum of the header")
     raw, at = zstandard.ZstdDecompressor().decompress(data[16 : 16 + size]), 0
 
     def take(kind, k):
@@ -309,64 +127,66 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += out.nbytes
         return out
 
-    docs, n, lanes, kinds = take("<i8", 4).tolist()
-    null, names, sizes, lengths, sums, there, some = take("u1", docs), take("<i8", docs), take("<i8", docs), take("<i8", lanes), take("<u4", lanes), take("<i8", kinds), take("<i8", kinds)
-    counts = np.zeros(int(there.max()) + 1 if kinds else 1, np.int64)
-    counts[there] = some
+    docs, blocks = take("<i8", 2).tolist()
+    null, names, sizes, lengths = take("u1", docs), take("<i8", docs), take("<i8", docs), take("<i8", blocks)
     ends = 16 + size + np.concatenate([[0], np.cumsum(lengths)])
-    ids = expand([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], counts, n)
-    for k, s in enumerate(sums.tolist()):
-        if zlib.crc32(ids[k * BLOCK_IDS : (k + 1) * BLOCK_IDS].astype("<u4").tobytes()) != s:
-            raise ValueError(f"checksum of block {k}")
-    return [None if x else int(v) for x, v in zip(null, names, strict=True)], sizes, ids
+    ids = [from_block(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [None if x else int(v) for x, v in zip(null, names, strict=True)], sizes, np.concatenate([np.zeros(0, np.uint32), *ids])
 
 
 def _writer(root: str, path: str, end_id: int, file_ids: int):
     def run(batches):
         fs, at = file_system(root)
         fs.create_dir(at, recursive=True)
-        context = TaskContext.get()
-        part, attempt = context.partitionId(), context.taskAttemptId()
+        attempt, part = TaskContext.get().taskAttemptId(), None
         names, sizes, ids, held, n, done = [], [], [], 0, 0, []
 
         def close():
             nonlocal names, sizes, ids, held, n
-            data = to_file(names, np.concatenate(sizes), np.concatenate(ids))
-            name = f"part-{part:05d}-{n:05d}.ids"
-            temp = f"{at}/.{name}-{attempt}.tmp"
-            with fs.open_output_stream(temp, compression=None) as f:
-                f.write(data)
-            fs.move(temp, f"{at}/{name}")
-            done.append((part, n, name, len(names), held, len(data)))
-            names, sizes, ids, held, n = [], [], [], 0, n + 1
+            if names:
+                data = to_file(names, np.concatenate(sizes), np.concatenate(ids))
+                name = f"part-{part:06d}-{n:05d}.ids"
+                temp = f"{at}/.{name}-{attempt}.tmp"
+                with fs.open_output_stream(temp, compression=None) as f:
+                    f.write(data)
+                fs.move(temp, f"{at}/{name}")
+                done.append((part, n, name, len(names), held, len(data)))
+                names, sizes, ids, held, n = [], [], [], 0, n + 1
 
         for block in text_blocks(batches, "text", 6 << 20):
-            got, off = encode_texts(block.column("text"), path)
-            names += block.column("doc_id").to_pylist()
-            got = np.insert(got, off[1:], end_id)
-            sizes.append(np.diff(off) + 1)
-            ids.append(got)
-            held += len(got)
-            if held >= file_ids:
-                close()
-        if names:
-            close()
+            parts = block.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if part != parts[a]:
+                    close()
+                    part, n = int(parts[a]), 0
+                got, off = encode_texts(block.column("text").slice(a, b - a), path)
+                names += block.column("doc_id").slice(a, b - a).to_pylist()
+                got = np.insert(got, off[1:], end_id)
+                sizes.append(np.diff(off) + 1)
+                ids.append(got)
+                held += len(got)
+                if held >= file_ids:
+                    close()
+        close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["part", "roll", "file", "docs", "ids", "bytes"])
 
     return run
 
 
-def write_ids(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> str:
+def write_ids(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS, part_bytes: int = PART_BYTES) -> str:
     """Encode texts and write their ids in ascending order of the id; gives the manifest's path.
 
     Null texts count as empty and give the end id alone. Null ids come first, rows of
-    an equal id in the order of their texts. Other columns are not read.
+    an equal id in the order of their texts. Other columns are not read. The files
+    follow from the rows alone: another run or partitioning writes the same bytes.
     """
     tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    files = ordered.mapInArrow(tidy(_writer(root, path or resource(TOKENIZER), end_id, file_ids)), "part long, roll long, file string, docs long, ids long, bytes long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    at = bounds(rows.withColumn("size", F.octet_length("text")), "doc_id", "tie", "size", part_bytes)
+    ordered = in_ranges(rows, "doc_id", "tie", at, "part").sortWithinPartitions("part", "doc_id", "tie", "text")
+    files = ordered.drop("tie").mapInArrow(tidy(_writer(root, path or resource(TOKENIZER), end_id, file_ids)), "part long, roll long, file string, docs long, ids long, bytes long")
     listed = sorted(files.collect(), key=lambda r: (r.part, r.roll))  # a row per file
     fs, at = file_system(root)
     fs.create_dir(at, recursive=True)
