@@ -1,9 +1,9 @@
 """WARC archives: deterministic sharded writer and reader.
 
-Records are range-sorted by page and written by one task per range. A file is
-rolled when its compressed size reaches a limit; ids, dates and digests of headers
-follow from the record alone, so a repeated run writes the same bytes. A task
-writes under a temporary name and renames; the manifest, written last, names the
+Records are range-sorted by page and written by one task per range. The ranges follow
+from the rows alone, a file is rolled when its compressed size reaches a limit, and
+ids, dates and digests of headers follow from the record, so another run or
+partitioning of the input writes the same bytes. A task writes under a temporary name and renames; the manifest, written last, names the
 files that count, so leftovers of lost tasks are never read.
 """
 
@@ -20,13 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, tidy, tune
+from .common import cut, new_path, table, tidy, tune
+from .ranges import bounds, in_ranges
 
 #: Compressed bytes after which a file is closed; the record at the limit is still in it.
 ROLL_BYTES = 32 << 20
 #: Payloads below this many bytes are always written whole.
 LEAST_REVISIT = 1000
-SALTS = 16
+#: Bytes of payloads of one range of pages.
+PART_BYTES = 32 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -80,44 +82,49 @@ def revisits(rows: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
     Of equal payloads of ``least`` bytes or more the one with the largest page_id
     stands, the others refer to it; null ids come last, and of rows that repeat the
-    standing id each stands. Payloads travel as digests; a digest that fills many
-    rows is met by salted keys.
+    standing id each stands. Payloads travel as digests. Digests with a thousandth of
+    the rows each, 1000 at most, are broadcast; the others meet in a shuffle.
     """
     keys = rows.where(F.col("payload_bytes") >= least).select("page_id", "url", "payload_digest")
     twice = keys.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("o"), F.count("*").alias("n")).where("n > 1 and o.page_id is not null")
-    twice = twice.select("payload_digest", "o", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = keys.select("page_id", "payload_digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
-    met = salted.join(twice, ["payload_digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("o.page_id")))
-    return met.select("page_id", "payload_digest", F.col("o.page_id").alias("refers_to"), F.col("o.url").alias("original_url"))
+    twice, total = cut(twice, "warc-twice"), rows.count()
+    heavy = F.col("n") * 1000 > total
+    mixed = keys.select("page_id", "payload_digest").join(F.broadcast(twice.where(heavy)), "payload_digest", "left")
+    light = mixed.where("n is null").select("page_id", "payload_digest").join(twice.where(~heavy).hint("shuffle_merge"), "payload_digest")
+    met = mixed.where("n is not null").union(light.select(mixed.columns)).where(~F.col("page_id").eqNullSafe(F.col("o.page_id")))
+    return met.select("page_id", "payload_digest", F.col("o.page_id").alias("refers_to"), F.col("o.url").alias("original_url")).distinct()
 
 
 def _writer(root: str, roll: int):
     def run(batches):
         fs, at = file_system(root)
         fs.create_dir(at, recursive=True)
-        context = TaskContext.get()
-        part, attempt = context.partitionId(), context.taskAttemptId()
+        attempt, part = TaskContext.get().taskAttemptId(), None
         out, n, done, told = None, 0, [], (None, None)
 
         def close():
             nonlocal out, n
             stream, temp, size, count, crc = out
             stream.close()
-            name = f"part-{part:05d}-{n:05d}.warc.gz"
+            name = f"part-{part:06d}-{n:05d}.warc.gz"
             fs.move(temp, f"{at}/{name}")
             done.append((part, n, name, size, count, crc))
             out, n = None, n + 1
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", "original_url")]
-            for page, url, html, length, digest, refers, original in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("part", "page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", "original_url")]
+            for at_part, page, url, html, length, digest, refers, original in zip(*cols, strict=True):
+                if at_part != part:
+                    if out is not None:
+                        close()
+                    part, n = at_part, 0
                 if html is None:  # what is known of the pages that follow
                     told = (page, digest), (refers, original)
                     continue
                 refers, original = told[1] if told[0] == (page, digest) else (None, None)
                 data = member(record(page, url, html.encode() if refers is None else b"", length, digest, refers, original))
                 if out is None:
-                    temp = f"{at}/.part-{part:05d}-{n:05d}-{attempt}.tmp"
+                    temp = f"{at}/.part-{part:06d}-{n:05d}-{attempt}.tmp"
                     out = [fs.open_output_stream(temp, compression=None), temp, 0, 0, 0]
                 out[0].write(data)
                 out[2:] = [out[2] + len(data), out[3] + 1, zlib.crc32(data, out[4])]
@@ -131,18 +138,22 @@ def _writer(root: str, roll: int):
     return run
 
 
-def write_warc(pages: DataFrame, root: str, roll: int = ROLL_BYTES, least: int = LEAST_REVISIT) -> str:
+def write_warc(pages: DataFrame, root: str, roll: int = ROLL_BYTES, least: int = LEAST_REVISIT, part_bytes: int = PART_BYTES) -> str:
     """Write ``pages`` (page_id, url, html) as archives under ``root``; gives the manifest's path.
 
-    An empty table gives a manifest without files. Other columns are not read.
+    Pages without an id come first. An empty table gives a manifest without files.
+    Other columns are not read.
     """
     tune(pages.sparkSession)
     rows = payloads(pages)
-    known = revisits(rows, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(None).cast("long").alias("payload_bytes"), "payload_digest", "refers_to", "original_url")
+    digests = cut(rows.drop("html"), "warc-digests")
+    known = revisits(digests, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(None).cast("long").alias("payload_bytes"), "payload_digest", "refers_to", "original_url")
     both = rows.withColumns({"refers_to": F.lit(None).cast("long"), "original_url": F.lit(None).cast("string")}).unionByName(known)
     # a page and what is known of it meet in one range; payloads are shuffled once
-    ordered = both.repartitionByRange("page_id", "payload_digest").sortWithinPartitions("page_id", "payload_digest", F.col("html").isNotNull(), "url")
-    files = ordered.mapInArrow(tidy(_writer(root, roll)), "part long, roll long, file string, bytes long, records long, crc32 long")
+    tie = F.xxhash64("payload_digest")
+    at = bounds(digests.withColumn("tie", tie), "page_id", "tie", "payload_bytes", part_bytes)
+    ordered = in_ranges(both.withColumn("tie", tie), "page_id", "tie", at, "part").sortWithinPartitions("part", "page_id", "tie", "payload_digest", F.col("html").isNotNull(), "url")
+    files = ordered.drop("tie").mapInArrow(tidy(_writer(root, roll)), "part long, roll long, file string, bytes long, records long, crc32 long")
     # one row per file; a file holds tens of megabytes
     rows = sorted(files.collect(), key=lambda r: (r.part, r.roll))
     fs, at = file_system(root)
