@@ -2,19 +2,25 @@
 
 Each word is a context with a restaurant of its own; all share one parent, the
 restaurant of single words, whose base is even over the words seen and one class for
-all others. Customers of a dish at a context are seated by Gibbs sampling: in each
-sweep every customer leaves its table and takes a seat again. Tables of contexts are
-the parent's customers, which are seated likewise. A text's probability is the mean
-over the kept samples.
+all others. Seating is sampled by Gibbs steps in turn: given the parent's predictive
+probabilities, the tables of each dish of each context; then, given these tables,
+which are the parent's customers, the tables of each of the parent's dishes. A step
+moves all customers of a dish at once, at every count (``seating``). Dishes of one
+round are drawn side by side from the tables that the round before left. Two chains
+run beside each other; a text's probability is the mean over their last rounds.
 
 Texts are cut to blocks with a dictionary each. Words travel as sorted hashes and
-pairs as sorted keys, once per block, to the task that owns their bucket; counts and
-tables come back in the same order. A frequent word or pair is one entry per block.
+pairs as sorted keys, once per block, to the task that owns their bucket; counts come
+back in the same order. A frequent word or pair is one entry per block. One block
+stands for each pair and draws its tables; rounds send sums by word, not pairs. At the
+end tables go to the pairs' owners and from there to all blocks that have the pair.
 Words are told apart by 64-bit hashes, pairs by 56-bit keys of their words' numbers.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,15 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import binary_array, byte_list, crc_mod, cut, table, text_blocks, text_view, tidy, tune
+from .seating import Law
 
 BLOCK_BYTES = 12 << 20
-SAMPLES, BURN_IN = 2, 2
+CHAINS, ROUNDS = 2, 3
 #: Discount and concentration of contexts, and of their parent.
 CONTEXT, PARENT = (0.85, 4.0), (0.6, 10.0)
-#: Customers of a dish up to which each one is moved alone; beyond, stretches of a sixteenth are seated together.
-ONE_BY_ONE = 24
-#: Steps to an octave in which the mass of a new table is sent.
-MASS_STEPS = 4
 END = b" "
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -71,42 +74,9 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max))
 
 
-def seat(count: np.ndarray, mass: np.ndarray, discount: float, rng, samples: int = SAMPLES, burn_in: int = BURN_IN) -> np.ndarray:
-    """Tables of each dish in each kept sample, from its customers and the mass of a new table."""
-    out = np.zeros((samples, len(count)), np.int64)
-    out[:, count == 1] = 1
-    for c in np.unique(count[(count > 1) & (count <= ONE_BY_ONE)]).tolist():
-        at = np.flatnonzero(count == c)
-        for a in range(0, len(at), 200_000):
-            own = at[a : a + 200_000]
-            m, rows = mass[own], np.arange(len(own))
-            size = np.zeros((len(own), c), np.int16)  # customers at each table
-            size[:, 0] = 1
-            for k in range((samples + burn_in) * c + c - 1):
-                if k >= c - 1:  # one customer, any with like chance, leaves
-                    cum = size.cumsum(axis=1)
-                    gone = (cum > (rng.random(len(own)) * c)[:, None]).argmax(axis=1)
-                    size[rows, gone] -= 1
-                weight = np.maximum(size - discount, 0) * (size > 0)
-                free = (size == 0).argmax(axis=1)
-                weight[rows, free] = m
-                cum = weight.cumsum(axis=1)
-                to = (cum > (rng.random(len(own)) * cum[:, -1])[:, None]).argmax(axis=1)
-                size[rows, to] += 1
-                done = (k - (c - 1) + 1) / c - burn_in
-                if done >= 1 and done == int(done):
-                    out[int(done) - 1, own] = (size > 0).sum(axis=1)
-    large = np.flatnonzero(count > ONE_BY_ONE)
-    if len(large):
-        c, m = count[large], mass[large]
-        for s in range(samples):
-            tables, seated = np.ones(len(large), np.int64), np.ones(len(large), np.int64)
-            while (left := np.minimum(c - seated, np.maximum(1, seated // 16))).any():
-                p = m / (m + np.maximum(seated - discount * tables, 1e-9))
-                tables += rng.binomial(left, np.clip(p, 0, 1))
-                seated += left
-            out[s, large] = tables
-    return out
+@functools.cache
+def law(discount: float) -> Law:
+    return Law(discount)
 
 
 def _cut_blocks(buckets: int):
@@ -182,24 +152,45 @@ def _own_words(rows: pa.Table) -> pa.Table:
     return _out(out)
 
 
-class _Block:
+class _Rows:
+    """What came back to a block, by kind; the parts of a kind are in the order of buckets."""
+
+    def __init__(self, rows: pa.Table):
+        self.kinds = {}
+        for kind in set(rows.column("kind").to_pylist()):
+            some = rows.filter(pa.compute.equal(rows.column("kind"), kind)).sort_by("bucket")
+            self.kinds[kind] = some.column("bucket").to_pylist(), [load(x) for x in some.column("packed").to_pylist()]
+        if "words" in self.kinds:
+            buckets, parts = self.kinds["words"]
+            self.word_edges = np.cumsum([0, *(len(p[0]) for p in parts)])
+            self.number = np.concatenate([(b << 36) + np.cumsum(p[0], dtype=np.int64) for b, p in zip(buckets, parts, strict=True)])
+            self.count = np.concatenate([p[1].astype(np.int64) for p in parts])
+
+    def back(self, kind: str, columns: int) -> list[np.ndarray]:
+        parts = self.kinds[kind][1]
+        return [np.concatenate([p[k].astype(np.int64) for p in parts]) for k in range(columns)]
+
+    def parent(self, words: int, totals: list[int]):
+        """Of each chain: probabilities of the words in the parent, and tables of their restaurants."""
+        d, theta = PARENT
+        got = self.back("parent", 3 * CHAINS)
+        for s in range(CHAINS):
+            customers, tables, context = got[3 * s : 3 * s + 3]
+            all_customers, all_tables = totals[2 * s : 2 * s + 2]
+            yield (customers - d * tables + (theta + d * all_tables) / (words + 1)) / (theta + all_customers), context
+
+
+class _Block(_Rows):
     """A block's documents, and what came back about its words and pairs."""
 
     def __init__(self, rows: pa.Table, docs: pa.Table):
+        super().__init__(rows)
         rank, by, size, held = load(docs.column("packed")[0].as_py())
         self.seq, self.size, self.held = by.astype(np.int64)[rank], size.astype(np.int64), held.astype(bool)
         ends = np.cumsum(self.size) - 1
         self.before = np.empty_like(self.seq)
         self.before[1:] = self.seq[:-1]
         self.before[np.concatenate([[0], ends[:-1] + 1])] = self.seq[ends[0]]  # a text begins after an end
-        self.kinds = {}
-        for kind in set(rows.column("kind").to_pylist()):
-            some = rows.filter(pa.compute.equal(rows.column("kind"), kind)).sort_by("bucket")
-            self.kinds[kind] = some.column("bucket").to_pylist(), [load(x) for x in some.column("packed").to_pylist()]
-        buckets, parts = self.kinds["words"]
-        self.word_edges = np.cumsum([0, *(len(p[0]) for p in parts)])
-        self.number = np.concatenate([(b << 36) + np.cumsum(p[0], dtype=np.int64) for b, p in zip(buckets, parts, strict=True)])
-        self.count = np.concatenate([p[1].astype(np.int64) for p in parts])
 
     def pairs(self, buckets: int):
         """Distinct pairs by bucket and key: words, keys, training counts, and each token's pair."""
@@ -218,101 +209,136 @@ class _Block:
         place[order] = np.arange(len(order))
         return u[order], w[order], key[order], bucket[order], train[order], place[at]
 
-    def back(self, kind: str, columns: int) -> list[np.ndarray]:
-        parts = self.kinds[kind][1]
-        return [np.concatenate([p[k].astype(np.int64) for p in parts]) for k in range(columns)]
 
-
-def _send_pairs(buckets: int, tokens: int, words: int):
-    """Keys of a block's pairs, training counts, and the mass of a new table."""
+def _send_pairs(buckets: int):
+    """Keys of a block's pairs and their training counts."""
 
     def run(rows: pa.Table, docs: pa.Table) -> pa.Table:
         b = _Block(rows, docs)
-        u, w, key, bucket, train, _ = b.pairs(buckets)
-        d, theta = CONTEXT
-        mass = (theta + d * b.count[u] ** 0.9) * ((b.count[w] + 0.1) / (tokens + 0.1 * (words + 1)))
-        mass = np.clip(np.round(np.log2(mass) * MASS_STEPS) + 160, 0, 255).astype(np.uint8)
+        _, _, key, bucket, train, _ = b.pairs(buckets)
         edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
         name = docs.column("block")[0].as_py()
-        return _out([(name, int(bucket[x]), dump(steps(key[x:y]), small(train[x:y]), mass[x:y]), None) for x, y in zip(edge[:-1], edge[1:], strict=True)])
+        return _out([(name, int(bucket[x]), dump(steps(key[x:y]), small(train[x:y])), None) for x, y in zip(edge[:-1], edge[1:], strict=True)])
 
     return run
 
 
 def _own_pairs(rows: pa.Table) -> pa.Table:
-    """Count and seat the pairs of a bucket: each block gets counts, tables, and whether it stands for the pair."""
+    """Count the pairs of a bucket: each block gets whether it stands for the pair, counts, and places of pairs counted twice or more."""
     rows = rows.sort_by("block")
     parts = [load(x) for x in rows.column("packed").to_pylist()]
     keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
     every, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     count = np.bincount(at, weights=np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
-    mass = 2.0 ** ((np.concatenate([p[2] for p in parts])[first].astype(np.float64) - 160) / MASS_STEPS)
-    bucket = rows.column("bucket")[0].as_py()
-    tables = seat(count, mass, CONTEXT[0], np.random.default_rng(bucket))
+    place = np.cumsum(count > 1) - 1
     stands = np.zeros(len(at), np.uint8)
     stands[first] = 1
-    out, a = [], 0
+    out, a, bucket = [], 0, rows.column("bucket")[0].as_py()
     for b, k in zip(rows.column("block").to_pylist(), keys, strict=True):
         own = slice(a, a + len(k))
         a += len(k)
         i = at[own]
-        out.append((b, bucket, dump(stands[own], small(count[i]), *(small(count[i] - t[i]) for t in tables)), None))
+        out.append((b, bucket, dump(stands[own], small(count[i]), small(steps(place[i[count[i] > 1]]))), None))
     return _out(out)
 
 
-def _send_tables(buckets: int):
-    """Tables of the pairs a block stands for, by dish and by context."""
+def _begin(buckets: int):
+    """The pairs that a block stands for and that have a choice: words and counts; and the tables of those that have none."""
 
     def run(rows: pa.Table, docs: pa.Table) -> pa.Table:
         b = _Block(rows, docs)
         u, w, *_ = b.pairs(buckets)
-        stands, count, *spare = b.back("pairs", 2 + SAMPLES)
-        sums = []
-        for s in spare:
-            t = (count - s) * stands
-            sums += [np.bincount(x, weights=t, minlength=len(b.number)).astype(np.int64) for x in (w, u)]
-        name, names, parts = docs.column("block")[0].as_py(), *b.kinds["words"]
-        return _out([(name, k, dump(p[0], small(b.count[x:y]), *(small(s[x:y]) for s in sums)), None) for k, p, x, y in zip(names, parts, b.word_edges[:-1], b.word_edges[1:], strict=True)])
+        stands, count = b.back("pairs", 2)
+        own, alone = np.flatnonzero((stands > 0) & (count > 1)), np.flatnonzero((stands > 0) & (count == 1))
+        n = len(b.number)
+        return _out([(docs.column("block")[0].as_py(), 0, dump(small(u[own]), small(w[own]), small(count[own]), small(np.bincount(w[alone], minlength=n)), small(np.bincount(u[alone], minlength=n))), None)])
+
+    return run
+
+
+def _round(k: int, tokens: int, words: int, totals: list[int] | None):
+    """Draw the tables of a block's pairs; rows for the words' owners, and one without a bucket that keeps the tables."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        b, name = _Rows(rows), rows.column("block")[0].as_py()
+        u, w, count, alone_w, alone_u = (x.astype(np.int64) for x in b.kinds["state"][1][0])
+        d, theta = CONTEXT
+        if totals is None:  # a start: words by their counts, and about as many tables as such contexts have
+            start = (b.count + 0.1) / (tokens + 0.1 * (words + 1)), np.ceil(b.count**0.9)
+            given, had, parents = [start] * CHAINS, [np.ones(len(count), np.int64)] * CHAINS, [np.minimum(b.count, 1)] * CHAINS
+        else:
+            given, had, parents = list(b.parent(words, totals)), b.kinds["tables"][1][0], b.back("parent", 3 * CHAINS)[1::3]
+        drawn, sums = [], []
+        for s, ((p, context), old, parent) in enumerate(zip(given, had, parents, strict=True)):
+            rng = np.random.default_rng([name, k, s])
+            t = law(d).draw(count, np.maximum(context[u] - old.astype(np.int64), 0) + theta / d, p[w], rng)
+            drawn.append(t)
+            sums += [x + np.bincount(i, weights=t, minlength=len(x)).astype(np.int64) for x, i in ((alone_w, w), (alone_u, u))] + [parent]
+        names, parts = b.kinds["words"]
+        return _out([(name, None, dump(*map(small, drawn)), None), *((name, i, dump(p[0], *(small(x[a:z]) for x in sums)), None) for i, p, a, z in zip(names, parts, b.word_edges[:-1], b.word_edges[1:], strict=True))])
 
     return run
 
 
-def _own_parent(words: int):
+def _own_parent(k: int, words: int, totals: list[int] | None):
     def run(rows: pa.Table) -> pa.Table:
-        """Seat the parent's customers of a bucket: each block gets customers, tables, and tables of its contexts."""
+        """Draw the parent's tables of a bucket: each block gets customers, tables, and tables of its contexts."""
         rows = rows.sort_by("block")
         parts = [load(x) for x in rows.column("packed").to_pylist()]
         at = [np.cumsum(p[0], dtype=np.int64) for p in parts]
         flat = np.concatenate(at)
-        n = int(flat.max()) + 1
-        bucket = rows.column("bucket")[0].as_py()
-        rng, found, totals = np.random.default_rng(bucket + (1 << 40)), [], []
-        for s in range(SAMPLES):
-            dish, context = (np.bincount(flat, weights=np.concatenate([p[2 + 2 * s + k] for p in parts]).astype(np.float64), minlength=n).astype(np.int64) for k in (0, 1))
-            mass = np.full(n, (PARENT[1] + PARENT[0] * words) / (words + 1))
-            tables = seat(dish, mass, PARENT[0], rng, 1)[0]
+        n, bucket = int(flat.max()) + 1, rows.column("bucket")[0].as_py()
+        d, theta = PARENT
+        found, told = [], []
+        for s in range(CHAINS):
+            dish, context = (np.bincount(flat, weights=np.concatenate([p[1 + 3 * s + j] for p in parts]).astype(np.float64), minlength=n).astype(np.int64) for j in (0, 1))
+            old = np.zeros(n, np.int64)
+            old[flat] = np.concatenate([p[3 + 3 * s] for p in parts])
+            all_tables = totals[2 * s + 1] if totals else words
+            rng = np.random.default_rng([bucket, k, s, 1])
+            tables = law(d).draw(dish, np.maximum(all_tables - old, 0) + theta / d, np.full(n, 1 / (words + 1)), rng)
             found += [dish, tables, context]
-            totals += [int(dish.sum()), int(tables.sum())]
-        return _out([(b, bucket, dump(*(small(x[i]) for x in found)), None if k else totals) for k, (b, i) in enumerate(zip(rows.column("block").to_pylist(), at, strict=True))])
+            told += [int(dish.sum()), int(tables.sum())]
+        return _out([(b, bucket, dump(*(small(x[i]) for x in found)), None if j else told) for j, (b, i) in enumerate(zip(rows.column("block").to_pylist(), at, strict=True))])
 
     return run
 
 
+def _send_seats(rows: pa.Table) -> pa.Table:
+    """Places of a block's pairs with a choice, which of them it stands for, and the tables of these."""
+    b, out, a = _Rows(rows), [], 0
+    tables = b.kinds["tables"][1][0]
+    for bucket, (stands, count, place) in zip(*b.kinds["pairs"], strict=True):
+        own = stands[count > 1]
+        z = a + int(own.sum())
+        out.append((rows.column("block")[0].as_py(), bucket, dump(place, own, *(small(t[a:z]) for t in tables)), None))
+        a = z
+    return _out(out)
+
+
+def _own_seats(rows: pa.Table) -> pa.Table:
+    """Tables of a bucket's pairs with a choice: each block gets those of its own."""
+    parts = [load(x) for x in rows.column("packed").to_pylist()]
+    places = [np.cumsum(p[0], dtype=np.int64) for p in parts]
+    seats = np.zeros((CHAINS, 1 + max((int(x[-1]) for x in places if len(x)), default=0)), np.int64)
+    for p, x in zip(parts, places, strict=True):
+        seats[:, x[p[1] > 0]] = p[2:]
+    bucket = rows.column("bucket")[0].as_py()
+    return _out([(b, bucket, dump(*(small(t[x]) for t in seats)), None) for b, x in zip(rows.column("block").to_pylist(), places, strict=True)])
+
+
 def _score(buckets: int, tokens: int, words: int, totals: list[int]):
     def run(rows: pa.Table, docs: pa.Table) -> pa.Table:
         b = _Block(rows, docs)
         u, w, _, _, _, pair = b.pairs(buckets)
-        _, count, *spare = b.back("pairs", 2 + SAMPLES)
-        stats = b.back("parent", 3 * SAMPLES)
+        _, count = b.back("pairs", 2)
         d, theta = CONTEXT
-        d0, theta0 = PARENT
         p = np.zeros(len(u))
-        for s in range(SAMPLES):
-            dish, tables, context = stats[3 * s : 3 * s + 3]
-            all_dish, all_tables = totals[2 * s : 2 * s + 2]
-            parent = (np.maximum(dish - d0 * tables, 0) + (theta0 + d0 * all_tables) / (words + 1)) / (theta0 + all_dish)
-            own = np.maximum(count - d * (count - spare[s]), 0) + (theta + d * context[u]) * parent[w]
-            p += np.where(b.count[u] > 0, own / (theta + b.count[u]), parent[w]) / SAMPLES
+        for (parent, context), seats in zip(b.parent(words, totals), b.back("seats", CHAINS), strict=True):
+            tables = np.minimum(count, 1)
+            tables[count > 1] = seats
+            own = count - d * tables + (theta + d * context[u]) * parent[w]
+            p += np.where(b.count[u] > 0, own / (theta + b.count[u]), parent[w]) / CHAINS
         base = np.log10((b.count + 0.1) / (tokens + 0.1 * (words + 1)))
         starts = np.concatenate([[0], np.cumsum(b.size)[:-1]])
         total = lambda x: np.add.reduceat(x, starts)
@@ -339,24 +365,34 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     def named(df: DataFrame, kind: str) -> DataFrame:
         return df.select("block", "bucket", "packed", F.lit(kind).alias("kind"))
 
+    def union(*parts: DataFrame) -> DataFrame:
+        return functools.reduce(DataFrame.union, parts)
+
     def meet(run, out, *parts: DataFrame) -> DataFrame:
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.union(p)
-        return both.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(tidy(run), out)
+        """``run`` on each block's rows and its documents."""
+        return union(*parts).groupBy("block").cogroup(own.groupBy("block")).applyInArrow(tidy(run), out)
+
+    def by(column: str, run, rows: DataFrame, label: str = "") -> DataFrame:
+        got = rows.groupBy(column).applyInArrow(tidy(run), _ROWS)
+        return cut(got, label) if label else got
 
     def sums(df: DataFrame, n: int) -> list[int]:
         got = df.where("totals is not null").agg(*(F.sum(F.col("totals")[k]) for k in range(n))).first()
         return [int(x or 0) for x in got]
 
-    words = cut(blocks.where("bucket is not null").select("block", "bucket", "packed").groupBy("bucket").applyInArrow(tidy(_own_words), _ROWS), "py-words")
+    words = by("bucket", _own_words, blocks.where("bucket is not null").select("block", "bucket", "packed"), "py-words")
     tokens, distinct = sums(words, 2)
-    pair_buckets = 4 * buckets
-    pairs = cut(meet(_send_pairs(pair_buckets, tokens, distinct), _ROWS, named(words, "words")).groupBy("bucket").applyInArrow(tidy(_own_pairs), _ROWS), "py-pairs")
-    parent = cut(meet(_send_tables(pair_buckets), _ROWS, named(words, "words"), named(pairs, "pairs")).groupBy("bucket").applyInArrow(tidy(_own_parent(distinct)), _ROWS), "py-parent")
-    totals = sums(parent, 2 * SAMPLES)
+    pair_buckets, words_named = 4 * buckets, named(words, "words")
+    pairs = named(by("bucket", _own_pairs, meet(_send_pairs(pair_buckets), _ROWS, words_named), "py-pairs"), "pairs")
+    state = named(cut(meet(_begin(pair_buckets), _ROWS, words_named, pairs), "py-state"), "state")
+    totals, parent, tables = None, [], []
+    for k in range(ROUNDS):
+        drawn = by("block", _round(k, tokens, distinct, totals), union(words_named, state, *parent, *tables), "py-drawn")
+        seated = by("bucket", _own_parent(k, distinct, totals), drawn.where("bucket is not null"), "py-parent")
+        totals, parent, tables = sums(seated, 2 * CHAINS), [named(seated, "parent")], [named(drawn.where("bucket is null"), "tables")]
+    seats = named(by("bucket", _own_seats, by("block", _send_seats, union(pairs, *tables)), "py-seats"), "seats")
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return meet(_score(pair_buckets, tokens, distinct, totals), out, named(words, "words"), named(pairs, "pairs"), named(parent, "parent"))
+    return meet(_score(pair_buckets, tokens, distinct, totals), out, words_named, pairs, *parent, seats)
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

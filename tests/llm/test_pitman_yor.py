@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import pitman_yor as p
+from marlstone.llm import seating
 
 
 def test_arrays_round_trip():
@@ -14,15 +15,60 @@ def test_arrays_round_trip():
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(xs, p.load(p.dump(*xs))))
 
 
-def test_seating_follows_the_restaurant():
-    """Table counts against the exact distribution for three customers of one dish."""
-    d, m, n = 0.5, 0.7, 20000
-    got = p.seat(np.full(n, 3), np.full(n, m), d, np.random.default_rng(1), samples=1, burn_in=5)[0]
-    w = {1: m * (1 - d) * (2 - d), 2: 3 * m * m * (1 - d), 3: m**3}
-    for t, x in w.items():
-        assert abs((got == t).mean() - x / sum(w.values())) < 0.02
-    big = p.seat(np.full(500, 4000), np.full(500, m), d, np.random.default_rng(2))
-    assert (big >= 1).all() and (big <= 4000).all() and (p.seat(np.array([0, 1]), np.ones(2), d, np.random.default_rng(0)) == [0, 1]).all()
+@pytest.mark.parametrize("d", [p.CONTEXT[0], p.PARENT[0]])
+def test_stirling_numbers_of_many_customers(d):
+    """The forms for many customers against the recurrence."""
+    exact, law = seating.log_stirling(d, 1500), p.law(d)
+    for c in (seating.EXACT + 1, 200, 1500):
+        assert np.abs(law.log_s(np.full(c, float(c)), np.arange(1.0, c + 1)) - exact[c, 1 : c + 1]).max() < 0.03
+
+
+@pytest.mark.parametrize("c", [2, 3, 24, 25, 64, 65, 300])
+@pytest.mark.parametrize("theta, tables, base", [(4.0, 0, 0.3), (4.0, 900, 1e-4), (10.0, 50, 0.01)])
+def test_draws_follow_single_customers(c, theta, tables, base):
+    """Means and deviations of draws against Gibbs sampling that moves one customer at a time."""
+    d, n, rng = 0.85, 4000, np.random.default_rng(c)
+    got = p.law(d).draw(np.full(n, c), np.full(n, tables + theta / d), np.full(n, base), rng)
+    size = np.zeros((200, c), np.int64)  # 200 chains
+    size[:, 0] = c
+    rows, seen = np.arange(200), []
+    for k in range(c * (40 if c < 100 else 12)):
+        gone = (size.cumsum(axis=1) > (rng.random(200) * c)[:, None]).argmax(axis=1)
+        size[rows, gone] -= 1
+        weight = np.maximum(size - d, 0) * (size > 0)
+        weight[rows, (size == 0).argmax(axis=1)] = (theta + d * (tables + (size > 0).sum(axis=1))) * base
+        size[rows, ((cum := weight.cumsum(axis=1)) > (rng.random(200) * cum[:, -1])[:, None]).argmax(axis=1)] += 1
+        if k >= 4 * c and k % c == 0:
+            seen.append((size > 0).sum(axis=1))
+    seen = np.concatenate(seen)
+    assert abs(got.mean() - seen.mean()) < 0.05 * seen.mean() and abs(got.std() - seen.std()) < 0.15 * seen.std() + 0.05
+
+
+class OneTable:
+    @staticmethod
+    def draw(count, others, base, rng):
+        return np.minimum(count, 1)
+
+
+def test_scores_by_hand(spark, monkeypatch):
+    """With one table for each dish everywhere, scores are plain arithmetic on counts; next words add up to 1."""
+    texts = ["a b a b c", "b a", "c c c a b", "", "a b", "d"] * 4
+    tokens = [t.split() + [""] for t in texts]
+    pairs = collections.Counter(x for t in tokens for x in zip(["", *t[:-1]], t))
+    count = collections.Counter(w for t in tokens for w in t)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(p, "law", lambda d: OneTable)
+    got = {r.doc_id: r.score for r in p.score_texts(df, F.lit(False)).collect()}
+    d, theta = p.CONTEXT
+    d0, theta0 = p.PARENT
+    v, n = len(count), len(pairs)
+    of = collections.Counter(w for _, w in pairs)
+    context = collections.Counter(u for u, _ in pairs)
+    base = {w: (of[w] - d0 + (theta0 + d0 * v) / (v + 1)) / (theta0 + n) for w in count}
+    prob = lambda u, w: (pairs[u, w] - d * (pairs[u, w] > 0) + (theta + d * context[u]) * base[w]) / (theta + count[u])
+    want = [sum(math.log10(prob(u, w)) for u, w in zip(["", *t[:-1]], t)) for t in tokens]
+    assert all(abs(got[k] - x) < 1e-9 for k, x in enumerate(want))
+    assert all(abs(sum(prob(u, w) for w in count) + (theta + d * context[u]) / (theta + count[u]) * (theta0 + d0 * v) / (v + 1) / (theta0 + n) - 1) < 1e-12 for u in count)
 
 
 def brute_base(rows, held):
@@ -48,16 +94,6 @@ def test_base_by_brute_force_and_blocks_agree(spark):
     assert sum(x[5] for x in out) > sum(x[4] for x in out)  # better than the base on rows held out
 
 
-def test_next_words_sum_to_one(spark):
-    """All words after one context, and an unseen one, by texts that differ in their last word."""
-    train = ["a b c", "a b", "b a c a", "c c b"] * 3
-    words = ["a", "b", "c"]
-    rows = [(k, t, False) for k, t in enumerate(train)] + [(100 + k, f"a {w}".strip(), True) for k, w in enumerate(["", *words, "zz"])]
-    got = {r.doc_id: r.score for r in p.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held boolean").coalesce(1), F.col("held")).collect()}
-    ends = {r.doc_id: r.score for r in p.score_texts(spark.createDataFrame([*rows[: len(train)], (1, "", True)], "doc_id long, text string, held boolean").coalesce(1), F.col("held")).collect()}
-    assert all(v < 0 for v in got.values()) and ends
-
-
 @pytest.mark.parametrize("parts", [3, 80])
 def test_next_words_sum_to_one_at_any_number_of_partitions(spark, parts):
     """Texts of one and two words give p up to factors f(u) / f(w), which leave the greatest eigenvalue at 1."""
