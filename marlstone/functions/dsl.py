@@ -5,7 +5,7 @@ caller, or a transform of siblings listed before it. Nothing is computed here; e
 series is a plan over columns ``d`` (date) and ``v``.
 
 Transforms: scale(series, factor), sum(series...), ratio(num, den, scale),
-growth(series, rows, yoy), rolling(series, n), formula(node), where a node is
+growth(series, rows, yoy), rolling(series, n, scale), formula(node), where a node is
 ``{"ref": key}``, ``{"const": x}`` or ``{"op": add|sub|mul|div, "args": [a, b]}``.
 """
 
@@ -29,6 +29,18 @@ def _refs(node) -> list[str]:
     return [r for a in node.get("args", []) for r in _refs(a)]
 
 
+def _nodes(node) -> list[str]:
+    """What is wrong with the nodes of a formula."""
+    if not isinstance(node, dict) or not {"ref", "const", "op"} & set(node):
+        return ["a node is a ref, a const or an op"]
+    if "op" not in node:
+        return []
+    args = node.get("args", [])
+    wrong = [] if node["op"] in ("add", "sub", "mul", "div") else [f"unknown operation {node['op']}"]
+    wrong += [] if len(args) == 2 else ["an operation takes two arguments"]
+    return wrong + [w for a in args for w in _nodes(a)]
+
+
 def problems(spec: dict, known: set[str]) -> list[str]:
     """What is wrong with a spec: missing fields, doubled keys, unknown or later references, wrong arity."""
     out, seen = [], set()
@@ -44,8 +56,9 @@ def problems(spec: dict, known: set[str]) -> list[str]:
                 out.append(f"{key}: unknown source {s.get('source')}")
         elif kind == "formula":
             out += [f"{key}: {r} is not listed before" for r in _refs(s.get("formula")) if r not in seen]
-            if s.get("formula", {}).get("op") and len(s["formula"].get("args", [])) != 2:
-                out.append(f"{key}: an operation takes two arguments")
+            out += [f"{key}: {w}" for w in _nodes(s.get("formula"))]
+            if not _refs(s.get("formula")):
+                out.append(f"{key}: a formula needs a series")
         elif kind not in ARITY:
             out.append(f"{key}: unknown transform {kind}")
         else:
@@ -94,7 +107,7 @@ def resolve(spec: dict, sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
             n = int(s["rows"])
             got = S.lag_growth(of[0].withColumn("k", F.lit(s["key"])), ["k"], "d", "v", n, 1.0 if s.get("yoy") else 52 / n).select("d", F.col("growth").alias("v"))
         elif kind == "rolling":
-            got = S.rolling(of[0].withColumn("k", F.lit(s["key"])), ["k"], "d", "v", int(s["n"]), "sum", "r").select("d", F.col("r").alias("v"))
+            got = S.rolling(of[0].withColumn("k", F.lit(s["key"])), ["k"], "d", "v", int(s["n"]), "sum", "r").select("d", (F.col("r") * float(s.get("scale", 1))).alias("v"))
         else:
             got = _formula(s["formula"], done)
         done[s["key"]] = got

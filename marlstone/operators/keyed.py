@@ -37,16 +37,16 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str], ignore: tuple[str,
     return got.withColumn("status", status).where("status is not null").select(*keys, "status")
 
 
-def row_hash(df: DataFrame, ignore: tuple[str, ...] = ()) -> Column:
-    """A 64-bit hash of a row's columns by name; nulls keep their place."""
+def row_hash(df: DataFrame, ignore: tuple[str, ...] = (), seed: int = 0) -> Column:
+    """A 64-bit hash of a row's columns by name; null is unlike any text."""
     cols = sorted(c for c in df.columns if c not in ignore)
-    return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols))
+    return F.xxhash64(F.lit(seed), *(x for c in cols for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())))
 
 
 def partition_digest(df: DataFrame, keys: list[str], ignore: tuple[str, ...] = ()) -> DataFrame:
     """Rows and a digest of each partition, whatever the order of rows; repeated rows count."""
-    h = row_hash(df, ignore)
-    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("digest"))
+    sums = [F.sum(row_hash(df, ignore, seed).cast("decimal(38,0)")).cast("string") for seed in (0, 1)]
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.concat_ws(":", *sums).alias("digest"))
 
 
 def unchanged(now: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

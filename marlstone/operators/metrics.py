@@ -74,10 +74,16 @@ def template_instances(df: DataFrame, keys: list[str], order: str, number: str)
 def contains_all(left: DataFrame, right: DataFrame, left_key: str, left_tokens: str, right_key: str, right_tokens: str) -> DataFrame:
     """Right rows whose tokens all stand among a left row's; the one with most tokens wins.
 
-    Pairs come from a join on tokens, so only rows that share one are compared.
+    Equal sets of tokens are one row each, so frequent tokens meet once per set and
+    not once per row; sets come from a join on tokens, each by its rarest one.
     """
-    need = right.select(right_key, F.array_distinct(right_tokens).alias("_r")).where(F.size("_r") > 0)
-    words = need.select(right_key, F.size("_r").alias("_need"), F.explode("_r").alias("_t"))
-    have = left.select(left_key, F.explode(F.array_distinct(left_tokens)).alias("_t"))
-    met = have.join(words, "_t").groupBy(left_key, right_key).agg(F.count("*").alias("_n"), F.first("_need").alias("_need")).where("_n = _need")
-    return met.groupBy(left_key).agg(F.max_by(right_key, F.struct("_n", right_key)).alias(right_key), F.max("_n").alias("tokens"))
+    sets = lambda df, tokens: df.select("*", F.sort_array(F.array_distinct(tokens)).alias("_set")).where(F.size("_set") > 0)
+    need = sets(right, right_tokens).groupBy("_set").agg(F.max(right_key).alias(right_key))
+    have = sets(left, left_tokens)
+    kinds = have.select("_set").distinct()
+    words = need.select("_set", F.explode("_set").alias("_t"))
+    often = words.groupBy("_t").agg(F.count("*").alias("_often"))
+    rarest = words.join(often, "_t").groupBy("_set").agg(F.min_by("_t", F.struct("_often", "_t")).alias("_t")).withColumnRenamed("_set", "_need")
+    met = kinds.select("_set", F.explode("_set").alias("_t")).join(rarest, "_t").where(F.size(F.array_except("_need", "_set")) == 0)
+    best = met.join(need.withColumnRenamed("_set", "_need"), "_need").groupBy("_set").agg(F.max_by(right_key, F.struct(F.size("_need"), right_key)).alias(right_key), F.max(F.size("_need")).cast("bigint").alias("tokens"))
+    return have.join(best, "_set").select(left_key, right_key, "tokens")

@@ -40,27 +40,65 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return exact_sum(value * weight).cast("double") / exact_sum(F.when(value.isNotNull(), weight)).cast("double")
 
 
+def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, value, ties, below, there``: how often each non-null value occurs, how many rows of the key are less, and how many there are.
+
+    Values are counted first. Counts are added up within buckets of near values and
+    then over the buckets, of which a key has a few thousand at most, so no window
+    holds a key's rows.
+    """
+    v = F.col(value).cast("double")
+    size = F.floor(F.log2(F.abs(v)) * 64) + 100_000
+    bucket = F.when(v == 0, 0).when(v > 0, size).otherwise(-size)  # grows with the value
+    counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties")).withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("ties").alias("_n"))
+    over = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(over.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_bucket").alias("_b"), before.alias("_before"), F.sum("_n").over(over).alias("there"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_bucket") == F.col("_b")]
+    got = counts.withColumn("_inside", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(totals, same)
+    return got.select(*keys, value, "ties", (F.col("_inside") + F.col("_before")).alias("below"), "there")
+
+
+def with_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Every row with ``ties, below, there`` of its value; null values and those of no key get nulls."""
+    ranks = value_ranks(df, keys, value)
+    ranks = ranks.select(*(F.col(c).alias(f"_{c}") for c in (*keys, value)), "ties", "below", "there")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(value) == F.col(f"_{value}")]
+    return df.join(ranks, same, "left").select(*df.columns, "ties", "below", "there")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], names: list[str]) -> DataFrame:
+    """Quantiles of each key by linear interpolation between neighbouring values, and ``there``, the number of values."""
+    ranks = value_ranks(df, keys, value)
+    out = []
+    for q, name in zip(shares, names, strict=True):
+        at = (F.col("there") - 1) * F.lit(q)
+        holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("ties"))
+        low, high = (F.max(F.when(holds(f(at)), F.col(value))) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return ranks.groupBy(*keys).agg(*out, F.max("there").alias("there"))
+
+
 def midrank_score(df: DataFrame, keys: list[str], value: str, higher_is_worse: bool = False, out: str = "score") -> DataFrame:
-    """(mean rank - 1) / (n - 1) with tied ranks averaged; alone 0.5; null stays null."""
-    w = Window.partitionBy(*keys)
-    there = F.count(value).over(w)
-    up = F.rank().over(w.orderBy(F.col(value).asc_nulls_last()))
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    mean = up + (ties - 1) / 2
-    score = F.when(there == 1, 0.5).otherwise((mean - 1) / F.nullif(there - 1, F.lit(0)))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), 1 - score if higher_is_worse else score))
+    """(mean rank - 1) / (n - 1) with tied ranks averaged; alone 0.5; null stays null. No ``keys``: the whole table is one field."""
+    mean = F.col("below") + (F.col("ties") + 1) / 2
+    score = F.when(F.col("there") == 1, 0.5).otherwise((mean - 1) / F.nullif(F.col("there") - 1, F.lit(0)))
+    return with_ranks(df, keys, value).withColumn(out, 1 - score if higher_is_worse else score).select(*df.columns, out)
 
 
 def peer_rank(df: DataFrame, entity: str, group: str, value: str, least: int = 8) -> DataFrame:
-    """Rank in the own class if it has ``least`` members, else in the whole field; null under ``least``."""
+    """Rank in the own class if it has ``least`` members, else in the whole field; null under ``least``. Equal values rank by entity."""
     some = df.where(F.col(value).isNotNull())
-    sizes = some.groupBy(group).agg(F.count("*").alias("class_n"))
-    total = some.agg(F.count("*").alias("all_n"))
-    at = some.join(sizes, group).crossJoin(total).withColumn("field", F.when(F.col("class_n") >= least, F.col(group)).when(F.col("all_n") >= least, F.lit("all")))
-    everyone = some.select(entity, value, F.lit("all").alias("field"))
-    field = some.select(entity, value, F.col(group).alias("field")).unionByName(everyone)
-    ranked = field.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.col(value).desc(), entity)))
-    return at.join(ranked.select(entity, "field", "rank"), [entity, "field"], "left").select(entity, group, value, "field", "rank")
+    own = with_ranks(some, [group], value).withColumnsRenamed({"ties": "own_ties", "below": "own_below", "there": "own_n"})
+    both = with_ranks(own, [], value)
+    tied = lambda *k: F.row_number().over(Window.partitionBy(*k, value).orderBy(entity))
+    in_class = F.col("own_n") - F.col("own_below") - F.col("own_ties") + tied(group)
+    in_all = F.col("there") - F.col("below") - F.col("ties") + tied()
+    large, enough = F.col("own_n") >= least, F.col("there") >= least
+    return both.select(entity, group, value, F.when(large, F.col(group)).when(enough, F.lit("all")).alias("field"), F.when(large, in_class).when(enough, in_all).alias("rank"))
 
 
 def capped_z(value: Column, mean: Column, deviation: Column, n: Column, cap: float = 8.0, least: int = 6) -> Column:

@@ -93,21 +93,33 @@ def average_stock(df: DataFrame, keys: list[str], order: str, value: str, points
 def asof(left: DataFrame, right: DataFrame, keys: list[str], date: str, value: str, lookback: int | None = None) -> DataFrame:
     """The value of ``right`` at its last date on or before each row of ``left``.
 
-    Both sides meet in one window by key, without a range join. ``lookback``: days
-    after which a value no longer holds.
+    Both sides meet in windows by key and month, without a range join; a month also
+    gets the last value of the months before it, so a frequent key is many tasks.
+    ``lookback``: days after which a value no longer holds.
     """
     cols = left.columns
     a = left.withColumn("_side", F.lit(1)).withColumn("_found", F.lit(None).cast(f"struct<at:date,v:{dict(right.dtypes)[value]}>"))
     b = right.where(F.col(value).isNotNull()).select(*(F.col(c) if c in (*keys, date) else F.lit(None).cast(dict(left.dtypes)[c]).alias(c) for c in cols), F.lit(0).alias("_side"), F.struct(F.col(date).alias("at"), F.col(value).alias("v")).alias("_found"))
-    w = Window.partitionBy(*keys).orderBy(date, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    got = a.unionByName(b).withColumn("_last", F.last("_found", ignorenulls=True).over(w)).where("_side = 1")
+    both = a.unionByName(b).withColumn("_month", F.trunc(date, "MM"))
+    months = both.groupBy(*keys, "_month").agg(F.max("_found").alias("_top"))
+    carried = F.last("_top", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1))  # a row per month
+    months = months.select(*keys, "_month", carried.alias("_carried"))
+    w = Window.partitionBy(*keys, "_month").orderBy(date, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    got = both.withColumn("_in", F.last("_found", ignorenulls=True).over(w)).where("_side = 1")
+    for k in (*keys, "_month"):
+        months = months.withColumnRenamed(k, f"{k}_m")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_m")) for k in (*keys, "_month")]
+    got = got.join(months, same, "left").withColumn("_last", F.coalesce("_in", "_carried"))
     fresh = F.col("_last.v") if lookback is None else F.when(F.datediff(date, "_last.at") <= lookback, F.col("_last.v"))
     return got.select(*cols, fresh.alias(value))
 
 
-def daily_steps(rates: DataFrame, date: str, value: str, upto: str) -> DataFrame:
-    """A value for every day from a few changes of it: each holds until the next one."""
-    after = F.coalesce(F.date_sub(F.lead(date).over(Window.orderBy(date)), 1), F.to_date(F.lit(upto)))  # a row per change
+def daily_steps(rates: DataFrame, date: str, value: str, upto) -> DataFrame:
+    """A value for every day from a few changes of it: each holds until the next one, the last up to the day ``upto``.
+
+    ``upto`` is the last day that is asked for (null: no day is); changes after it stay as they are.
+    """
+    after = F.coalesce(F.date_sub(F.lead(date).over(Window.orderBy(date)), 1), F.greatest(F.lit(upto).cast("date"), F.col(date)))  # a row per change
     return rates.select(date, value, after.alias("_to")).select(F.explode(F.sequence(date, "_to")).alias(date), value)
 
 

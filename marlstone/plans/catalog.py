@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CODE = re.compile(r"^[A-Z]{2}\.[A-Z0-9]+\.[A-Z]\.\d{3}\.[A-Z0-9]+$")
+CODE = re.compile(r"^[A-Z]{2}\.[A-Z0-9]+\.[A-Z]\.\d{3,}\.[A-Z0-9]+$")
 MAX_CODES, MAX_POINTS = 20, 2000
 
 
@@ -31,7 +31,7 @@ def build(observations: DataFrame, dataset: str, frequency: str, group: str, sto
         slots = old.unionByName(new)
     else:
         slots = firsts.withColumn("slot", F.row_number().over(Window.orderBy("first", "item"))).select("item", "slot")
-    code = F.concat_ws(".", F.lit("MS"), F.lit(dataset), F.lit(frequency), F.lpad(F.col("slot").cast("string"), 3, "0"), F.upper(F.regexp_replace(F.col(group).cast("string"), "[^A-Za-z0-9]", "")))
+    code = F.concat_ws(".", F.lit("MS"), F.lit(dataset), F.lit(frequency), F.format_string("%03d", F.col("slot")), F.upper(F.regexp_replace(F.col(group).cast("string"), "[^A-Za-z0-9]", "")))
     return stats.join(slots, "item").select(code.alias("series_code"), "item", group, "slot", "start_date", "end_date", "obs_count")
 
 

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_TEXT, ROW_CAP = 2000, 200
+#: Leaves of plans that read nothing: literals, and references to what was walked elsewhere.
+NO_DATA = frozenset({"OneRowRelation", "LocalRelation", "CTERelationRef"})
+#: Functions that reach beyond the data.
+REACH = re.compile(r"\b(try_)?(reflect|java_method)\s*\(|\binput_file_", re.I)
 
 
 @dataclass(frozen=True)
@@ -44,6 +48,23 @@ def _nodes(plan) -> list:
     return out
 
 
+def _outside(plan, allowed: frozenset[str]) -> set[str]:
+    """What a plan reads that is not inside an allowed view: other views, tables, files."""
+    found, todo = set(), [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "View" and (name := p.desc().identifier().table()) in allowed:
+            continue
+        if p.nodeName() == "View":
+            found.add(name)
+            continue
+        kids = [x for seq in (p.children(), p.subqueries(), p.innerChildren()) for x in (seq.apply(i) for i in range(seq.size())) if hasattr(x, "children") and hasattr(x, "subqueries")]
+        if not kids and p.nodeName() not in NO_DATA:
+            found.add(p.nodeName())
+        todo += kids
+    return found
+
+
 def _literals(filters: list[str], column: str) -> set[str]:
     """Values that the filters set for a column by = or IN."""
     found = set()
@@ -64,11 +85,12 @@ def ask(spark: SparkSession, sql: str, policy: Policy, question: str = "") -> An
         return Answer(f"not a single query over known tables: {str(e).splitlines()[0][:120]}")
     nodes = _nodes(frame._jdf.queryExecution().analyzed())
     names = [n.nodeName() for n in nodes]
-    views = {n.desc().identifier().table() for n in nodes if n.nodeName() == "View"}
     if any("Command" in n or "Insert" in n for n in names):
         return Answer("it writes")
-    if views - policy.tables or any(n in ("LogicalRelation", "Relation") for n in names) and not views:
-        return Answer(f"it reads {sorted(views - policy.tables) or 'files'}")
+    if REACH.search(sql):
+        return Answer("it calls a function that reaches beyond the data")
+    if outside := _outside(frame._jdf.queryExecution().analyzed(), policy.tables):
+        return Answer(f"it reads {sorted(outside)}")
     filters = [n.condition().toString() for n in nodes if n.nodeName() == "Filter"]
     sums = [n for n in nodes if n.nodeName() == "Aggregate" and re.search(r"\b(sum|avg)\(", n.aggregateExpressions().toString())]
     for column, family in policy.partitions.items():

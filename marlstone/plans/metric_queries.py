@@ -86,13 +86,11 @@ def numbered_blocks(spark, sf):
     return M.template_instances(at, ["g"], "o", "n")
 
 
-@query("""WITH a AS (SELECT p_partkey AS k, string_split(p_name, ' ') AS t FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_type AS name, list_distinct(string_split(p_name, ' ')) AS t, p_partkey AS k FROM part WHERE p_partkey < 40),
+@query("""WITH a AS (SELECT p_partkey AS k, string_split(p_name, ' ') AS t FROM part), b AS (SELECT list_sort(list_distinct(string_split(p_name, ' '))) AS t, max(p_partkey) AS k FROM part GROUP BY ALL),
     m AS (SELECT a.k, b.k AS b, len(b.t) AS n FROM a JOIN b ON list_has_all(a.t, b.t)) SELECT k, arg_max(b, (n, b)) AS match, max(n) AS tokens FROM m GROUP BY k""")
 def token_containment(spark, sf):
     parts = table(spark, sf, "part", ["p_partkey", "p_name"]).withColumn("t", F.split("p_name", " "))
-    a = parts.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), "t")
-    b = parts.where("p_partkey < 40").select(F.col("p_partkey").alias("match"), F.col("t").alias("u"))
-    return M.contains_all(a, b, "k", "t", "match", "u")
+    return M.contains_all(parts.select(F.col("p_partkey").alias("k"), "t"), parts.select(F.col("p_partkey").alias("match"), F.col("t").alias("u")), "k", "t", "match", "u")
 
 
 @query("""SELECT o_orderpriority AS source, count(*) AS n, max(o_orderdate)::DATE AS newest, CASE WHEN date_diff('day', max(o_orderdate)::DATE, DATE '2001-08-05') <= 1.5 * 2 THEN 'fresh' WHEN date_diff('day', max(o_orderdate)::DATE, DATE '2001-08-05') <= 3 * 2 THEN 'late' ELSE 'stale' END AS status FROM orders GROUP BY 1""")

@@ -82,10 +82,10 @@ def trailing_avg_stock(spark, sf):
     FROM ttm t JOIN supplier ON s_suppkey = t.g JOIN nation ON n_nationkey = s_nationkey LEFT JOIN (SELECT g AS g4, o + 4 AS o4, ttm AS ttm4 FROM ttm) lag4 ON g4 = t.g AND o4 = t.o""")
 def bank_period_panel(spark, sf):
     """Entity by period: single-quarter and trailing flows over average stocks, and growth against a year ago."""
-    at = _panel(spark, sf)
-    before = at.select("g", (F.col("o") + 4).alias("o"), F.col("ttm").alias("before"))
+    year_ago = F.max("ttm").over(Window.partitionBy("g").orderBy("o").rangeBetween(-4, -4))
+    at = _panel(spark, sf).withColumn("before", year_ago)
     names = table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_nationkey"]).join(F.broadcast(table(spark, sf, "nation", ["n_nationkey", "n_name"])), F.col("s_nationkey") == F.col("n_nationkey"))
-    got = at.join(before, ["g", "o"], "left").join(names, F.col("g") == F.col("s_suppkey"))
+    got = at.join(names, F.col("g") == F.col("s_suppkey"))
     period = F.concat((F.col("o") / 4).cast("int").cast("string"), F.lit("Q"), (F.col("o") % 4 + 1).cast("string"))
     return got.select(period.alias("period"), F.col("s_name").alias("entity"), F.col("n_name").alias("class"), F.round("single", 2).alias("flow"), F.round("ttm", 2).alias("ttm"), F.round("average", 4).alias("stock"), r6(S.safe_div(F.col("ttm"), F.col("average")), "turnover"), r6(S.magnitude_growth(F.col("ttm"), F.col("before")), "ttm_growth"))
 
@@ -95,8 +95,8 @@ def bank_period_panel(spark, sf):
     WINDOW w12 AS (PARTITION BY g ORDER BY o ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) QUALIFY count(v) OVER w12 = 12""")
 def rolling_windows(spark, sf):
     at = monthly_orders(spark, sf).select("g", (F.col("y") * 12 + F.col("m") - 1).cast("int").alias("o"), "v")
-    mean = S.rolling(at, ["g"], "o", "v", 12, "avg", "mean12").drop("v")
-    return S.rolling(at, ["g"], "o", "v", 12, "sum", "sum12").join(mean, ["g", "o"]).select("g", "o", F.round("sum12", 2).alias("sum12"), F.round("mean12", 4).alias("mean12"))
+    sums = S.rolling(at, ["g"], "o", "v", 12, "sum", "sum12")
+    return sums.withColumn("mean12", F.col("sum12") / 12).select("g", "o", F.round("sum12", 2).alias("sum12"), F.round("mean12", 4).alias("mean12"))
 
 
 @query(f"""WITH {MONTHLY}, t AS (SELECT g, (y * 12 + m - 1)::INT AS o, v FROM monthly WHERE NOT (g = 'BUILDING' AND y = 1997 AND m = 5))
@@ -128,13 +128,18 @@ def _rates(spark, sf):
     return lines.groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("d")).agg((F.sum(money("l_extendedprice")).cast("double") / F.sum(money("l_quantity")).cast("double") / 1000).alias("rate"))
 
 
+def _last_day(spark, sf):
+    """The last day of any order; the calendar of days up to it is small at any number of orders."""
+    return table(spark, sf, "orders", ["o_orderdate"]).agg(F.to_date(F.max("o_orderdate"))).first()[0]
+
+
 @query(f"""WITH {RATES}, r AS (SELECT d, rate, lead(d) OVER (ORDER BY d) AS e FROM rates)
     SELECT o_orderkey, round(rate, 6) AS rate, round(CASE WHEN rate > 0 THEN o_totalprice / rate END, 6) AS converted
     FROM orders LEFT JOIN r ON o_orderdate::DATE >= r.d AND (r.e IS NULL OR o_orderdate::DATE < r.e)""")
 def asof_rate(spark, sf):
     """Orders at the last rate on or before their day: steps become days, so the join is by equality."""
     orders = table(spark, sf, "orders", ["o_orderkey", "o_orderdate", "o_totalprice"]).withColumn("d", F.to_date("o_orderdate"))
-    steps = S.daily_steps(_rates(spark, sf), "d", "rate", "2005-12-31")
+    steps = S.daily_steps(_rates(spark, sf), "d", "rate", _last_day(spark, sf))
     return orders.join(F.broadcast(steps), "d", "left").select("o_orderkey", r6(F.col("rate"), "rate"), r6(S.safe_div(F.col("o_totalprice"), F.col("rate")), "converted"))
 
 
@@ -149,9 +154,8 @@ def asof_bounded(spark, sf):
 @query(f"""WITH {DAILY} SELECT a.d, round(a.v - b.v, 2) AS diff, round(CASE WHEN b.v > 0 THEN a.v / b.v END, 6) AS ratio FROM daily a JOIN daily b ON a.d = b.d AND a.g = 'F' AND b.g = 'O'""")
 def series_inner_combine(spark, sf):
     at = daily_orders(spark, sf)
-    a, b = (at.where(F.col("g") == g).select("d", "v") for g in "FO")
-    diff, ratio = S.combine(a, b, ["d"], "v", "sub").withColumnRenamed("v", "diff"), S.combine(a, b, ["d"], "v", "div").withColumnRenamed("v", "ratio")
-    return diff.join(ratio, "d").select("d", F.round("diff", 2).alias("diff"), r6(F.col("ratio"), "ratio"))
+    both = at.groupBy("d").pivot("g", ["F", "O"]).agg(F.first("v")).where("F is not null and O is not null")
+    return both.select("d", F.round(F.col("F") - F.col("O"), 2).alias("diff"), r6(S.safe_div(F.col("F"), F.col("O")), "ratio"))
 
 
 @query(f"""WITH {DAILY} SELECT d, round(max(v) FILTER (g = 'F'), 2) AS F, round(max(v) FILTER (g = 'O'), 2) AS O, round(max(v) FILTER (g = 'P'), 2) AS P FROM daily GROUP BY d""")
@@ -215,7 +219,7 @@ def diffusion(spark, sf):
     SELECT a.d, round(((a.tl + a.fx / a.rate * b.rate) / (b.tl + b.fx) - 1) * 100, 4) AS adjusted, round(((a.tl + a.fx) / (b.tl + b.fx) - 1) * 100, 4) AS nominal FROM now a JOIN now b ON a.d = b.d + 364""")
 def fx_adjusted(spark, sf):
     """Growth with the foreign leg restated at the base date's rate."""
-    steps = S.daily_steps(_rates(spark, sf), "d", "rate", "2005-12-31")
+    steps = S.daily_steps(_rates(spark, sf), "d", "rate", _last_day(spark, sf))
     at = daily_orders(spark, sf).join(F.broadcast(steps), "d")
     now = at.where("g = 'O'").select("d", F.col("v").alias("tl")).join(at.where("g = 'F'").select("d", F.col("v").alias("fx"), "rate"), "d")
     base = now.select(F.date_add("d", 364).alias("d"), F.col("tl").alias("tl0"), F.col("fx").alias("fx0"), F.col("rate").alias("rate0"))

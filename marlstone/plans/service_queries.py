@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dsl
 from ..sources.html import html_blocks
-from ..sources.tables import daily_orders, monthly_orders, supplier_quarters, table
+from ..sources.tables import daily_orders, monthly_orders, shared_dir, supplier_quarters, table
 from ..streaming import weekly as W
 from . import catalog, gateway
 from .registry import DAILY, MONTHLY, SUPPLIER, query
@@ -62,15 +62,31 @@ def series_by_code(spark, sf):
     return catalog.observations(catalog.build(facts, "SQ", "Q", "g"), facts, ["MS.SQ.Q.001.1", "MS.SQ.Q.003.2"], "g", "1996-01-01", "1999-12-31")
 
 
-@query("""SELECT o_orderstatus AS g, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1""")
+#: Statements put to the gateway, and the start of the reason why it turns them down.
+ASKED = [
+    ("SELECT o_orderstatus AS g, count(*) AS n FROM gate_orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1", None),
+    ("SELECT o_orderstatus AS g, sum(o_totalprice) AS n FROM gate_orders GROUP BY 1", "it adds up overlapping codes"),
+    ("SELECT o_orderstatus AS g, 1 AS n FROM gate_orders UNION ALL SELECT o_orderstatus, 2 FROM gate_hidden", "it reads"),
+    ("SELECT 1 AS n; DROP VIEW gate_orders", "not a single query"),
+    ("SELECT reflect('java.lang.System', 'exit', 0) AS n FROM gate_orders", "it calls a function"),
+]
+
+
+@query("""SELECT o_orderstatus AS g, count(*) AS n, NULL::VARCHAR AS refused FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 UNION ALL SELECT o_orderstatus, count(*), unnest(['it adds up overlapping codes', 'it reads', 'not a single query', 'it calls a function']) FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1""")
 def guarded_sql(spark, sf):
-    """A statement that the gateway lets through."""
-    table(spark, sf, "orders").createOrReplaceTempView("gate_orders")
+    """The rows of a statement that the gateway lets through, beside the reasons why it turns others down."""
+    orders = table(spark, sf, "orders")
+    orders.createOrReplaceTempView("gate_orders")
+    orders.createOrReplaceTempView("gate_hidden")
     policy = gateway.Policy(frozenset({"gate_orders"}), {"o_orderpriority": {"1-URGENT": "a", "5-LOW": "b"}})
-    got = gateway.ask(spark, "SELECT o_orderstatus AS g, count(*) AS n FROM gate_orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1", policy)
-    if got.reason:
-        raise ValueError(got.reason)
-    return got.rows
+    rows, reasons = None, []
+    for sql, want in ASKED:
+        got = gateway.ask(spark, sql, policy)
+        if (got.reason or "")[: len(want or "")] != (want or ""):
+            raise ValueError(f"{got.reason} instead of {want} for {sql}")
+        rows, reasons = (got.rows, reasons) if want is None else (rows, [*reasons, want])
+    refused = rows.select("g", "n", F.explode(F.array(*map(F.lit, reasons))).alias("refused"))
+    return rows.withColumn("refused", F.lit(None).cast("string")).unionByName(refused)
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?')) AS printed, n_chars FROM documents), f AS (SELECT DISTINCT doc_id, printed, replace(printed, ',', '')::DOUBLE AS figure FROM t)
@@ -84,8 +100,7 @@ def grounding(spark, sf):
 @query("""SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY ALL""")
 def stream_weekly(spark, sf):
     """Weekly sums kept by a stream that reads all there is; they equal the batch's."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    at = f"{base}/weekly-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/weekly-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     # a pattern, so that the table may be one file or a folder of files
     W.run_weekly(spark, f"{sf}/event[s].parquet", schema, f"{at}/sink", f"{at}/state")
@@ -106,13 +121,10 @@ def html_body(spark, sf):
 @query(f"""WITH {MONTHLY}, t AS (SELECT g, y * 12 + m - 1 AS o, v FROM monthly) SELECT a.g, a.o::INT AS o, round(100 * sum(b.v::DECIMAL(38,6))::DOUBLE / sum(c.v::DECIMAL(38,6))::DOUBLE, 4) AS ratio
     FROM t a JOIN t b ON b.g = a.g AND b.o BETWEEN a.o - 2 AND a.o JOIN t c ON c.g = 'BUILDING' AND c.o = b.o WHERE a.g <> 'BUILDING' GROUP BY a.g, a.o HAVING count(*) = 3""")
 def rolling_ratio(spark, sf):
-    """Ratio of rolling sums on shared months."""
-    from ..operators import series as S
-
+    """Ratio of rolling sums on shared months, both in one window."""
     at = monthly_orders(spark, sf).select("g", (F.col("y") * 12 + F.col("m") - 1).cast("int").alias("o"), "v")
     base = at.where("g = 'BUILDING'").select("o", F.col("v").alias("w"))
-    both = at.where("g != 'BUILDING'").join(base, "o")
-    num, den = S.rolling(both, ["g"], "o", "v", 3, "sum", "num", contiguous=True), S.rolling(both, ["g"], "o", "w", 3, "sum", "den", contiguous=True)
-    return num.select("g", "o", "num").join(den.select("g", "o", "den"), ["g", "o"]).select("g", "o", F.round(100 * F.col("num") / F.col("den"), 4).alias("ratio"))
-
-
+    w = Window.partitionBy("g").orderBy("o").rangeBetween(-2, 0)
+    num, den = (F.sum(F.col(c).cast("decimal(38,6)")).over(w).cast("double") for c in "vw")
+    got = at.where("g != 'BUILDING'").join(base, "o").select("g", "o", F.round(100 * num / den, 4).alias("ratio"), F.count("*").over(w).alias("n"))
+    return got.where("n = 3").drop("n")

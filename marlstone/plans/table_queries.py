@@ -169,10 +169,10 @@ def share_hhi(spark, sf):
     SELECT g, round(median, 4) AS median, round(q25, 4) AS q25, round(q75, 4) AS q75, outliers FROM s JOIN x USING (g) WHERE n >= 5""")
 def median_quantile(spark, sf):
     lines = table(spark, sf, "lineitem", ["l_suppkey", "l_extendedprice"]).select(F.col("l_suppkey").alias("g"), F.col("l_extendedprice").alias("x"))
-    q = lines.groupBy("g").agg(F.expr("percentile(x, array(0.25, 0.5, 0.75))").alias("q"), F.count("*").alias("n")).where("n >= 5")
-    far = (F.col("x") > 2 * F.col("q")[1]) | (F.col("x") < F.col("q")[1] / 8)
-    got = lines.join(q, "g").groupBy("g").agg(F.count_if(far).alias("outliers"), F.first("q").alias("q"))
-    return got.select("g", *(F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("q25", "median", "q75"))), "outliers")
+    q = P.quantiles(lines, ["g"], "x", [0.25, 0.5, 0.75], ["q25", "median", "q75"]).where("there >= 5")
+    far = (F.col("x") > 2 * F.col("median")) | (F.col("x") < F.col("median") / 8)
+    got = lines.join(q, "g").groupBy("g").agg(F.count_if(far).alias("outliers"), *(F.first(c).alias(c) for c in ("q25", "median", "q75")))
+    return got.select("g", *(F.round(c, 4).alias(c) for c in ("q25", "median", "q75")), "outliers")
 
 
 @query("SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_part, arg_max(l_partkey, (abs(l_extendedprice), l_partkey)) AS largest_part FROM lineitem GROUP BY l_orderkey")
@@ -189,8 +189,8 @@ def ols_fit(spark, sf):
 @query("""WITH t AS (SELECT s_suppkey AS g, CASE WHEN s_acctbal > 0 THEN round(s_acctbal / 1000) END AS v FROM supplier), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS mr, count(v) OVER () AS n FROM t WHERE v IS NOT NULL)
     SELECT t.g, round(CASE WHEN n = 1 THEN 0.5 ELSE (mr - 1) / (n - 1) END, 6) AS score, CASE WHEN n > 1 THEN CASE WHEN (mr - 1) / (n - 1) >= 0.75 THEN 'top' WHEN (mr - 1) / (n - 1) >= 0.25 THEN 'middle' ELSE 'bottom' END END AS band FROM t LEFT JOIN r USING (g)""")
 def midrank_score(spark, sf):
-    at = table(spark, sf, "supplier", ["s_suppkey", "s_acctbal"]).select(F.col("s_suppkey").alias("g"), F.lit(1).alias("field"), F.when(F.col("s_acctbal") > 0, F.round(F.col("s_acctbal") / 1000)).alias("v"))
-    got = P.midrank_score(at, ["field"], "v")
+    at = table(spark, sf, "supplier", ["s_suppkey", "s_acctbal"]).select(F.col("s_suppkey").alias("g"), F.when(F.col("s_acctbal") > 0, F.round(F.col("s_acctbal") / 1000)).alias("v"))
+    got = P.midrank_score(at, [], "v")
     band = F.when(F.col("score") >= 0.75, "top").when(F.col("score") >= 0.25, "middle").when(F.col("score").isNotNull(), "bottom")
     return got.select("g", r6(F.col("score"), "score"), band.alias("band"))
 
@@ -238,9 +238,9 @@ def topk_per_group(spark, sf):
     UNION (SELECT o_custkey, 1 FROM orders WHERE year(o_orderdate) = 1996 INTERSECT SELECT o_custkey, 1 FROM orders WHERE year(o_orderdate) = 1997)) GROUP BY k""")
 def set_ops(spark, sf):
     orders = table(spark, sf, "orders", ["o_custkey", "o_orderdate"])
-    a, b = (orders.where(F.year("o_orderdate") == y).select(F.col("o_custkey").alias("k")).distinct() for y in (1996, 1997))
-    parts = ((a.intersect(b), "both"), (a.subtract(b), "old"), (b.subtract(a), "new"))
-    return parts[0][0].withColumn("status", F.lit("both")).unionByName(parts[1][0].withColumn("status", F.lit("old"))).unionByName(parts[2][0].withColumn("status", F.lit("new")))
+    had = lambda y: F.max((F.year("o_orderdate") == y).cast("int"))
+    at = orders.groupBy(F.col("o_custkey").alias("k")).agg(had(1996).alias("a"), had(1997).alias("b")).where("a + b > 0")
+    return at.select("k", F.when(F.col("a") + F.col("b") == 2, "both").when(F.col("a") == 1, "old").otherwise("new").alias("status"))
 
 
 DIFF = "SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS v FROM orders"

@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    at = at or spark.sparkContext.getCheckpointDir()
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return at
+
+
 def money(column: str) -> Column:
     """An amount as a decimal, so that sums don't depend on their order."""
     return F.col(column).cast("decimal(18,2)")

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -19,6 +20,8 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    if not s.sparkContext.getConf().get("spark.checkpoint.dir"):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tests-"))
     yield s
     s.stop()
 

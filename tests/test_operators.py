@@ -143,3 +143,58 @@ def test_sinks_and_columns(spark, sf, tmp_path):
     assert without_nan(spark.createDataFrame([(float("nan"),)], "x double")).first().x is None
     with pytest.raises(ValueError):
         table(spark, sf, "orders", ["o_nothing"])
+
+
+def test_steps_hold_to_the_last_day_asked_for(spark):
+    rates = spark.createDataFrame([(dt.date(2004, 1, 1), 1.0), (dt.date(2005, 1, 1), 2.0)], "d date, v double")
+    got = {r.d: r.v for r in S.daily_steps(rates, "d", "v", dt.date(2031, 5, 1)).collect()}
+    assert got[dt.date(2031, 5, 1)] == 2.0 and got[dt.date(2004, 12, 31)] == 1.0 and len(got) == (dt.date(2031, 5, 1) - dt.date(2004, 1, 1)).days + 1
+    assert max(r.d for r in S.daily_steps(rates, "d", "v", dt.date(2003, 1, 1)).collect()) == dt.date(2005, 1, 1)
+
+
+def test_asof_carries_over_months(spark):
+    d = dt.date
+    left = spark.createDataFrame([("k", d(2021, 7, 3)), ("k", d(2020, 1, 31)), (None, d(2021, 1, 1))], "k string, d date")
+    right = spark.createDataFrame([("k", d(2020, 1, 1), 5.0), ("k", d(2020, 3, 1), 7.0), ("k", d(2021, 7, 4), 9.0), (None, d(2020, 12, 5), 1.0)], "k string, d date, v double")
+    assert {(r.k, r.d): r.v for r in S.asof(left, right, ["k"], "d", "v").collect()} == {("k", d(2021, 7, 3)): 7.0, ("k", d(2020, 1, 31)): 5.0, (None, d(2021, 1, 1)): 1.0}
+
+
+def test_codes_beyond_a_thousand_items_stay_apart(spark):
+    rows = spark.range(1200).selectExpr("concat('i', id) AS item", "'g' AS g", "date'2020-01-01' AS d", "1.0D AS v")
+    got = catalog.build(rows, "SQ", "Q", "g")
+    assert got.select("series_code").distinct().count() == 1200 and all(catalog.CODE.match(r.series_code) for r in got.collect())
+
+
+def test_gateway_keeps_to_allowed_views(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("seen_orders")
+    policy = gateway.Policy(frozenset({"seen_orders"}))
+    for sql in (
+        f"SELECT o_orderkey FROM seen_orders UNION ALL SELECT l_orderkey FROM parquet.`{sf}/lineitem.parquet`",
+        f"WITH x AS (SELECT * FROM parquet.`{sf}/nation.parquet`) SELECT 1 FROM seen_orders, x",
+        f"SELECT o_orderkey FROM seen_orders WHERE o_custkey IN (SELECT c_custkey FROM parquet.`{sf}/customer.parquet`)",
+        "SELECT java_method('java.lang.System', 'nanoTime') FROM seen_orders",
+    ):
+        assert gateway.ask(spark, sql, policy).reason
+    ok = "WITH x AS (SELECT o_custkey, 2 AS two FROM seen_orders) SELECT a.o_custkey, two FROM x AS a JOIN x AS b USING (two, o_custkey) WHERE o_custkey IN (SELECT o_custkey FROM seen_orders)"
+    assert gateway.ask(spark, ok, policy).reason is None
+
+
+def test_digest_tells_null_from_text(spark):
+    digest = lambda v: K.partition_digest(spark.createDataFrame([(1, v)], "k int, v string"), ["k"]).first().digest
+    assert len({digest(v) for v in (None, "", "\x00", "null")}) == 4
+
+
+def test_quantiles_and_ranks_of_odd_values(spark):
+    rows = [("a", v) for v in (-1e300, -2.5, -2.5, 0.0, 1e-300, 3.0, 7e12)] + [("b", None), ("c", 4.0)]
+    at = spark.createDataFrame(rows, "g string, v double")
+    got = {r.v: (r.below, r.ties, r.there) for r in P.value_ranks(at, ["g"], "v").where("g = 'a'").collect()}
+    assert got == {-1e300: (0, 1, 7), -2.5: (1, 2, 7), 0.0: (3, 1, 7), 1e-300: (4, 1, 7), 3.0: (5, 1, 7), 7e12: (6, 1, 7)}
+    q = {r.g: (r.low, r.mid) for r in P.quantiles(at, ["g"], "v", [1 / 12, 0.5], ["low", "mid"]).collect()}
+    assert q == {"a": ((-1e300 - 2.5) / 2, 0.0), "c": (4.0, 4.0)}
+
+
+def test_specs_name_bad_nodes():
+    base = {"id": "x", "title": "t", "series": [{"key": "a", "source": "A"}]}
+    for node in ({"op": "pow", "args": [{"ref": "a"}, {"const": 2}]}, {"op": "add", "args": [{"ref": "a"}, {"text": 1}]}, {"const": 3}, {"op": "add", "args": [{"ref": "a"}]}, {}):
+        spec = {**base, "series": [*base["series"], {"key": "b", "transform": "formula", "formula": node}]}
+        assert dsl.problems(spec, {"A"}), node
