@@ -81,3 +81,146 @@ def split_list(text: Column) -> Column:
 def clauses(text: Column, term: str) -> Column:
     """Sentences that hold ``term``, whatever its case."""
     return F.filter(F.transform(F.split(text, r"[.!?\n]"), lambda x: F.trim(x)), lambda x: F.contains(F.lower(x), F.lit(term.lower())))
+
+
+def matches_numeral(text: Column) -> Column:
+    """Labels that begin with a Roman numeral and a dot."""
+    return text.rlike(r"^[IVXLCDM]+\.")
+
+
+def missing_body(text: Column, least: int = 30) -> Column:
+    """Null, or shorter than ``least`` characters."""
+    return F.coalesce(F.length(text), F.lit(0)) < least
+
+
+def legal_key(name: Column, suffixes: tuple[str, ...] = ("AS", "INC", "LTD", "CO")) -> Column:
+    """A name's key: upper case without marks and punctuation, legal suffixes at its end dropped."""
+    plain = F.trim(F.regexp_replace(F.upper(fold(name)), r"[^A-Z0-9]+", " "))
+    return F.trim(F.regexp_replace(plain, rf"( ({'|'.join(suffixes)}))+$", ""))
+
+
+def before_keyword(text: Column, keyword: str) -> Column:
+    """What stands before a keyword; null without it."""
+    got = F.regexp_extract(text, rf"^(.*?)\s*\b{keyword}\b", 1)
+    return F.when(text.rlike(rf"\b{keyword}\b"), got)
+
+
+def short_name(name: Column, words: int = 2) -> Column:
+    """The first words of a name."""
+    return F.concat_ws(" ", F.slice(F.split(name, r"\s+"), 1, words))
+
+
+def rate_in(text: Column) -> Column:
+    """The first figure before a percent sign or word."""
+    return F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*(?:%|percent)", 1).try_cast("double")
+
+
+def dates_in(text: Column) -> Column:
+    """The first date written as day, month name and year."""
+    return F.to_date(F.nullif(F.regexp_extract(text, r"(\d{1,2} [A-Z][a-z]+ \d{4})", 1), F.lit("")), "d MMMM yyyy")
+
+
+def period_date(text: Column) -> Column:
+    """A date from dd-MM-yyyy, yyyy-MM-dd, yyyy-M or yyyy-Qn; months and quarters give their first day; others null."""
+    quarter = F.concat(F.substring(text, 1, 5), (F.right(text, F.lit(1)).try_cast("int") * 3 - 2).cast("string"))
+    forms = ((r"^\d{2}-\d{2}-\d{4}$", text, "dd-MM-yyyy"), (r"^\d{4}-\d{2}-\d{2}$", text, "yyyy-MM-dd"), (r"^\d{4}-\d{1,2}$", text, "yyyy-M"), (r"^\d{4}-Q[1-4]$", quarter, "yyyy-M"))
+    return F.coalesce(*(F.try_to_date(F.when(text.rlike(p), t), f) for p, t, f in forms))
+
+
+#: Letters that are often read in the wrong encoding.
+_BROKEN = "çğıöşüÇĞİÖŞÜé"
+
+
+def misread(text: str) -> str:
+    """UTF-8 bytes of a text read as Latin-1."""
+    return text.encode().decode("latin-1")
+
+
+def repair_misread(text: Column, passes: int = 3) -> Column:
+    """Letters of a text whose UTF-8 was read as Latin-1, up to ``passes`` times."""
+    for _ in range(passes):
+        for letter in _BROKEN:
+            text = F.replace(text, F.lit(misread(letter)), F.lit(letter))
+    return text
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of an ASCII text as hexadecimal."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    step = lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(4294967296))
+    return F.lower(F.lpad(F.hex(F.aggregate(codes, F.lit(2166136261).cast("bigint"), step)), 8, "0"))
+
+
+def fraction_digits(value: Column, most: int = 6) -> Column:
+    """Digits after the point that an amount needs, ``most`` at most."""
+    text = F.regexp_replace(F.abs(value).cast(f"decimal(30,{most})").cast("string"), r"\.?0+$", "")
+    return F.when(F.contains(text, F.lit(".")), F.length(F.substring_index(text, ".", -1))).otherwise(F.when(value.isNotNull(), 0))
+
+
+def misread_separator(value: Column, digits: int = 3, large: float = 1e5) -> Column:
+    """A fractional amount with exactly ``digits`` decimals, or with a large integer part: its separator was misread."""
+    f = fraction_digits(value)
+    return (f == digits) | ((f > 0) & (F.abs(value) >= large))
+
+
+def signed(value: Column, decimals: int = 1, dash: str = "—") -> Column:
+    """A figure with its sign, a dash for none."""
+    return F.coalesce(F.concat(F.when(value >= 0, "+").otherwise("-"), F.format_number(F.abs(value), decimals)), F.lit(dash))
+
+
+def direction(delta: Column, flat: float, strong: float) -> Column:
+    """Words for a change by bands of its size; null without one."""
+    size = F.abs(delta)
+    way = F.when(delta > 0, "up").otherwise("down")
+    return F.when(delta.isNull(), None).when(size < flat, "flat").when(size >= strong, F.concat(F.lit("strongly "), way)).otherwise(way)
+
+
+def ordinal(n: Column) -> Column:
+    """1st, 2nd, 3rd, 4th, and 11th to 13th."""
+    last, teens = n % 10, (n % 100).between(11, 13)
+    return F.concat(n.cast("string"), F.when(teens, "th").when(last == 1, "st").when(last == 2, "nd").when(last == 3, "rd").otherwise("th"))
+
+
+def forecast(text: Column) -> Column:
+    """The number of a formatted forecast such as ``~ 3.5% (avg)``."""
+    return F.regexp_extract(F.replace(text, F.lit(","), F.lit(".")), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+
+
+def repair_percent(values: Column, floor: float = 10000.0) -> Column:
+    """An array of percentages in which those of ``floor`` or more lost their decimal point."""
+    return F.transform(values, lambda x: F.when(F.abs(x) >= floor, x / 100).otherwise(x))
+
+
+def unit_in(pages: Column, patterns: list[tuple[str, str]], note: str = "restated in") -> Column:
+    """The unit that pages name: a transition note's, else the one on all pages, else that of most, else unknown."""
+    of = lambda page: F.coalesce(*(F.when(page.rlike(p), name) for name, p in patterns))
+    noted = F.filter(F.transform(F.filter(pages, lambda p: F.contains(p, F.lit(note))), of), lambda u: u.isNotNull())
+    units = F.filter(F.transform(pages, of), lambda u: u.isNotNull())
+    count = lambda name: F.size(F.filter(units, lambda u: u == name))
+    most = F.coalesce(*(F.when(2 * count(F.lit(name)) > F.size(units), name) for name, _ in patterns))
+    return F.coalesce(F.try_element_at(noted, F.lit(1)), most, F.lit("unknown"))
+
+
+def pipe_rows(text: Column) -> Column:
+    """Rows of cells of the lines that hold pipes; rules of dashes are left out."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("|")) & ~x.rlike(r"^[\s|:-]+$"))
+    cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    return F.transform(lines, cells)
+
+
+def sql_in(reply: Column) -> Column:
+    """The statement in a reply's fenced block, else a bare one; null without any."""
+    fenced = F.regexp_extract(reply, r"(?s)```(?:sql)?\s*(.*?)\s*```", 1)
+    bare = F.trim(F.regexp_extract(reply, r"(?is)\b((?:select|with)\b[^;`]*)", 1))
+    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(bare, F.lit("")))
+
+
+def percents(text: Column) -> Column:
+    """Distinct percentages of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)\s*%"), F.lit(1)))
+
+
+def comparisons(text: Column) -> Column:
+    """Pairs ``a, way, b`` of comparisons such as ``12.5 above 9``."""
+    found = F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)? (?:above|below) \d+(?:\.\d+)?"), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.split(x, " ")[0].cast("double").alias("a"), F.split(x, " ")[1].alias("way"), F.split(x, " ")[2].cast("double").alias("b")))
