@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import inspect
-import os
 import tempfile
 import uuid
 
@@ -29,14 +28,18 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where both are unset on a local master (tests) a temporary folder becomes
+    the context's checkpoint folder; on a cluster that is an error.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        at = context.getCheckpointDir()
     return at
 
 
@@ -48,7 +51,17 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing will read again: what came of them must have been written."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @functools.cache
@@ -159,7 +172,3 @@ def resource(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def default_folder() -> str:
-    return os.path.dirname(resource("byte_bpe_50k.json"))

@@ -21,7 +21,7 @@ from .common import crc_mod, table, text_view, tidy, tune
 from .features import bounded_sample, by_steps, ngram_counts, unit_rows
 
 WIDTH = 4096
-#: Expected rows that a language gives to the fit, and that all give together.
+#: Expected rows that a language gives to the fit, and that all give together: the bound of what the driver gathers.
 PER_LANGUAGE, ALL_LANGUAGES = 600, 4000
 UNKNOWN = "und"
 FAMILIES = {
@@ -107,12 +107,16 @@ class Model:
 
 
 def fit_model(rows: DataFrame, families: dict[str, str] = FAMILIES, per_language: int = PER_LANGUAGE, all_languages: int = ALL_LANGUAGES) -> Model | None:
-    """Fit on ``text, lang`` rows (and ``doc_id``, if there); rows without either don't count. None if there are none."""
+    """Fit on ``text, lang`` rows (and ``doc_id``, if there); rows without either don't count. None if there are none.
+
+    The driver gathers ``all_languages`` rows at most, as expected; with very many
+    languages some give no row and are never predicted.
+    """
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     there = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not there:
         return None
-    share = min(per_language, max(20, all_languages // len(there)))
+    share = min(per_language, all_languages / len(there))
     # the id keeps a large group of copies from being chosen as one
     by = [c for c in ("doc_id", "text") if c in rows.columns]
     some = bounded_sample(rows.select("lang", *by), {k: (n, share) for k, n in there.items()}, "lang", 2, by).select("lang", "text")
