@@ -4,8 +4,9 @@ Both sides keep, in each window of ``w`` consecutive k-grams, the smallest k-gra
 hash (the last one at a tie). Two texts that share ``w + k - 1`` words share a
 whole window, hence its smallest hash, so no shared span of that length is
 missed. Fingerprints of documents are joined with those of the benchmark, and
-each meeting is extended to the benchmark windows around it, which are compared
-whole. Items shorter than the window have their own, shorter guarantee.
+each meeting is extended to the benchmark windows around it, which are compared by
+64-bit hashes of all their words: of n document windows against m benchmark windows
+about n m / 2^64 meet by chance (10^13 against 10^6: one in two). Items shorter than the window have their own, shorter guarantee.
 
 A benchmark of at most ``broadcast_rows`` fingerprints and windows, counted first,
 is sent to every task; a larger one is joined by shuffles. Results are the same.
