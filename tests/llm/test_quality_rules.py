@@ -42,10 +42,29 @@ def test_counts_by_brute_force_and_sql(spark):
 
 def test_order_and_empty(spark):
     df = spark.createDataFrame([("good words stand here in one line of eleven plain tokens",)], "text string")
-    assert {r.name for r, _, _ in q.order_rules(df)} == {r.name for r in q.RULES}
+    order = q.order_rules(df)
+    assert {r.name for r, _, _ in order} == {r.name for r in q.RULES} and all(s >= 1e-3 for _, _, s in order)
     assert q.keep_good(df).count() == 1 and q.keep_good(df.limit(0)).count() == 0
 
 
+def test_costly_rules_come_later(spark):
+    """Of rules that reject alike the dear one is timed as such, whatever a job takes."""
+    from pyspark.sql import functions as F
+
+    dear = q.Rule("dear", lambda text, n: F.length(F.regexp_replace(F.repeat(text, 30), r"[aeiou]\\w*t", "")) < 0)
+    cheap = q.Rule("cheap", lambda text, n: F.length(text) < 0)
+    rows = spark.range(500).selectExpr("concat_ws(' ', transform(sequence(1, 400), i -> concat('word', cast(id * i as string)))) AS text")
+    took = {r.name: s for r, _, s in q.order_rules(rows, (dear, cheap))}
+    assert took["dear"] > 3 * took["cheap"]
+
+
+def test_bullets_and_ellipses(spark):
+    a, b = "these are ten plain words that stand in one line", "others of the same kind come after them in the next"
+    texts = [f"- {a}\n\t* {b}", f"{a}\n- {b}", f"{a}...\n{b}", f"{a}.. \n{b}"]
+    got = q.apply_rules(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [r.quality.kept for r in got] == [False, True, False, True]
+
+
 @pytest.mark.parametrize("sql", [q.SQL])
 def test_sql_on_tables(spark, sf, sql):
     con = duckdb.connect()
