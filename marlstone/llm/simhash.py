@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut, table, tidy, tune
+from .common import cut, discard, table, tidy, tune
 
 BITS, TAU, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints from which pairs are estimated; nothing else depends on the sample.
@@ -238,27 +238,44 @@ def links(prints: DataFrame, tau: int = TAU, sample_rows: int = SAMPLE, chunk: i
     return rows.mapInArrow(tidy(_verify(tau)), "a long, b long")
 
 
+def with_one(rows: DataFrame, ones: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``ones``, which has one row for each ``key`` and in ``count`` how many rows meet it.
+
+    Keys that meet a thousandth of all rows are 1000 at most: they are broadcast, so
+    that no task gets a hub's rows. The others meet in a shuffle.
+    """
+    total = ones.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * 1000 > total
+    hubs = ones.where(heavy).withColumnsRenamed({c: f"hub_{c}" for c in ones.columns})
+    mixed = rows.join(F.broadcast(hubs), F.col(key) == F.col(f"hub_{key}"), "left")
+    light = mixed.where(F.col(f"hub_{key}").isNull()).select(*rows.columns).join(ones.where(~heavy), key)
+    out = [*rows.columns, *(c for c in ones.columns if c != key)]
+    return mixed.where(F.col(f"hub_{key}").isNotNull()).select(*rows.columns, *(F.col(f"hub_{c}").alias(c) for c in ones.columns if c != key)).union(light.select(*out))
+
+
 def roots(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``node, root`` of each node of the edges ``a, b``: the least node of its component.
 
     Large-star and small-star steps in turn until every edge leads to a root; each
-    round is a table in the shared folder.
+    round is a table in the shared folder, and the one before is deleted.
     """
 
     def mins(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m"))
+        return cut(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "star-mins")
 
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = mins(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = mins(both)
+        large = with_one(both, least.select("u", F.least("u", "m").alias("m"), "n"), "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = cut(large, "star")
-        small = large.join(mins(large), "u")
+        least_large = mins(large)
+        small = with_one(large, least_large, "u", "n")
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u != v").distinct()
         new = cut(small, "star")
+        discard(now, least, large, least_large)
         # done when no node has two parents and no parent has one
-        if new.groupBy("u").count().where("count > 1").isEmpty() and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        if new.groupBy("u").count().where("count > 1").isEmpty() and new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
         now = new
     raise RuntimeError(f"components not settled after {rounds} rounds")
@@ -272,14 +289,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, tau: int, **more) -
     of = roots(links(groups.select("fp"), tau))
     named = groups.join(of, groups.fp == of.node, "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
     named = cut(named, "simhash-named")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = cut(named.join(least, "root").select("fp", "rows", "component_id", "root"), "simhash-labels")
-    total = rows.count()
-    # fingerprints with a thousandth of the rows each are 1000 at most: they are broadcast
-    heavy = labels.where(F.col("rows") * 1000 > total).select("fp", F.col("component_id").alias("c"), F.col("root").alias("r"), F.lit(True).alias("hot"))
-    mixed = rows.join(F.broadcast(heavy), "fp", "left")
-    light = mixed.where("hot is null").select(*rows.columns).join(labels.where(F.col("rows") * 1000 <= total).drop("rows"), "fp")
-    return mixed.where("hot").select(*rows.columns, F.col("c").alias("component_id"), F.col("r").alias("root")).union(light.select(*rows.columns, "component_id", "root"))
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints")), "simhash-least")
+    labels = cut(with_one(named, least, "root", "prints").select("fp", "rows", "component_id", "root"), "simhash-labels")
+    found = with_one(rows, labels.select("fp", F.col("rows").alias("met"), "component_id", "root"), "fp", "met")
+    return found.select(*rows.columns, "component_id", "root")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
