@@ -5,7 +5,8 @@ count is the sum over its segments. Within a segment the tokens of each prefix
 follow from shorter ones: the last token of ``s[:i]`` is the piece ``p`` for which
 ``s[:i - len(p)]`` ends in a token that stays apart from ``p``; then
 ``count[i] = count[i - len(p)] + 1``. Truncation and budget questions read these
-counts and never encode again.
+counts and never encode again. A worker keeps the counts of all prefixes of the
+segments it has met; a text's cut at a budget is read from those of one segment.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ class Counter:
         self.longest = max(map(len, pieces))
         self.whole = {p for p in pieces if self.plain.encode(p, out_type=str) == [p]}
         self.apart: dict[tuple[str, str], bool] = {}
-        self.totals: dict[bytes, int] = {}
+        self.stored: dict[bytes, bytes | list[int]] = {}
 
     def _apart(self, a: str, b: str) -> bool:
         got = self.apart.get((a, b))
@@ -78,12 +79,14 @@ class Counter:
                 last.append("")
         return count
 
-    def total(self, segment: bytes) -> int:
-        got = self.totals.get(segment)
+    def counts(self, segment: bytes) -> bytes | list[int]:
+        """The stored counts of all prefixes of a segment; worked out at its first use."""
+        got = self.stored.get(segment)
         if got is None:
-            got = self.prefixes(segment.decode())[-1]
-            if len(self.totals) < REMEMBERED:
-                self.totals[segment] = got
+            got = self.prefixes(segment.decode())
+            got = bytes(got) if max(got) < 256 else got
+            if len(self.stored) < REMEMBERED:
+                self.stored[segment] = got
         return got
 
 
@@ -117,28 +120,54 @@ def _prefixed(arr: pa.Array, dummy: bool) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(arr), 0), arr, pc.binary_join_element_wise(pa.scalar(" ", arr.type), arr, pa.scalar("", arr.type)))
 
 
-def count_block(arr: pa.Array, path: str) -> np.ndarray:
-    """Tokens of each text of a block; each distinct segment is worked out once."""
+def count_block(arr: pa.Array, path: str, budget: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text of a block, and the code points of its longest prefix with ``budget`` tokens at most (-1: the whole text).
+
+    Each distinct segment is worked out once.
+    """
     c = counter(path)
     data, docs = text_view(_prefixed(arr, c.dummy))
     at = segments(data, docs)
     code = binary_array(data, np.append(at, len(data))).dictionary_encode()
-    each = np.array([c.total(s) for s in byte_list(code.dictionary)] or [0], np.int64)
+    each = np.array([c.counts(s)[-1] for s in byte_list(code.dictionary)] or [0], np.int64)
     sums = np.concatenate([[0], np.cumsum(each[code.indices.to_numpy(zero_copy_only=False)])])
-    return np.diff(sums[np.searchsorted(at, docs)])
+    ends = np.searchsorted(at, docs)
+    total, cut = np.diff(sums[ends]), np.full(len(arr), -1, np.int64)
+    for d in np.flatnonzero(total > budget).tolist() if budget is not None else ():
+        # counts never fall from one segment's start to the next: the cut lies in the last that starts within the budget
+        a, b = ends[d], ends[d + 1]
+        k = a + int(np.searchsorted(sums[a:b], sums[a] + budget, "right")) - 1
+        left = budget - int(sums[k] - sums[a])
+        segment = data[at[k] : at[k + 1] if k + 1 < len(at) else len(data)].tobytes()
+        inside = max(i for i, n in enumerate(c.counts(segment)) if n <= left)
+        before = int(((data[docs[d] : at[k]] & 0xC0) != 0x80).sum())  # code points
+        cut[d] = max(0, before + inside - c.dummy)
+    return total, cut
 
 
 def token_count(text_col, path: str | None = None):
     """A column: the tokens of each text; 0 for null and empty texts."""
+    return within_budget(text_col, None, path)["n_tokens"]
+
+
+def within_budget(text_col, budget: int | None, path: str | None = None):
+    """A struct column: ``n_tokens``, and ``prefix_chars``, the code points of the longest prefix with ``budget`` tokens at most.
+
+    Null and empty texts have 0 of both. A text within the budget is its own prefix.
+    """
     path = path or resource(MODEL)
 
-    @arrow_udf(T.LongType())
+    @arrow_udf(T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("cut", T.LongType())]))
     @tidy
     def count(texts: pa.Array) -> pa.Array:
-        parts = [count_block(b.column("t"), path) for b in text_blocks([pa.RecordBatch.from_arrays([texts], names=["t"])], "t", STEP_BYTES)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+        parts = [count_block(b.column("t"), path, budget) for b in text_blocks([pa.RecordBatch.from_arrays([texts], names=["t"])], "t", STEP_BYTES)]
+        cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1)]
+        return pa.StructArray.from_arrays([pa.array(c) for c in cols], ["n_tokens", "cut"])
 
-    return count(F.col(text_col).cast("string"))
+    text = F.col(text_col).cast("string")
+    got = count(text)
+    whole = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    return F.struct(got["n_tokens"].alias("n_tokens"), F.when(got["cut"] < 0, whole).otherwise(got["cut"]).alias("prefix_chars"))
 
 
 def prefix_counts(docs: DataFrame, text_col: str = "text", out: str = "prefix_tokens", path: str | None = None) -> DataFrame:
@@ -176,8 +205,8 @@ def truncate_to(docs: DataFrame, budget: int, text_col: str = "text", prefix_col
 def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    got = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), token_count("text").alias("n_tokens"))
-    return got.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    got = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), within_budget("text", LIMIT).alias("b"))
+    return got.select("doc_id", "n_bytes", F.col("b.n_tokens").alias("n_tokens"), (F.col("b.n_tokens") > LIMIT).alias("over_limit"), F.col("b.prefix_chars").alias("prefix_chars"))
 
 
 QUERIES = {"op10_prefix_counts": op10_prefix_counts}

@@ -28,5 +28,17 @@ def test_every_prefix_and_truncation(spark):
         assert r.truncated == t[: max(i for i, n in enumerate(want) if n <= 6)]
 
 
+def test_cut_at_a_budget_by_the_library(spark):
+    sp, rng = sentencepiece.SentencePieceProcessor(model_file=resource(p.MODEL)), random.Random(9)
+    texts = [None, "", " ", "x" * 300, "a", *("".join(rng.choice(ODD) for _ in range(rng.randint(0, 30))) for _ in range(150))]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(None, "same same", 1)] * 2, "doc_id long, text string, cut int")
+    for budget in (0, 1, 7):
+        for r in df.select("text", p.within_budget("text", budget).alias("b")).collect():
+            t = r.text or ""
+            n = [len(sp.encode(t[:i])) for i in range(len(t) + 1)]
+            assert r.b.n_tokens == n[-1]
+            assert r.b.prefix_chars == (len(t) if n[-1] <= budget else max(i for i, x in enumerate(n) if x <= budget))
+
+
 def test_no_rows():
-    assert len(p.count_block(pa.array([], pa.string()), resource(p.MODEL))) == 0
+    assert [len(x) for x in p.count_block(pa.array([], pa.string()), resource(p.MODEL), 5)] == [0, 0]
