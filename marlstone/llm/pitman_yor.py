@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_array, byte_list, crc_mod, cut, table, text_blocks, text_view, tidy, tune
+from .common import binary_array, byte_list, crc_mod, cut, discard, table, text_blocks, text_view, tidy, tune
 from .seating import Law
 
 BLOCK_BYTES = 12 << 20
@@ -384,12 +384,16 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     tokens, distinct = sums(words, 2)
     pair_buckets, words_named = 4 * buckets, named(words, "words")
     pairs = named(by("bucket", _own_pairs, meet(_send_pairs(pair_buckets), _ROWS, words_named), "py-pairs"), "pairs")
-    state = named(cut(meet(_begin(pair_buckets), _ROWS, words_named, pairs), "py-state"), "state")
+    begun = cut(meet(_begin(pair_buckets), _ROWS, words_named, pairs), "py-state")
+    state, last = named(begun, "state"), ()
     totals, parent, tables = None, [], []
     for k in range(ROUNDS):
         drawn = by("block", _round(k, tokens, distinct, totals), union(words_named, state, *parent, *tables), "py-drawn")
         seated = by("bucket", _own_parent(k, distinct, totals), drawn.where("bucket is not null"), "py-parent")
         totals, parent, tables = sums(seated, 2 * CHAINS), [named(seated, "parent")], [named(drawn.where("bucket is null"), "tables")]
+        discard(*last)
+        last = drawn, seated
+    discard(begun)
     seats = named(by("bucket", _own_seats, by("block", _send_seats, union(pairs, *tables)), "py-seats"), "seats")
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     return meet(_score(pair_buckets, tokens, distinct, totals), out, words_named, pairs, *parent, seats)
