@@ -114,12 +114,17 @@ def resolve(spec: dict, sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return done
 
 
-def checks(spec: dict, done: dict[str, DataFrame]) -> list[tuple[str, str, float | None, bool]]:
-    """The spec's assertions: series, date prefix, value at its last date, whether it is near enough."""
-    out = []
+def check_rows(spec: dict, done: dict[str, DataFrame]) -> DataFrame:
+    """The spec's assertions as rows: series, date prefix, value at its last date, whether it is near enough. One plan for all."""
+    rows = []
     for c in spec.get("verify", []):
-        row = done[c["series"]].where(F.col("d").cast("string").startswith(c["date"])).agg(F.max_by("v", "d")).first()
-        got, want, tol = row[0], float(c["value"]), float(c["tolerance"])
+        want, tol = float(c["value"]), float(c["tolerance"])
         slack = abs(want) * tol / 100 if c.get("tolerance_unit") == "percent" else tol
-        out.append((c["series"], c["date"], got, got is not None and abs(got - want) <= slack))
-    return out
+        got = done[c["series"]].where(F.col("d").cast("string").startswith(c["date"])).agg(F.max_by("v", "d").cast("double").alias("got"))
+        rows.append(got.select(F.lit(c["series"]).alias("series"), F.lit(c["date"]).alias("date"), "got", F.coalesce(F.abs(F.col("got") - want) <= slack, F.lit(False)).alias("near")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def checks(spec: dict, done: dict[str, DataFrame]) -> list[tuple[str, str, float | None, bool]]:
+    """The rows of ``check_rows`` as a list."""
+    return [tuple(r) for r in check_rows(spec, done).collect()] if spec.get("verify") else []

@@ -1,4 +1,4 @@
 """Named queries over the tables."""
 
-from . import audit_queries, bundle_queries, check_queries, identity_queries, metric_queries, series_queries, service_queries, table_queries, text_queries  # noqa: F401
+from . import audit_queries, bundle_queries, check_queries, identity_queries, library_queries, metric_queries, series_queries, service_queries, table_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
