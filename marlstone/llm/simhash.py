@@ -7,7 +7,8 @@ fingerprints at ``tau`` bits or fewer meet within the threshold of some partitio
 Partitions and thresholds come from a dynamic programme on rows to send and pairs to
 verify, estimated on a sample; any choice finds every link. Probes are verified in
 the task that holds their bucket, which gives back a spanning forest of the links,
-never all pairs. Buckets of many fingerprints are cut to blocks of bounded size.
+never all pairs. Buckets of many fingerprints are split again by their other bits, and
+what stays large is cut to blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -164,12 +165,12 @@ def _verify(tau: int):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                now = {c: batch.column(c).to_numpy() for c in ("part", "key", "row", "col", "query", "fp")}
+                now = {c: batch.column(c).to_numpy() for c in ("part", "key", "sub", "subkey", "row", "col", "query", "fp")}
                 left = now if left is None else {c: np.concatenate([left[c], now[c]]) for c in now}
             if left is None or not len(left["fp"]):
                 continue
             fresh = np.ones(len(left["fp"]), bool)
-            fresh[1:] = np.logical_or.reduce([left[c][1:] != left[c][:-1] for c in ("part", "key", "row", "col")])
+            fresh[1:] = np.logical_or.reduce([left[c][1:] != left[c][:-1] for c in ("part", "key", "sub", "subkey", "row", "col")])
             begin = np.flatnonzero(fresh)
             stop = begin[-1] if batch is not None else len(fresh)
             begin = begin[begin < stop]
@@ -211,6 +212,35 @@ def _probe(parts: list[Part]):
     return run
 
 
+def other_bits(part: Part, tau: int) -> list[int]:
+    """Masks of ``tau`` + 1 groups of the bits that a part leaves out, as signed numbers."""
+    rest = [b for b in range(BITS) if b not in part.bits]
+    masks = [sum(1 << b for b in rest[i :: tau + 1]) for i in range(tau + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _cut_large(rows: DataFrame, here: list[str], chunk: int, label: str) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` and whether their bucket has over ``chunk`` fingerprints, and the large buckets with their blocks, if there are any."""
+    large = cut(rows.where("query != 1").groupBy(*here).count().where(F.col("count") > chunk), label)
+    n = large.count()  # rows / chunk at most
+    if not n:
+        return rows.withColumn("large", F.lit(False)), None
+    large = large.withColumn("blocks", F.ceil(F.col("count") / chunk).cast("int")).drop("count")
+    named = large.select(*here, F.lit(True).alias("_large"))
+    at = rows.join(F.broadcast(named) if n <= 100_000 else named, here, "left")
+    return at.withColumn("large", F.coalesce("_large", F.lit(False))).drop("_large"), large
+
+
+def _in_blocks(rows: DataFrame, large: DataFrame, here: list[str]) -> DataFrame:
+    """Rows of buckets that stay large: each block of data meets each block of queries."""
+    at = rows.join(large, here)
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_data = F.transform(F.filter(others, lambda x: F.col("query") != 1), lambda x: F.struct(x.alias("row"), mine.alias("col"), F.lit(0).alias("query")))
+    as_query = F.transform(F.filter(others, lambda x: F.col("query") != 0), lambda x: F.struct(mine.alias("row"), x.alias("col"), F.lit(1).alias("query")))
+    return at.select(*here, "fp", F.explode(F.concat(as_data, as_query)).alias("x")).select(*here, "x.row", "x.col", "x.query", "fp")
+
+
 def links(prints: DataFrame, tau: int = TAU, sample_rows: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints ``fp`` at ``tau`` bits or fewer: a forest that joins what they join."""
     spark = prints.sparkSession
@@ -218,22 +248,23 @@ def links(prints: DataFrame, tau: int = TAU, sample_rows: int = SAMPLE, chunk: i
     few = prints.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(max(1, n // sample_rows))) == 0).limit(4 * sample_rows)
     parts = plan(np.array([r.fp for r in few.select("fp").collect()], np.int64).view(np.uint64), n, tau)
     rows = prints.select("fp").mapInArrow(tidy(_probe(parts)), "part int, key long, query int, fp long")
-    large = cut(rows.where("query != 1").groupBy("part", "key").count().where(F.col("count") > chunk), "simhash-large")
-    hot = large.count()  # n * parts / chunk at most
-    large = large.withColumn("blocks", F.ceil(F.col("count") / chunk).cast("int")).drop("count")
-    if hot:
-        at = rows.join(F.broadcast(large) if hot <= 100_000 else large, ["part", "key"], "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        at = at.withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        others = F.sequence(F.lit(0), F.col("blocks") - 1)
-        as_data = F.transform(F.filter(others, lambda x: (F.col("query") != 1) & (F.col("blocks") > 1)), lambda x: F.struct(x.alias("row"), F.col("mine").alias("col"), F.lit(0).alias("query")))
-        as_query = F.transform(F.filter(others, lambda x: (F.col("query") != 0) & (F.col("blocks") > 1)), lambda x: F.struct(F.col("mine").alias("row"), x.alias("col"), F.lit(1).alias("query")))
-        alone = F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("query").alias("query")))
-        at = at.select("part", "key", "fp", F.explode(F.when(F.col("blocks") > 1, F.concat(as_data, as_query)).otherwise(alone)).alias("x"))
-        rows = at.select("part", "key", "x.row", "x.col", "x.query", "fp")
+    here = ["part", "key"]
+    rows, large = _cut_large(rows, here, chunk, "simhash-large")
+    if large is not None:
+        # in a large bucket two fingerprints at tau bits agree on one of tau + 1 groups of its other bits
+        masks = F.create_map(*(x for i, p in enumerate(parts) for x in (F.lit(i), F.array(*(F.lit(m) for m in other_bits(p, tau))))))
+        split = F.posexplode(F.transform(masks[F.col("part")], lambda m: F.col("fp").bitwiseAND(m))).alias("sub", "subkey")
+        hot = rows.where("large").select("part", "key", "query", "fp", split)
+        cold = rows.where("not large").select("part", "key", "query", "fp", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subkey"))
+        here = [*here, "sub", "subkey"]
+        hot, still = _cut_large(hot, here, chunk, "simhash-larger")
+        zero = [F.lit(0).alias("row"), F.lit(0).alias("col")]
+        alone = lambda df: df.select(*here, *zero, "query", "fp")
+        rows = alone(cold).unionByName(alone(hot) if still is None else alone(hot.where("not large")).unionByName(_in_blocks(hot.where("large"), still, here)))
     else:
-        rows = rows.select("part", "key", F.lit(0).alias("row"), F.lit(0).alias("col"), "query", "fp")
-    rows = rows.repartition("part", "key", "row", "col").sortWithinPartitions("part", "key", "row", "col")
+        rows = rows.select("part", "key", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subkey"), F.lit(0).alias("row"), F.lit(0).alias("col"), "query", "fp")
+    bucket = ["part", "key", "sub", "subkey", "row", "col"]
+    rows = rows.repartition(*bucket).sortWithinPartitions(*bucket)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return rows.mapInArrow(tidy(_verify(tau)), "a long, b long")
 
@@ -317,16 +348,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     least = cut(least, "simhash-least")
     rows = least.groupBy("root").agg(F.sum("n").alias("kept_rows"))
     kept = cut(least.drop("n").join(rows.hint("shuffle_hash"), "root"), "simhash-kept").withColumnsRenamed({c: f"kept_{c}" for c in ("root", "doc_id", *key)})
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("kept_doc_id"))
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("k.kept_doc_id"))
     for k, c in key.items():
-        same &= F.xxhash64(F.lit(int(k[-1])), F.col(f"d.{text_col}").cast("string")) == F.col(f"kept_{k}")
+        same &= F.xxhash64(F.lit(int(k[-1])), F.col(f"d.{text_col}").cast("string")) == F.col(f"k.kept_{k}")
     # joined by a shuffle at every size, so that few documents are not treated unlike many
-    of = lambda rows, how: docs.alias("d").join(rows.hint("shuffle_hash"), same, how)
+    of = lambda rows, how: docs.alias("d").join(rows.alias("k").hint("shuffle_hash"), same, how)
     once, more = kept.where("kept_rows = 1"), kept.where("kept_rows > 1")
     if more.isEmpty():
         return of(once, "left_semi")
     row = F.struct(*(F.col(f"d.{c}") for c in docs.columns))
-    first = of(more, "inner").groupBy("kept_root").agg(F.min(row).alias("kept_row"))
+    first = of(more, "inner").groupBy("k.kept_root").agg(F.min(row).alias("kept_row"))
     return of(once, "left_semi").unionByName(first.select("kept_row.*"))
 
 

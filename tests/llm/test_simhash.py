@@ -102,3 +102,10 @@ def test_one_kept_of_each_component_with_null_and_repeated_ids(spark, least):
 
 def test_empty(spark):
     assert s.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_kept_with_clashing_columns(spark):
+    rows = [(1, "a b c d e", 7, 8, 9), (2, "a b c d e", 7, 8, 9), (2, "a b c d e", 7, 8, 9), (None, None, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_doc_id int, kept_row int, root int")
+    got = s.keep_one(df)
+    assert got.columns == df.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], rows[3]]))
