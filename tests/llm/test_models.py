@@ -72,3 +72,72 @@ def test_samples_stay_bounded_under_copies(spark):
     docs = spark.createDataFrame([(1, "a b")] * 500 + [(2, "c d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 1), (1, 0)], "doc_id long, quality int")
     assert len(neighbours.fit_space(docs, labels).labels) == 2
+
+
+def test_terms_by_brute_force():
+    """Counts of byte n-grams by their hashes, and the term of repeated three-word sequences."""
+    texts = ["a b c a b c a b c", "", "one two three four five", "é é é é"]
+    raw = [t.encode() for t in texts]
+    got = neighbours.terms(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for row, t, text in zip(got, raw, texts):
+        want = np.zeros(neighbours.WIDTH)
+        for k in (1, 2, 3):
+            for i in range(len(t) - k + 1):
+                code = 0
+                for b in t[i : i + k]:
+                    code = (code * 257 + b) % 2**32
+                want[((code + k) * 2654435761 % 2**32) >> 22] += 1
+        assert np.allclose(row[: neighbours.WIDTH], np.log1p(want), atol=1e-6)
+        w = text.split()
+        three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        share = 1 - len(set(three)) / len(three) if three else 0
+        at = sum(share >= r for r in neighbours.REPEATS)
+        assert row[neighbours.WIDTH :].tolist() == [float(k == at) for k in range(len(neighbours.REPEATS) + 1)]
+
+
+def test_directions_are_the_latent_ones():
+    """The basis spans the leading right singular vectors of the weighted terms."""
+    rng = np.random.default_rng(3)
+    x = np.log1p(rng.poisson(0.5, (60, neighbours.WIDTH + len(neighbours.REPEATS) + 1))).astype(np.float32)
+    space = neighbours.Space.fit(x, np.arange(60) % 2, 8)
+    t = neighbours.Space.weigh(x, space.idf)
+    _, _, v = np.linalg.svd(t.astype(np.float64), full_matrices=False)
+    assert np.allclose(np.abs(v[:8] @ space.basis), np.eye(8), atol=1e-2)
+
+
+def auc(score, label):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(order))
+    rank[order] = np.arange(1, len(order) + 1)
+    for v in np.unique(score):
+        rank[score == v] = rank[score == v].mean()
+    k = label.sum()
+    return (rank[label == 1].sum() - k * (k + 1) / 2) / (k * (len(label) - k))
+
+
+def test_quality_ranks_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    got = neighbours.op5_neighbour_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out and quality is not null").toPandas()
+    assert len(got) > 500 and auc(got.score.to_numpy(), got.quality.to_numpy()) > 0.95
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty documents, null and repeated ids, whole repeated rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, language int"
+    rows = [(None, "the cat is here", "en", "s", 1, 1, 1), (5, "der hund ist da", "de", "s", 1, 1, 1), (5, "der hund ist da", "de", "s", 1, 1, 1), (5, None, None, None, None, 1, 1)]
+    for name, some in (("full", rows), ("empty", [])):
+        at = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 1, 0)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        languages = langid.op2_language_id(spark, at).collect()
+        scores = neighbours.op5_neighbour_quality(spark, at).collect()
+        assert len(languages) == len(scores) == len(some)
+        assert all(0 <= r.score <= 1 for r in [*languages, *scores])
+        if some:
+            assert [r.lang_pred for r in languages if r.doc_id == 5].count("und") == 1 and len({r.score for r in scores if r.doc_id == 5}) <= 2
+
+
+def test_many_languages_keep_the_sample_bounded(spark):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "concat('word', id % 3, ' text') AS text", "concat('l', id % 300) AS lang")
+    model = langid.fit_model(rows, per_language=600, all_languages=60)
+    assert sum(len(m.names) for m in model.within.values()) < 150

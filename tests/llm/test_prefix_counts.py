@@ -40,5 +40,13 @@ def test_cut_at_a_budget_by_the_library(spark):
             assert r.b.prefix_chars == (len(t) if n[-1] <= budget else max(i for i, x in enumerate(n) if x <= budget))
 
 
+def test_query_on_odd_tables(spark, tmp_path):
+    for name, some in (("full", [(None, "a b", 1), (3, None, 2), (3, None, 2), (4, "é" * 9000, 3)]), ("empty", [])):
+        spark.createDataFrame(some, "doc_id long, text string, n_tokens int").write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        got = p.op10_prefix_counts(spark, f"file://{tmp_path}/{name}").collect()
+        assert sorted((str(r.doc_id), r.n_bytes) for r in got) == sorted((str(k), len((t or "").encode())) for k, t, _ in some)
+        assert all(r.prefix_chars == 9000 or r.over_limit for r in got if r.doc_id == 4) and all(r.n_tokens == 0 and r.prefix_chars == 0 for r in got if r.doc_id == 3)
+
+
 def test_no_rows():
     assert [len(x) for x in p.count_block(pa.array([], pa.string()), resource(p.MODEL), 5)] == [0, 0]
