@@ -280,3 +280,37 @@ def real_growth_reads(spark, sf):
     level = at.groupBy("o").agg((P.exact_sum(F.col("flow")).cast("double") / P.exact_sum(F.col("qty")).cast("double")).alias("p"))
     prices = level.join(level.select((F.col("o") + 4).alias("o"), F.col("p").alias("was")), "o").select("o", (100 * (F.col("p") - F.col("was")) / F.col("was")).alias("i"))
     return growth.join(prices, "o").select("g", "o", F.round(S.fisher(F.col("n"), F.col("i")), 4).alias("real"), F.when(F.col("n") > F.col("i"), "real growth").otherwise("inflation only").alias("read"))
+
+
+@query("""SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 250000""")
+def bound_scan(spark, sf):
+    """A statement with bound values and a column from an allow-list."""
+    table(spark, sf, "orders").createOrReplaceTempView("scan_orders")
+    sql = "SELECT o_orderkey AS k, {who} AS c, o_orderstatus AS s FROM scan_orders WHERE o_orderstatus = :status AND o_totalprice >= :least"
+    return feeds.scan(spark, sql, {"status": "F", "least": 250000}, {"who": "o_custkey"}, frozenset({"o_custkey"}))
+
+
+@query("""SELECT unnest(['good', 'unknown source', 'later reference', 'arity', 'operation', 'doubled key']) AS spec, unnest([0, 1, 1, 1, 1, 1])::INT AS problems, (SELECT count(*) FROM orders) AS n""")
+def spec_validation(spark, sf):
+    """How many problems each of six specs has."""
+    base = {"id": "x", "title": "t"}
+    a = {"key": "a", "source": "F"}
+    specs = [
+        ("good", [a, {"key": "b", "transform": "sum", "of": ["a"]}]),
+        ("unknown source", [{"key": "a", "source": "Z"}]),
+        ("later reference", [{"key": "b", "transform": "sum", "of": ["a"]}, a]),
+        ("arity", [a, {"key": "b", "transform": "ratio", "of": ["a"]}]),
+        ("operation", [a, {"key": "b", "transform": "formula", "formula": {"op": "pow", "args": [{"ref": "a"}, {"const": 2}]}}]),
+        ("doubled key", [a, a]),
+    ]
+    rows = F.array(*(F.struct(F.lit(name).alias("spec"), F.lit(len(dsl.problems({**base, "series": series}, set("FOP")))).alias("problems")) for name, series in specs))
+    return table(spark, sf, "orders", ["o_orderkey"]).agg(F.count("*").alias("n")).select(F.inline(rows), "n").select("spec", "problems", "n")
+
+
+@query("""SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN 'rating raised' WHEN p_size % 5 = 1 THEN 'rating affirmed' WHEN p_size % 5 = 2 THEN 'new issue abroad' WHEN p_size % 5 = 3 THEN 'results' ELSE 'notice' END AS gloss, CASE WHEN p_size % 2 = 0 THEN 'Alpha' END AS agency FROM part""")
+def event_glosses(spark, sf):
+    """Notices in plain words by ordered phrase rules, and the agency that they name."""
+    words = F.element_at(F.array(*map(F.lit, ("the rating was upgraded", "the rating was affirmed", "debt issued in foreign markets", "quarterly results", "general assembly"))), (F.col("p_size") % 5 + 1).cast("int"))
+    text = F.concat(words, F.when(F.col("p_size") % 2 == 0, " by Alpha Ratings").otherwise(""))
+    gloss = X.first_rule(text, [("rating raised", "upgrade"), ("rating affirmed", "affirm"), ("new issue abroad", "issued.*foreign"), ("results", "results")], "notice")
+    return table(spark, sf, "part", ["p_partkey", "p_size"]).select(F.col("p_partkey").alias("k"), gloss.alias("gloss"), F.nullif(F.regexp_extract(text, r"by (\w+) Ratings", 1), F.lit("")).alias("agency"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.keyed import changes, upsert
+from ..operators.keyed import changes
 
 
 def weekly_counts(events: DataFrame, watermark: str = "7 days") -> DataFrame:
@@ -18,33 +18,28 @@ def weekly_counts(events: DataFrame, watermark: str = "7 days") -> DataFrame:
 
 
 def run_weekly(spark: SparkSession, source: str, schema, sink: str, state: str) -> None:
-    """Read what is there as a stream, in small files at a time, and keep the sink's sums up to date.
+    """Read what is there as a stream, in small files at a time, and log the sums that each batch changed.
 
-    Each batch replaces the weeks it touched; a repeated batch gives the same table.
+    A batch writes its own folder, so a repeated one writes the same rows again, and
+    no batch reads or rewrites what others wrote.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    changed = weekly_counts(stream)
 
     def put(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("stamp", F.lit(number))
-        at = f"{sink}/v{number}"
-        if number == 0:
-            new.write.mode("overwrite").parquet(at)
-        else:
-            old = spark.read.parquet(f"{sink}/v{number - 1}")
-            upsert(old, new, ["week", "event_type"], "stamp").write.mode("overwrite").parquet(at)
-
-    query = changed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    query = weekly_counts(stream).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def read_latest(spark: SparkSession, sink: str, state: str) -> DataFrame:
-    """The last version that a finished batch left."""
+    """The sums as the last finished batch left them: of each key, those of its newest batch."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{state}/commits")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     last = max(int(f.getPath().getName()) for f in files if f.getPath().getName().isdigit())
-    return spark.read.parquet(f"{sink}/v{last}").drop("stamp")
+    log = spark.read.parquet(sink).where(F.col("batch") <= last)
+    return log.groupBy("week", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x")).select("week", "event_type", "x.n", "x.total")
 
 
 def day_changes(old: DataFrame, new: DataFrame, keys: list[str], stamps: tuple[str, ...] = ()) -> DataFrame:
