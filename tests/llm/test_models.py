@@ -141,3 +141,45 @@ def test_many_languages_keep_the_sample_bounded(spark):
     rows = spark.range(6000).selectExpr("id AS doc_id", "concat('word', id % 3, ' text') AS text", "concat('l', id % 300) AS lang")
     model = langid.fit_model(rows, per_language=600, all_languages=60)
     assert sum(len(m.names) for m in model.within.values()) < 150
+
+
+def test_machines_reach_the_least_loss():
+    """No direction lowers the weighted squared hinge loss, and a plain descent finds none better."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.normal(size=120) > 0.2, 1.0, -1.0)
+    one = np.hstack([x, np.ones((120, 1))])
+    each = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    loss = lambda w: 0.5 * w @ w / 20.0 + (each * np.maximum(0, 1 - y * (one @ w)) ** 2).sum()
+    got = langid.fit_svm(x, y, cost=20.0, rounds=2000).astype(np.float64)
+    w = np.zeros(13)
+    for _ in range(20000):
+        w -= 0.2 * (w / 20.0 - 2 * one.T @ (each * y * np.maximum(0, 1 - y * (one @ w))))
+    assert abs(loss(got) - loss(w)) < 1e-5
+    quick = langid.fit_svm(x, y).astype(np.float64)
+    assert loss(quick) < 1.01 * loss(w)
+
+
+def test_votes_of_machines_by_hand():
+    """Each pair of names has a machine; the name with most votes wins, margins break ties."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 6)).astype(np.float32)
+    labels = np.array(["a", "b", "c", "d"])[x[:, :4].argmax(axis=1)]
+    m = langid.Machines.fit(x, labels)
+    best, sure = m.choose(x)
+    import itertools
+
+    for row, at, p in zip(x, best, sure):
+        votes, margin, least = dict.fromkeys(m.names, 0), dict.fromkeys(m.names, 0.0), dict.fromkeys(m.names, 1.0)
+        for w, (a, b) in zip(m.weights, itertools.combinations(m.names, 2)):
+            s = float(row @ w[:-1] + w[-1])
+            votes[a if s > 0 else b] += 1
+            margin[a] += s
+            margin[b] -= s
+            q = 1 / (1 + np.exp(-4 * s))
+            least[a], least[b] = min(least[a], q), min(least[b], 1 - q)
+        top = [n for n in m.names if votes[n] == max(votes.values())]
+        want = max(top, key=lambda n: np.tanh(margin[n]))
+        assert m.names[at] == want and abs(p - least[want]) < 1e-5
+    assert (np.array(m.names)[best] == labels).mean() > 0.9
