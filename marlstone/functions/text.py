@@ -224,3 +224,11 @@ def comparisons(text: Column) -> Column:
     """Pairs ``a, way, b`` of comparisons such as ``12.5 above 9``."""
     found = F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)? (?:above|below) \d+(?:\.\d+)?"), F.lit(0))
     return F.transform(found, lambda x: F.struct(F.split(x, " ")[0].cast("double").alias("a"), F.split(x, " ")[1].alias("way"), F.split(x, " ")[2].cast("double").alias("b")))
+
+
+def statement_problem(sql: Column) -> Column:
+    """What keeps a text from being one reading statement: several, not a query, or a word that writes; else ok."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(sql, r"'(?:[^']|'')*'", "''"), r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
+    one = F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), r"\s*;\s*$", "")
+    words = r"(?i)\b(insert|update|delete|drop|alter|create|attach|pragma|replace|truncate)\b"
+    return F.when(F.contains(one, F.lit(";")), "several").when(~one.rlike(r"(?i)^(with|select)\b"), "not a query").when(one.rlike(words), "word").otherwise("ok")
