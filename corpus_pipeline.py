@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, decontam, neighbours, quality_rules, simhash
-from marlstone.llm.common import cut, table
+from marlstone.llm.common import cut, discard, table
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs, "pipeline")
+            kept = cut(kept, "pipeline")
+            if k:
+                discard(docs)  # the next stages read what was kept
+        docs = kept
     return docs
