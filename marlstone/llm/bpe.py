@@ -197,7 +197,9 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = max(64, min(65_536, 4 * held.rdd.getNumPartitions()))
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("tier", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())])
-    blocks = held.mapInArrow(tidy(_cut_blocks(buckets)), schema).repartition(F.coalesce("bucket", "block")).sortWithinPartitions("bucket")
+    # a partition for each bucket, so that none gets several; blocks' own rows are dealt among them
+    place = F.coalesce("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
+    blocks = held.mapInArrow(tidy(_cut_blocks(buckets)), schema).repartitionById(buckets, place).sortWithinPartitions("bucket")
     coded = blocks.mapInArrow(tidy(_encode_words(path)), schema)
     return coded.groupBy("block").applyInArrow(tidy(_assemble), T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
