@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "langid", "decontam", "quality_rules", "neighbours", "idfiles", "pitman_yor", "warc", "simhash", "prefix_counts", "resampling")
+MODULES = ("bpe", "langid", "decontam", "quality_rules", "neighbours", "idfiles", "pitman_yor", "warc", "simhash", "prefix_counts", "resampling", "licenses", "whitening")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
