@@ -268,15 +268,3 @@ def projection_paths(spark, sf):
     """An entity's last flow carried eight quarters on."""
     last = P.latest(supplier_quarters(spark, sf), ["g"], ["o"], ["o", "flow"])
     return last.select("g", "o", "flow", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).select("g", (F.col("o") + F.col("k")).cast("int").alias("o"), F.round(F.col("flow") * F.pow(F.lit(1.02), F.col("k")), 4).alias("path"))
-
-
-@query("""WITH o AS (SELECT o_orderpriority AS part, o_orderkey AS k, o_totalprice AS v FROM orders), n AS (SELECT part, k, CASE WHEN part = '1-URGENT' AND k % 2 = 0 THEN v + 1 ELSE v END AS v FROM o WHERE part <> '5-LOW') SELECT part, k, v, part = '1-URGENT' AS replaced FROM n UNION ALL SELECT part, k, v, false FROM o WHERE part = '5-LOW'""")
-def partition_replace(spark, sf):
-    """Partitions whose digest changed are replaced whole; an empty local one never wipes the target's."""
-    from ..operators import keyed as K
-
-    old = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("part"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    new = old.where("part != '5-LOW'").withColumn("v", F.when((F.col("part") == "1-URGENT") & (F.col("k") % 2 == 0), F.col("v") + 1).otherwise(F.col("v")))
-    stale = K.partition_digest(new, ["part"]).join(K.partition_digest(old, ["part"]), ["part", "rows", "digest"], "left_anti").select("part")
-    kept = old.join(F.broadcast(stale), "part", "left_anti").withColumn("replaced", F.lit(False))
-    return kept.unionByName(new.join(F.broadcast(stale), "part", "left_semi").withColumn("replaced", F.lit(True)))

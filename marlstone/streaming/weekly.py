@@ -1,4 +1,4 @@
-"""Streams of events kept as weekly sums in which revisions replace what they revise."""
+"""Weekly sums of events, in one batch or kept by a stream in which late and revised rows count."""
 
 from __future__ import annotations
 
@@ -6,40 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keyed import changes
+from .revisions import RevisionStore
 
 
-def weekly_counts(events: DataFrame, watermark: str = "7 days") -> DataFrame:
-    """``week, event_type, n, total`` by event time; late rows within the watermark count."""
-    at = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    if events.isStreaming:
-        at = at.withWatermark("ts", watermark)
-    got = at.groupBy(F.window("ts", "7 days", startTime="4 days").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
-    return got.select(F.to_date("w.start").alias("week"), "event_type", "n", F.col("total").cast("double").alias("total"))
+def week_columns() -> tuple[dict, dict]:
+    """Groups and measures of weekly sums."""
+    return {"week": F.to_date(F.date_trunc("week", "ts")), "event_type": F.col("event_type")}, {"n": F.lit(1).cast("long"), "total": F.col("value").cast("decimal(18,2)")}
 
 
-def run_weekly(spark: SparkSession, source: str, schema, sink: str, state: str) -> None:
-    """Read what is there as a stream, in small files at a time, and log the sums that each batch changed.
+def weekly_counts(events: DataFrame) -> DataFrame:
+    """``week, event_type, n, total`` of all events."""
+    groups, measures = week_columns()
+    at = events.select(*(e.alias(c) for c, e in groups.items()), F.col("value").cast("decimal(18,2)").alias("v"))
+    return at.groupBy(*groups).agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("total"))
 
-    A batch writes its own folder, so a repeated one writes the same rows again, and
-    no batch reads or rewrites what others wrote.
-    """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+def weekly_store(spark: SparkSession, root: str, schema, order: list[str]) -> RevisionStore:
+    """Events by id, the newest revision of each, and their weekly sums."""
+    groups, measures = week_columns()
+    return RevisionStore(spark, root, schema, ["event_id"], order, groups, measures)
 
-    query = weekly_counts(stream).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
 
-
-def read_latest(spark: SparkSession, sink: str, state: str) -> DataFrame:
-    """The sums as the last finished batch left them: of each key, those of its newest batch."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{state}/commits")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    last = max(int(f.getPath().getName()) for f in files if f.getPath().getName().isdigit())
-    log = spark.read.parquet(sink).where(F.col("batch") <= last)
-    return log.groupBy("week", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x")).select("week", "event_type", "x.n", "x.total")
+def weekly_sums(store: RevisionStore) -> DataFrame:
+    return store.sums().select("week", "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
 def day_changes(old: DataFrame, new: DataFrame, keys: list[str], stamps: tuple[str, ...] = ()) -> DataFrame:

@@ -14,7 +14,6 @@ from marlstone.operators import series as S
 from marlstone.plans import catalog, gateway
 from marlstone.sources import html
 from marlstone.sources.tables import table, without_nan, write_csv
-from marlstone.streaming import weekly as W
 
 
 def test_gap_does_not_stretch_the_window(spark):
@@ -127,16 +126,6 @@ def test_repeated_writes_change_nothing(spark):
     assert K.shrink_guard(old, spark.createDataFrame([(1, "x" * 300), (2, "y")], "k int, t string"), ["k"], "t").count() == 1
 
 
-def test_revisions_win_in_the_stream(spark, tmp_path):
-    rows = [(k, dt.datetime(2024, 1, 1 + k), "e", 1.0) for k in range(10)]
-    df = spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double")
-    for n in range(2):
-        df.where(F.col("event_id") % 2 == n).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    W.run_weekly(spark, f"file://{tmp_path}/in", df.schema, f"file://{tmp_path}/out", f"file://{tmp_path}/state")
-    got = {(r.week, r.n, r.total) for r in W.read_latest(spark, f"file://{tmp_path}/out", f"file://{tmp_path}/state").collect()}
-    assert got == {(dt.date(2024, 1, 1), 7, 7.0), (dt.date(2024, 1, 8), 3, 3.0)}
-
-
 def test_sinks_and_columns(spark, sf, tmp_path):
     write_csv(spark.createDataFrame([('a"b', 1)], "s string, n int"), f"file://{tmp_path}/c")
     assert spark.read.option("header", True).option("escape", '"').csv(f"file://{tmp_path}/c").first().s == 'a"b'
