@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .populations import Populations, Refused
+
 MAX_TEXT, ROW_CAP = 2000, 200
 #: Leaves of plans that read nothing: literals, and references to what was walked elsewhere.
 NO_DATA = frozenset({"OneRowRelation", "LocalRelation", "CTERelationRef"})
@@ -65,16 +67,6 @@ def _outside(plan, allowed: frozenset[str]) -> set[str]:
     return found
 
 
-def _literals(filters: list[str], column: str) -> set[str]:
-    """Values that the filters set for a column by = or IN."""
-    found = set()
-    for text in filters:
-        found |= set(re.findall(rf"\b{re.escape(column)}#\d+L? = ([^\s()&|]+)", text))
-        for inside in re.findall(rf"\b{re.escape(column)}#\d+L? IN \(([^)]*)\)", text):
-            found |= {x.strip() for x in inside.split(",")}
-    return found
-
-
 def ask(spark: SparkSession, sql: str, policy: Policy, question: str = "") -> Answer:
     """Check a statement and give its rows, one more than the cap at most, so that cut results show."""
     if len(sql) > MAX_TEXT:
@@ -91,20 +83,13 @@ def ask(spark: SparkSession, sql: str, policy: Policy, question: str = "") -> An
         return Answer("it calls a function that reaches beyond the data")
     if outside := _outside(frame._jdf.queryExecution().analyzed(), policy.tables):
         return Answer(f"it reads {sorted(outside)}")
-    filters = [n.condition().toString() for n in nodes if n.nodeName() == "Filter"]
-    sums = [n for n in nodes if n.nodeName() == "Aggregate" and re.search(r"\b(sum|avg)\(", n.aggregateExpressions().toString())]
-    for column, family in policy.partitions.items():
-        held = any(re.search(rf"\b{re.escape(column)}#", n.toString()) for n in nodes)
-        for agg in sums if held else ():
-            if re.search(rf"\b{re.escape(column)}#", agg.groupingExpressions().toString()):
-                continue
-            codes = _literals(filters, column)
-            if not codes or len({family.get(c) for c in codes}) != 1 or None in {family.get(c) for c in codes}:
-                return Answer(f"it adds up overlapping codes of {column}")
-    for column in policy.named:
-        codes = _literals(filters, column)
-        if len(codes) >= 2 and not all(c.lower() in question.lower() for c in codes):
-            return Answer(f"it pins codes of {column} that the question doesn't name")
+    found = Populations(policy.partitions, policy.named, policy.tables)
+    try:
+        found.check(frame._jdf.queryExecution().analyzed())
+    except Refused as e:
+        return Answer(str(e))
+    if column := found.unnamed(question):
+        return Answer(f"it pins codes of {column} that the question doesn't name")
     return Answer(None, frame.limit(policy.cap + 1))
 
 

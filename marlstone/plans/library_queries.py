@@ -229,27 +229,29 @@ def line_names(spark, sf):
     return table(spark, sf, "lineitem", ["l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"]).groupBy(F.col("l_suppkey").alias("g"), F.concat("l_returnflag", "l_linestatus").alias("line")).agg(F.count("*").alias("n"), F.to_date(F.max("l_shipdate")).alias("last"))
 
 
-@query("""SELECT unnest(['a', 'b', 'c', 'd']) AS case, unnest([NULL, 'it pins codes of p', NULL, 'it adds up overlapping codes']) AS refused, (SELECT count(*) FROM orders) AS n""")
+@query("""SELECT CASE WHEN o_orderstatus = 'P' THEN 'partial' ELSE 'settled' END AS family, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders GROUP BY 1""")
 def population_pins(spark, sf):
-    """Statements whose codes the question names or not, and sums inside or across families of codes."""
+    """The sum of each family of codes, by a statement that keeps to the family; the statement over all codes is refused."""
     from . import gateway
 
-    orders = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "p")
+    orders = table(spark, sf, "orders", ["o_orderstatus", "o_totalprice"])
+    codes = [r[0] for r in orders.select("o_orderstatus").distinct().limit(gateway.ROW_CAP).collect()]  # a handful
+    families = {c: "partial" if c == "P" else "settled" for c in codes}
     orders.createOrReplaceTempView("pin_orders")
-    policy = gateway.Policy(frozenset({"pin_orders"}), {"o_orderstatus": {"F": "a", "O": "a", "P": "b"}}, frozenset({"p"}))
-    two = "SELECT count(*) AS n FROM pin_orders WHERE p IN ('1-URGENT', '5-LOW')"
-    asked = [
-        ("a", two, "how many are 1-urgent or 5-low"),
-        ("b", two, "how many are there"),
-        ("c", "SELECT sum(o_totalprice) AS v FROM pin_orders WHERE o_orderstatus IN ('F', 'O')", ""),
-        ("d", "SELECT sum(o_totalprice) AS v FROM pin_orders WHERE o_orderstatus IN ('F', 'P')", ""),
-    ]
-    rows = []
-    for case, sql, question in asked:
-        reason = gateway.ask(spark, sql, policy, question).reason
-        rows.append((case, reason and reason[: len("it pins codes of p") if case == "b" else len("it adds up overlapping codes")]))
-    cases = F.inline(F.array(*(F.struct(F.lit(c).alias("case"), F.lit(r).cast("string").alias("refused")) for c, r in rows)))
-    return orders.agg(F.count("*").alias("n")).select(cases, "n").select("case", "refused", "n")
+    policy = gateway.Policy(frozenset({"pin_orders"}), {"o_orderstatus": families}, frozenset({"o_orderstatus"}))
+    asked = "SELECT '{0}' AS family, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM pin_orders WHERE {1}"
+    if not gateway.ask(spark, asked.format("all", "o_totalprice > 0"), policy).reason:
+        raise ValueError("a sum over all codes was let through")
+    out = None
+    for family in sorted(set(families.values())):
+        own = sorted(c for c in codes if families[c] == family)
+        sql = asked.format(family, "o_orderstatus IN (" + ", ".join(f"'{c}'" for c in own) + ")")
+        got = gateway.ask(spark, sql, policy, " ".join(own))
+        if got.reason:
+            raise ValueError(f"{got.reason}: {sql}")
+        out = got.rows if out is None else out.unionByName(got.rows)
+    spark.catalog.dropTempView("pin_orders")
+    return out
 
 
 @query(f"""WITH {MONTHLY}, a AS (SELECT y, m, sum(v::DECIMAL(38,6))::DOUBLE AS v FROM monthly GROUP BY ALL) SELECT x.y, x.m, round(100 * (x.v - z.v) / z.v, 4) AS yearly, CASE WHEN x.v > z.v THEN 'grew' ELSE 'shrank' END AS read FROM a x JOIN a z ON z.y = x.y - 1 AND z.m = x.m""")

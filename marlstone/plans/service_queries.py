@@ -60,31 +60,29 @@ def series_by_code(spark, sf):
     return catalog.observations(catalog.build(facts, "SQ", "Q", "g"), facts, ["MS.SQ.Q.001.1", "MS.SQ.Q.003.2"], "g", "1996-01-01", "1999-12-31")
 
 
-#: Statements put to the gateway, and the start of the reason why it turns them down.
-ASKED = [
-    ("SELECT o_orderstatus AS g, count(*) AS n FROM gate_orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1", None),
-    ("SELECT o_orderstatus AS g, sum(o_totalprice) AS n FROM gate_orders GROUP BY 1", "it adds up overlapping codes"),
-    ("SELECT o_orderstatus AS g, 1 AS n FROM gate_orders UNION ALL SELECT o_orderstatus, 2 FROM gate_hidden", "it reads"),
-    ("SELECT 1 AS n; DROP VIEW gate_orders", "not a single query"),
-    ("SELECT reflect('java.lang.System', 'exit', 0) AS n FROM gate_orders", "it calls a function"),
-]
-
-
-@query("""SELECT o_orderstatus AS g, count(*) AS n, NULL::VARCHAR AS refused FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 UNION ALL SELECT o_orderstatus, count(*), unnest(['it adds up overlapping codes', 'it reads', 'not a single query', 'it calls a function']) FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1""")
+@query("""SELECT o_orderstatus AS g, 'counted' AS how, count(*)::DOUBLE AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1
+    UNION ALL SELECT o_orderstatus, 'inside', coalesce(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_totalprice::DECIMAL(18,2) END), 0)::DOUBLE FROM orders GROUP BY 1
+    UNION ALL SELECT o_orderpriority, 'apart', sum(o_totalprice::DECIMAL(18,2))::DOUBLE FROM orders GROUP BY 1""")
 def guarded_sql(spark, sf):
-    """The rows of a statement that the gateway lets through, beside the reasons why it turns others down."""
-    orders = table(spark, sf, "orders")
-    orders.createOrReplaceTempView("gate_orders")
-    orders.createOrReplaceTempView("gate_hidden")
-    policy = gateway.Policy(frozenset({"gate_orders"}), {"o_orderpriority": {"1-URGENT": "a", "5-LOW": "b"}})
-    rows, reasons = None, []
-    for sql, want in ASKED:
+    """Rows of three statements that the gateway lets through: codes pinned, pinned inside the sum, kept apart. Their wider twins must be refused."""
+    amount = "CAST(o_totalprice AS DECIMAL(18,2))"
+    statements = {
+        "SELECT o_orderstatus AS g, 'counted' AS how, CAST(count(*) AS DOUBLE) AS v FROM gate_orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1": None,
+        f"SELECT o_orderstatus AS g, 'inside' AS how, CAST(coalesce(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN {amount} END), 0) AS DOUBLE) AS v FROM gate_orders GROUP BY 1": ("IN ('1-URGENT', '2-HIGH')", "<> '5-LOW'"),
+        f"SELECT o_orderpriority AS g, 'apart' AS how, CAST(sum({amount}) AS DOUBLE) AS v FROM gate_orders GROUP BY 1": ("o_orderpriority AS g", "o_orderstatus AS g"),
+    }
+    table(spark, sf, "orders").createOrReplaceTempView("gate_orders")
+    policy = gateway.Policy(frozenset({"gate_orders"}), {"o_orderpriority": {"1-URGENT": "a", "2-HIGH": "a", "5-LOW": "b"}}, cap=10**6)
+    out = None
+    for sql, twin in statements.items():
+        if twin and not (gateway.ask(spark, sql.replace(*twin), policy).reason or "").startswith("it adds up overlapping codes"):
+            raise ValueError(f"let through: {sql.replace(*twin)}")
         got = gateway.ask(spark, sql, policy)
-        if (got.reason or "")[: len(want or "")] != (want or ""):
-            raise ValueError(f"{got.reason} instead of {want} for {sql}")
-        rows, reasons = (got.rows, reasons) if want is None else (rows, [*reasons, want])
-    refused = rows.select("g", "n", F.explode(F.array(*map(F.lit, reasons))).alias("refused"))
-    return rows.withColumn("refused", F.lit(None).cast("string")).unionByName(refused)
+        if got.reason:
+            raise ValueError(f"{got.reason}: {sql}")
+        out = got.rows if out is None else out.unionByName(got.rows)
+    spark.catalog.dropTempView("gate_orders")
+    return out
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?')) AS printed, n_chars FROM documents), f AS (SELECT DISTINCT doc_id, printed, replace(printed, ',', '')::DOUBLE AS figure FROM t)
