@@ -78,6 +78,20 @@ def test_numbers_and_text(spark):
     assert html.blocks_of("<nav>x</nav><p>a <b>b</b></p><script>1</script><ul><li>c&amp;d<li>e</ul>tail") == ["a b", "c&d", "e", "tail"] and html.blocks_of(None) == []
 
 
+def test_blocks_of_pages_with_open_tags():
+    from marlstone.sources.html import blocks_of
+
+    assert blocks_of("<head><title>t</title><body><p>first</p><p>second</p>") == ["first", "second"]
+    assert blocks_of("<html><head><meta charset=x><title>t</title><p>first<p>second") == ["first", "second"]
+    assert blocks_of("<body><nav><a>menu</a><p>first</p></body>") == ["menu", "first"]  # never closed: hides nothing
+    assert blocks_of("<div><nav><a>menu</a></div><p>first</p>") == ["first"]  # its parent's end closes it
+    assert blocks_of("<nav><ul><li>a<li>b</ul></nav><p>first</p><footer>f</footer>x") == ["first", "x"]
+    assert blocks_of("<head><script>var a = '<p>';</script></head><body>one<br>two<b>three</b>") == ["one", "twothree"]
+    assert blocks_of("<p>a</p><script>never closed <p>b</p>") == ["a"]
+    assert blocks_of("</div></p>a<style>x</style>b<title>in an svg</title>c") == ["a", "b", "c"]
+    assert blocks_of("<table><tr><td>1<td>2<tr><td>3</table>") == ["1", "2", "3"]
+
+
 def test_wrong_specs_are_told(spark):
     bad = {"id": "x", "title": "t", "series": [{"key": "a", "source": "nope"}, {"key": "b", "transform": "ratio", "of": ["a"]}, {"key": "c", "transform": "formula", "formula": {"ref": "d"}}, {"key": "d", "transform": "boil", "of": ["a"]}]}
     assert len(dsl.problems(bad, {"s"})) == 4
