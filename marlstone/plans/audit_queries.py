@@ -103,15 +103,6 @@ def document_grids(spark, sf):
     return got.select("k", F.size("c").cast("bigint").alias("n"), F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["cell"])).alias("chars"), F.array_min(F.transform("c", lambda x: x["row"])).alias("first"))
 
 
-@query("""WITH s AS (SELECT doc_id, text, source FROM documents WHERE contains(lower(text), 'idiot')), m AS (SELECT source, count(*) AS n FROM s GROUP BY source)
-    SELECT s.doc_id, instr(lower(text), 'idiot') AS at, substr(text, greatest(1, instr(lower(text), 'idiot') - 20)::BIGINT, 45) AS context FROM s""")
-def text_search_context(spark, sf):
-    """Where a term stands first, with what is around it."""
-    low = F.lower("text")
-    at = F.instr(low, "idiot")
-    return table(spark, sf, "documents", ["doc_id", "text"]).where(F.contains(low, F.lit("idiot"))).select("doc_id", at.cast("bigint").alias("at"), F.substring("text", F.greatest(F.lit(1), at - 20), F.lit(45)).alias("context"))
-
-
 @query("""WITH w AS (SELECT DATE '1997-01-15' + (k * 91)::INT AS opens, DATE '1997-01-15' + (k * 91)::INT + 44 AS closes FROM (SELECT unnest(range(0, date_diff('day', DATE '1997-01-15', max(o_orderdate)::DATE) // 91 + 1)) AS k FROM orders)), o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-15')
     SELECT k, max(opens) AS opens, (date_diff('day', max(opens), any_value(d)) + 1)::INT AS day, any_value(d) <= max(closes) AS open FROM o JOIN w ON opens <= d GROUP BY k""")
 def window_calendar(spark, sf):

@@ -173,16 +173,6 @@ def citation_support(spark, sf):
     return both.select("k", (F.size(lost) == 0).alias("supported"), F.size(lost).cast("bigint").alias("rejected"))
 
 
-@query("""WITH c AS (SELECT o_custkey AS g, o_orderkey AS k, o_orderstatus AS v, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders WHERE o_orderpriority = '1-URGENT')
-    SELECT g, count(*) FILTER (was IS NOT NULL AND was <> v) AS contradictions, count(*) AS bullets FROM c GROUP BY g""")
-def contradictions(spark, sf):
-    """Neighbouring statements on one subject whose values are disjoint."""
-    w = Window.partitionBy("g").orderBy("o_orderdate", "o_orderkey")
-    rows = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("g"), "o_orderdate", "o_orderkey", F.array("o_orderstatus").alias("v"))
-    rows = rows.withColumn("was", F.lag("v").over(w))
-    return rows.groupBy("g").agg(F.count_if(~F.arrays_overlap("was", "v")).alias("contradictions"), F.count("*").alias("bullets"))
-
-
 @query("""WITH e AS (SELECT l_orderkey AS k, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS v, max(l_shipdate)::DATE AS d FROM lineitem GROUP BY 1), f AS (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN -1 ELSE o_orderkey END AS ref, o_orderkey % 3 = 0 AS off, o_orderkey % 4 = 0 AS old FROM orders)
     SELECT f.k, CASE WHEN e.v IS NULL THEN 'MISSING' WHEN off THEN 'CONTRADICTED' WHEN old THEN 'STALE' ELSE 'PASS' END AS verdict FROM f LEFT JOIN e ON e.k = f.ref""")
 def fact_scoring(spark, sf):
