@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer partitions than there are: small tables of one file only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that long texts don't swell a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
