@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import binary_array, byte_list, resource, table, text_blocks, text_view, tidy, tune
+from .common import binary_array, byte_list, resource, spread, table, text_blocks, text_view, tidy, tune
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -203,8 +203,13 @@ def truncate_to(docs: DataFrame, budget: int, text_col: str = "text", prefix_col
 
 
 def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and its longest prefix within the limit.
+
+    Null and empty texts have 0 of each; very long ones are counted whole, segment by
+    segment. Repeated rows and ids get equal counts; an empty table gives no rows.
+    """
     tune(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     got = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), within_budget("text", LIMIT).alias("b"))
     return got.select("doc_id", "n_bytes", F.col("b.n_tokens").alias("n_tokens"), (F.col("b.n_tokens") > LIMIT).alias("over_limit"), F.col("b.prefix_chars").alias("prefix_chars"))
 
