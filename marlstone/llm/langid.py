@@ -23,6 +23,10 @@ from .features import bounded_sample, by_steps, ngram_counts, unit_rows
 WIDTH = 4096
 #: Expected rows that a language gives to the fit, and that all give together: the bound of what the driver gathers.
 PER_LANGUAGE, ALL_LANGUAGES = 600, 4000
+#: Languages that are told apart, the most frequent ones.
+MOST_LANGUAGES = 500
+#: Names that one set of pairwise machines holds; more are told apart group by group, ``GROUPS`` (a power of 2) at a time.
+MOST_NAMES, GROUPS = 24, 8
 UNKNOWN = "und"
 FAMILIES = {
     **dict.fromkeys(("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"), "germanic"),
@@ -82,15 +86,63 @@ class Machines:
         return best, least[np.arange(len(x)), best]
 
 
+def _halves(places: np.ndarray, centres: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Names in groups of about equal size: halved again and again along the main direction of their means."""
+    if parts == 1 or len(places) == 1:
+        return [places]
+    own = centres[places] - centres[places].mean(axis=0)
+    main = np.linalg.svd(own, full_matrices=False)[2][0]
+    main = main if main[np.abs(main).argmax()] > 0 else -main
+    order = places[np.argsort(own @ main, kind="stable")]
+    half = (len(order) + 1) // 2
+    return [*_halves(order[:half], centres, parts // 2), *_halves(order[half:], centres, parts // 2)]
+
+
+@dataclass
+class Tree:
+    """Names in groups of alike ones: machines choose a group first, then inside it. Machines grow with the names, not their pairs."""
+
+    names: list[str]
+    top: Machines
+    groups: list[np.ndarray]
+    below: list
+
+    def choose(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, sure = self.top.choose(x)
+        best = np.zeros(len(x), np.int64)
+        for g, names in enumerate(self.groups):
+            rows = np.flatnonzero(at == g)
+            if len(rows):
+                inside, p = self.below[g].choose(x[rows])
+                best[rows] = np.sort(names)[inside]
+                sure[rows] *= p
+        return best, sure
+
+
+def fit_names(x: np.ndarray, labels: np.ndarray) -> Machines | Tree:
+    """Machines between all pairs of ``MOST_NAMES`` names at most, else a tree of such."""
+    names = sorted(set(labels.tolist()))
+    if len(names) <= MOST_NAMES:
+        return Machines.fit(x, labels)
+    at = np.searchsorted(names, labels)
+    centres = np.stack([x[at == k].mean(axis=0) for k in range(len(names))])
+    groups = _halves(np.arange(len(names)), centres, GROUPS)
+    of = np.zeros(len(names), np.int64)
+    for g, places in enumerate(groups):
+        of[places] = g
+    top = Machines.fit(x, np.array([f"{g:02d}" for g in range(len(groups))])[of[at]])
+    return Tree(names, top, groups, [fit_names(x[of[at] == g], labels[of[at] == g]) for g in range(len(groups))])
+
+
 @dataclass
 class Model:
-    families: Machines
-    within: dict[str, Machines]
+    families: Machines | Tree
+    within: dict[str, Machines | Tree]
 
     @staticmethod
     def fit(x: np.ndarray, langs: np.ndarray, families: dict[str, str]) -> Model:
         of = np.array([families.get(v, v) for v in langs.tolist()])
-        return Model(Machines.fit(x, of), {f: Machines.fit(x[of == f], langs[of == f]) for f in sorted(set(of.tolist()))})
+        return Model(fit_names(x, of), {f: fit_names(x[of == f], langs[of == f]) for f in sorted(set(of.tolist()))})
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The family first, then a language of that family."""
@@ -106,14 +158,14 @@ class Model:
         return names, score
 
 
-def fit_model(rows: DataFrame, families: dict[str, str] = FAMILIES, per_language: int = PER_LANGUAGE, all_languages: int = ALL_LANGUAGES) -> Model | None:
+def fit_model(rows: DataFrame, families: dict[str, str] = FAMILIES, per_language: int = PER_LANGUAGE, all_languages: int = ALL_LANGUAGES, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """Fit on ``text, lang`` rows (and ``doc_id``, if there); rows without either don't count. None if there are none.
 
-    The driver gathers ``all_languages`` rows at most, as expected; with very many
-    languages some give no row and are never predicted.
+    The driver gathers ``all_languages`` rows at most, as expected, of the ``most_languages``
+    most frequent languages; the others, and those that give no row, are never predicted.
     """
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    there = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    there = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not there:
         return None
     share = min(per_language, all_languages / len(there))
@@ -159,6 +211,12 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", out:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document.
+
+    Null texts and those without a letter are ``und`` with score 0; very long ones are read
+    whole. Rows are judged one by one, so repeated rows and ids get equal results; without
+    labelled rows all are ``und``, and an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = crc_mod("doc_id", 3) == 1
     got = identify(docs.select("doc_id", "text"), fit_model(docs.where(~out)))
