@@ -249,6 +249,11 @@ def token_digests(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids of every document and of the bytes they decode to.
+
+    Null and empty texts have no ids; very long ones are blocks of their own. Repeated rows
+    and ids get equal results, a row each; an empty table gives no rows.
+    """
     return token_digests(bpe_encode(table(spark, sf_dir, "documents")))
 
 

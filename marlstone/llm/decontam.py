@@ -302,6 +302,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and met items of every document.
+
+    Null and word-less texts hit nothing, nor do such items; very long texts are scanned
+    whole. Repeated rows and ids get equal results, a row each; items of a repeated id count
+    as one. An empty ``documents`` gives no rows, an empty ``benchmark`` no hits.
+    """
     got = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     c = F.col("contamination")
     return got.select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array(c["items"]), ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"))

@@ -239,6 +239,11 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of ids hold of every document.
+
+    Null and empty texts are the end id alone; very long ones are cut over blocks. Null ids
+    come first, repeated ids follow one another, each with its own row. An empty table gives no rows.
+    """
     root = new_path(spark, "ids")
     write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), root)
     return read_digests(spark, root)

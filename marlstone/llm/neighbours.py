@@ -139,6 +139,12 @@ def training_space(docs: DataFrame, labels: DataFrame) -> Space | None:
 
 
 def op5_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document.
+
+    Null and empty texts are scored as texts without terms; very long ones count whole.
+    Ties in similarity share their votes by the order of the learned rows; repeated rows get
+    equal scores. Without labels all score alike; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = quality_score(docs, training_space(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -400,6 +400,12 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, learned from those not held out.
+
+    Null and empty texts hold the end alone; very long ones are blocks of their own. Copies
+    get equal scores; rows of a repeated or null id keep a row each, a null id counting
+    as the empty text for the fold. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, crc_mod("doc_id", 10) == 0)
 

@@ -28,13 +28,23 @@ def bounds(rows: DataFrame, key: str, tie: str, size: str, part_bytes: int) -> l
     """Upper bounds of all ranges but the last, for ranges of about ``part_bytes``.
 
     The sample has about 8 times the square root of the number of rows, and a range
-    16 sampled rows at least.
+    16 sampled rows at least. Where the bytes ask for more ranges than that, a second
+    sample has 4 rows for each.
     """
-    every = max(1, math.isqrt(rows.count()) // 8)
-    few = rows.where(F.pmod(F.xxhash64(key, tie), F.lit(every)) == 0).select(key, tie, size).collect()
-    few = sorted((place(r[0], r[1]), r[2]) for r in few)
-    total = sum(n for _, n in few)
-    parts = max(1, min(len(few) // 16, -(-total * every // part_bytes)))
+    count, least = rows.count(), 16
+    every = max(1, math.isqrt(count) // 8)
+
+    def sample():
+        few = rows.where(F.pmod(F.xxhash64(key, tie), F.lit(every)) == 0).select(key, tie, size).collect()
+        few = sorted((place(r[0], r[1]), r[2]) for r in few)
+        total = sum(n for _, n in few)
+        return few, total, -(-total * every // part_bytes)
+
+    few, total, wanted = sample()
+    if wanted * least > len(few) and every > 1:
+        least, every = 4, max(1, min(every, count // (4 * wanted)))
+        few, total, wanted = sample()
+    parts = max(1, min(len(few) // least, wanted))
     out, seen = [], 0
     for at, n in few:
         if seen * parts >= total * (len(out) + 1) and (not out or at > out[-1]):

@@ -362,6 +362,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document.
+
+    Texts without words, null ones too, have fingerprint zero and link like any other; very
+    long ones count whole. Copies share a fingerprint and so a component; rows of a
+    repeated or null id keep a row each. An empty table gives no rows.
+    """
     got = components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -230,6 +230,12 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold of every page.
+
+    A null html is an empty payload; very long ones are records of their own file. Of equal
+    payloads the largest id responds, the others revisit it; a null id is less than
+    any. Repeated ids keep a record each. An empty table gives no rows.
+    """
     root = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), root)
     return read_warc(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
