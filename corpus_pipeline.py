@@ -2,6 +2,11 @@
 
 Each stage takes the documents that its predecessor kept, written and read again.
 All but the last return the columns of ``documents``.
+
+Every stage judges null and empty texts as its operator does: the rules reject them. Very
+long texts are read whole. Of repeated rows, and of rows whose ids are null or repeated, each
+is judged by itself, but that one row of a group of near duplicates stays. Columns
+beside id and text pass unchanged, whatever their names. No documents give none.
 """
 
 from __future__ import annotations
