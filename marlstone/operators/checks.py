@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .panel import quantiles
+
 
 def tolerance(x: Column, base: float, rel: float) -> Column:
     return F.greatest(F.lit(float(base)), F.abs(x) * rel)
@@ -97,7 +99,7 @@ def sign_flips(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def median_outliers(df: DataFrame, keys: list[str], value: str, factor: float = 8.0, least: int = 5) -> DataFrame:
     """Rows beyond ``factor`` times, or under its inverse of, their own key's median."""
-    mid = df.groupBy(*keys).agg(F.median(value).alias("median"), F.count(value).alias("n")).where(F.col("n") >= least)
+    mid = quantiles(df, keys, value, [0.5], ["median"]).withColumnRenamed("there", "n").where(F.col("n") >= least)
     return df.join(mid, keys).where((F.col("median") > 0) & ((F.col(value) > factor * F.col("median")) | (F.col(value) < F.col("median") / factor)))
 
 

@@ -40,25 +40,36 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return exact_sum(value * weight).cast("double") / exact_sum(F.when(value.isNotNull(), weight)).cast("double")
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+#: Distinct values of a key that one window may hold; more are cut to ``PIECES`` by quantiles of their own.
+LARGE_KEY, PIECES = 100_000, 64
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str, large: int = LARGE_KEY) -> DataFrame:
     """``keys, value, ties, below, there``: how often each non-null value occurs, how many rows of the key are less, and how many there are.
 
-    Values are counted first. Counts are added up within buckets of near values and
-    then over the buckets, of which a key has a few thousand at most, so no window
-    holds a key's rows.
+    Values are counted first, and counts are added up by windows. Values of a key that
+    has over ``large`` distinct ones are cut to pieces at quantiles of these values, so that no
+    window holds more than a ``PIECES``-th of them, however near to one another they are; how many lie
+    in the pieces below is added to them.
     """
     v = F.col(value).cast("double")
-    size = F.floor(F.log2(F.abs(v)) * 64) + 100_000
-    bucket = F.when(v == 0, 0).when(v > 0, size).otherwise(-size)  # grows with the value
-    counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties")).withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("ties").alias("_n"))
-    over = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_n").over(over.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_bucket").alias("_b"), before.alias("_before"), F.sum("_n").over(over).alias("there"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_bucket") == F.col("_b")]
-    got = counts.withColumn("_inside", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(totals, same)
-    return got.select(*keys, value, "ties", (F.col("_inside") + F.col("_before")).alias("below"), "there")
+    counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties"))
+    cuts = [k / PIECES for k in range(1, PIECES)]
+    bounds = counts.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("*").alias("_n"), F.percentile_approx(v, cuts, 1000).alias("_cuts")).where(F.col("_n") > large)
+    own = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] or [F.lit(True)]
+    at = counts.join(bounds.drop("_n"), own, "left").withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < v))))
+    at = at.select(*keys, value, "ties", "_piece", F.col("_cuts").isNotNull().alias("_large"))
+    piece = Window.partitionBy(*keys, "_piece")
+    inside = F.coalesce(F.sum("ties").over(piece.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = at.withColumn("_inside", inside).withColumn("_all", F.sum("ties").over(piece))
+    # a row for each piece of the large keys
+    totals = at.where("_large").groupBy(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_piece").alias("_p")).agg(F.sum("ties").alias("_t"))
+    over = Window.partitionBy(*(f"_{k}" for k in keys))
+    before = F.coalesce(F.sum("_t").over(over.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*(f"_{k}" for k in keys), "_p", before.alias("_before"), F.sum("_t").over(over).alias("_there"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_piece") == F.col("_p"), F.col("_large")]
+    got = got.join(totals, same, "left")
+    return got.select(*keys, value, "ties", (F.col("_inside") + F.coalesce("_before", F.lit(0))).alias("below"), F.coalesce("_there", "_all").alias("there"))
 
 
 def with_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import dsl
@@ -192,6 +193,7 @@ def test_quantiles_and_ranks_of_odd_values(spark):
     at = spark.createDataFrame(rows, "g string, v double")
     got = {r.v: (r.below, r.ties, r.there) for r in P.value_ranks(at, ["g"], "v").where("g = 'a'").collect()}
     assert got == {-1e300: (0, 1, 7), -2.5: (1, 2, 7), 0.0: (3, 1, 7), 1e-300: (4, 1, 7), 3.0: (5, 1, 7), 7e12: (6, 1, 7)}
+    assert sorted(map(tuple, P.value_ranks(at, ["g"], "v", large=2).collect())) == sorted(map(tuple, P.value_ranks(at, ["g"], "v").collect()))
     q = {r.g: (r.low, r.mid) for r in P.quantiles(at, ["g"], "v", [1 / 12, 0.5], ["low", "mid"]).collect()}
     assert q == {"a": ((-1e300 - 2.5) / 2, 0.0), "c": (4.0, 4.0)}
 
@@ -201,3 +203,19 @@ def test_specs_name_bad_nodes():
     for node in ({"op": "pow", "args": [{"ref": "a"}, {"const": 2}]}, {"op": "add", "args": [{"ref": "a"}, {"text": 1}]}, {"const": 3}, {"op": "add", "args": [{"ref": "a"}]}, {}):
         spec = {**base, "series": [*base["series"], {"key": "b", "transform": "formula", "formula": node}]}
         assert dsl.problems(spec, {"A"}), node
+
+
+def test_near_values_are_ranked_in_pieces(spark):
+    """A million values between 100 and 101, with far ones beside them: pieces are even, ranks exact."""
+    near = spark.range(1_000_000).select(F.lit("hot").alias("g"), (100 + F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).alias("v"))
+    at = near.unionByName(spark.createDataFrame([("hot", 1e300), ("hot", -1e300), ("hot", None), ("cold", 1.0)], "g string, v double"))
+    got = P.value_ranks(at, ["g"], "v").where("g = 'hot'").persist()
+    assert got.agg(F.sum("ties"), F.max("there"), F.min("below"), F.max("below")).first() == (1_000_002, 1_000_002, 0, 1_000_001)
+    w = Window.partitionBy("g").orderBy("v")
+    assert got.withColumn("next", F.lead("below").over(w)).where("next is not null and next != below + ties").count() == 0
+    plan = P.value_ranks(at, ["g"], "v")
+    pieces = at.where("v is not null and g = 'hot'").select("v").distinct()
+    cuts = pieces.agg(F.percentile_approx("v", [k / P.PIECES for k in range(1, P.PIECES)], 1000)).first()[0]
+    largest = pieces.select(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))).alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert largest < 3 * pieces.count() / P.PIECES and plan.columns == ["g", "v", "ties", "below", "there"]
+    got.unpersist()
