@@ -214,15 +214,6 @@ def wide_template(spark, sf):
     return form.select("g", "m", line).select("g", "line", F.round(F.try_element_at("m", F.col("line")), 2).alias("v"), F.try_element_at("m", F.col("line")).isNull().alias("missing"))
 
 
-@query(f"""WITH {SUPPLIER}, a AS (SELECT o, sum(flow::DECIMAL(38,6))::DOUBLE AS v FROM sq GROUP BY o), c AS (SELECT coalesce(x.o, y.o + 4) AS o, x.v AS now, y.v AS was FROM a x FULL JOIN a y ON x.o = y.o + 4) SELECT o, CASE WHEN was IS NULL THEN 'new' WHEN now IS NULL THEN 'gone' WHEN now > was THEN 'up' ELSE 'down' END AS change, round(coalesce(now, 0) - coalesce(was, 0), 2) AS delta FROM c""")
-def changelog(spark, sf):
-    """A log of what moved against a year before, with what came and went."""
-    a = supplier_quarters(spark, sf).groupBy("o").agg(P.exact_sum(F.col("flow")).cast("double").alias("now"))
-    both = a.join(a.select((F.col("o") + 4).alias("o"), F.col("now").alias("was")), "o", "full")
-    change = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.col("now") > F.col("was"), "up").otherwise("down")
-    return both.select("o", change.alias("change"), F.round(F.coalesce("now", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)), 2).alias("delta"))
-
-
 @query(f"""WITH l AS (SELECT l_suppkey AS g, l_returnflag || l_linestatus AS line, l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem) SELECT g, line, count(*) AS n, max(l_shipdate)::DATE AS last FROM l GROUP BY ALL""")
 def line_names(spark, sf):
     """The lines that an entity has ever filed, and when last."""
@@ -292,23 +283,6 @@ def bound_scan(spark, sf):
     return feeds.scan(spark, sql, {"status": "F", "least": 250000}, {"who": "o_custkey"}, frozenset({"o_custkey"}))
 
 
-@query("""SELECT unnest(['good', 'unknown source', 'later reference', 'arity', 'operation', 'doubled key']) AS spec, unnest([0, 1, 1, 1, 1, 1])::INT AS problems, (SELECT count(*) FROM orders) AS n""")
-def spec_validation(spark, sf):
-    """How many problems each of six specs has."""
-    base = {"id": "x", "title": "t"}
-    a = {"key": "a", "source": "F"}
-    specs = [
-        ("good", [a, {"key": "b", "transform": "sum", "of": ["a"]}]),
-        ("unknown source", [{"key": "a", "source": "Z"}]),
-        ("later reference", [{"key": "b", "transform": "sum", "of": ["a"]}, a]),
-        ("arity", [a, {"key": "b", "transform": "ratio", "of": ["a"]}]),
-        ("operation", [a, {"key": "b", "transform": "formula", "formula": {"op": "pow", "args": [{"ref": "a"}, {"const": 2}]}}]),
-        ("doubled key", [a, a]),
-    ]
-    rows = F.array(*(F.struct(F.lit(name).alias("spec"), F.lit(len(dsl.problems({**base, "series": series}, set("FOP")))).alias("problems")) for name, series in specs))
-    return table(spark, sf, "orders", ["o_orderkey"]).agg(F.count("*").alias("n")).select(F.inline(rows), "n").select("spec", "problems", "n")
-
-
 @query("""SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN 'rating raised' WHEN p_size % 5 = 1 THEN 'rating affirmed' WHEN p_size % 5 = 2 THEN 'new issue abroad' WHEN p_size % 5 = 3 THEN 'results' ELSE 'notice' END AS gloss, CASE WHEN p_size % 2 = 0 THEN 'Alpha' END AS agency FROM part""")
 def event_glosses(spark, sf):
     """Notices in plain words by ordered phrase rules, and the agency that they name."""
