@@ -84,14 +84,6 @@ def anomaly_delta(spark, sf):
     return C.anomaly_delta(a.where("y in (1997, 1998)").select("k"), a.where("y in (1996, 1997)").select("k"), "k")
 
 
-@query("""WITH m AS (SELECT l_suppkey AS s, l_returnflag AS f, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS v FROM lineitem GROUP BY ALL) SELECT concat('S', s::VARCHAR) AS source, concat('F', f) AS sink, round(v, 2) AS v FROM m UNION ALL SELECT concat('F', f), 'all', round(sum(v::DECIMAL(38,6))::DOUBLE, 2) FROM m GROUP BY f""")
-def flow_graph(spark, sf):
-    """Edges of two layers; each node passes on what comes in."""
-    m = table(spark, sf, "lineitem", ["l_suppkey", "l_returnflag", "l_extendedprice"]).groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("F"), "l_returnflag").alias("sink")).agg(F.sum(money("l_extendedprice")).cast("double").alias("v"))
-    top = m.groupBy(F.col("sink").alias("source")).agg(P.exact_sum(F.col("v")).cast("double").alias("v")).select("source", F.lit("all").alias("sink"), "v")
-    return m.unionByName(top).withColumn("v", F.round("v", 2))
-
-
 @query("""SELECT o_orderkey AS k, count(*) AS n, sum(length(l_returnflag || l_linestatus))::BIGINT AS chars, min(l_linenumber)::INT AS first FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def document_grids(spark, sf):
     """Cells of each document as one JSON grid, read back through a schema."""

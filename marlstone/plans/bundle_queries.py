@@ -237,19 +237,6 @@ def label_template(spark, sf):
     return at.groupBy(F.col("p_brand").alias("g")).agg(*(cell(n) for n, _ in LABELS), F.count_if(F.col("line").isNull()).alias("unplaced"))
 
 
-@query("""WITH h AS (SELECT l_orderkey AS k, l_linenumber AS c, CASE WHEN l_quantity < 10 THEN '<1m' WHEN l_quantity < 25 THEN '1-3m' WHEN l_quantity < 40 THEN '3-12m' ELSE NULL END AS band FROM lineitem), m AS (SELECT k, count(band) AS named, count(DISTINCT band) AS kinds, list(concat(c::VARCHAR, '=', coalesce(band, '?')) ORDER BY c, concat(c::VARCHAR, '=', coalesce(band, '?'))) AS model FROM h GROUP BY k)
-    SELECT k, named, CASE WHEN named >= 2 AND kinds = named THEN 'model' WHEN named >= 2 THEN 'ambiguous' ELSE 'unknown' END AS state, array_to_string(model, ' ') AS model FROM m""")
-def band_columns(spark, sf):
-    """Columns of a matrix to maturity bands by their labels; a model needs two named columns and no band twice."""
-    q = F.col("l_quantity")
-    band = F.when(q < 10, "<1m").when(q < 25, "1-3m").when(q < 40, "3-12m")
-    at = table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"]).withColumn("band", band)
-    cell = F.struct("l_linenumber", F.concat_ws("=", F.col("l_linenumber").cast("string"), F.coalesce("band", F.lit("?"))).alias("x"))
-    got = at.groupBy(F.col("l_orderkey").alias("k")).agg(F.count("band").alias("named"), F.countDistinct("band").alias("kinds"), F.sort_array(F.collect_list(cell)).alias("m"))
-    state = F.when((F.col("named") >= 2) & (F.col("kinds") == F.col("named")), "model").when(F.col("named") >= 2, "ambiguous").otherwise("unknown")
-    return got.select("k", "named", state.alias("state"), F.array_join(F.transform("m", lambda x: x["x"]), " ").alias("model"))
-
-
 @query(f"""WITH {MONTHLY}, {ORD}, g AS (SELECT a.g, a.o, (a.v / b.v - 1) * 100 AS y FROM t a JOIN t b ON a.g = b.g AND a.o = b.o + 12), l AS (SELECT g, arg_max(y, o) AS y, max(o) AS o FROM g GROUP BY g), h AS (SELECT g.g, count(*) FILTER (g.y < l.y) AS below, count(*) AS n FROM g JOIN l USING (g) GROUP BY g.g)
     SELECT g, round(y, 4) AS growth, CASE WHEN y >= 10 THEN 'grows fast' WHEN y >= 0 THEN 'grows' WHEN y > -10 THEN 'shrinks' ELSE 'shrinks fast' END AS headline, round(below / n, 4) AS place FROM l JOIN h USING (g)""")
 def headlines(spark, sf):
