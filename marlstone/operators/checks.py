@@ -135,13 +135,6 @@ def signed_chain(base: Column, parts: list[Column], target: Column, tol: float =
     return F.when(missing, "skip").when((F.abs(signed - target) <= slack) | (F.abs(plain - target) <= slack), "pass").otherwise("fail")
 
 
-def roll_forward(opening: Column, flows: list[Column], closing: Column, tol: float = 3.0, rel: float = 5e-5) -> Column:
-    """opening + flows = closing."""
-    total = opening
-    for f in flows:
-        total = total + f
-    return verdict(total, closing, tol, rel)
-
 
 def in_band(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNull(), "skip").when(value.between(low, high), "pass").otherwise("fail")

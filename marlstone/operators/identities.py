@@ -69,8 +69,3 @@ def role_changes(df: DataFrame, keys: list[str], order: str, role: str) -> DataF
     was = F.lag("roles").over(Window.partitionBy(*keys).orderBy(order))
     got = sets.withColumn("was", was).where("was is not null and roles != was")
     return got.select(*keys, order, F.array_except("roles", "was").alias("added"), F.array_except("was", "roles").alias("lost"))
-
-
-def triage(broken: Column, captured: Column, mapped: Column, unit: Column) -> Column:
-    """Why a check broke, by the first evidence: nothing captured, captured but not mapped, another unit, else the source itself."""
-    return F.when(~broken, "clean").when(~captured, "not captured").when(~mapped, "not mapped").when(unit, "unit").otherwise("source")

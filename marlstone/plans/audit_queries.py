@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks as C
 from ..operators import panel as P
-from ..sources.tables import money, supplier_quarters, table
+from ..sources.tables import supplier_quarters, table
 from .registry import SUPPLIER, query
 from .series_queries import r6
 
@@ -20,16 +20,6 @@ def deduction_chain(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), C.signed_chain(p, [p * F.col("l_discount"), p * F.col("l_tax")], target).alias("verdict"))
 
 
-@query(f"""WITH {SUPPLIER} SELECT a.g, a.o, CASE WHEN a.g % 4 = 0 THEN 'fail' ELSE 'pass' END AS verdict FROM sq a JOIN sq b ON a.g = b.g AND a.o = b.o + 1""")
-def roll_forward_check(spark, sf):
-    """Opening and flow against closing stocks, a fourth of them a unit of ten off."""
-    at = supplier_quarters(spark, sf).select("g", "o", F.col("flow").alias("closing"))
-    before = at.select("g", (F.col("o") + 1).alias("o"), F.col("closing").alias("opening"))
-    met = at.join(before, ["g", "o"]).withColumn("flow", F.col("closing") - F.col("opening"))
-    moved = F.col("closing") + F.when(F.col("g") % 4 == 0, 10 + F.abs("closing") * 1e-3).otherwise(0)
-    return met.select("g", "o", C.roll_forward(F.col("opening"), [F.col("flow")], moved).alias("verdict"))
-
-
 @query("""SELECT p_partkey AS k, CASE WHEN p_size % 9 = 0 THEN 'skip' WHEN p_size BETWEEN 5 AND 40 THEN 'pass' ELSE 'fail' END AS verdict FROM part""")
 def plausible_bands(spark, sf):
     v = F.when(F.col("p_size") % 9 != 0, F.col("p_size"))
@@ -66,22 +56,27 @@ def signal_identity(spark, sf):
     return at.join(before, ["g", "o"]).where("stock > 1.02 * was").select(*C.signal("step", ["g", "o"], ["stock", "was"]), "o").drop("payload")
 
 
-@query("""WITH s AS (SELECT l_suppkey AS g, l_extendedprice AS v FROM lineitem WHERE l_linenumber <= 4), p AS (SELECT DISTINCT l_suppkey AS g, round(l_extendedprice * CASE WHEN l_suppkey % 3 = 0 THEN 1000 ELSE 1 END)::HUGEINT AS p FROM lineitem WHERE l_linenumber <> 2),
+@query("""WITH s AS (SELECT l_suppkey AS g, l_extendedprice AS v FROM lineitem), p AS (SELECT DISTINCT l_suppkey AS g, round(l_extendedprice * CASE WHEN l_suppkey % 3 = 0 THEN 1000 ELSE 1 END)::HUGEINT AS p FROM lineitem WHERE l_linenumber <> 2),
     f(f) AS (VALUES (1), (1000), (1000000)), m AS (SELECT s.g, f, count(*) AS n, count(p.p) AS hit FROM s CROSS JOIN f LEFT JOIN p ON p.g = s.g AND p.p = round(s.v)::HUGEINT * f GROUP BY ALL)
     SELECT g, round(max(hit / n), 4) AS found FROM m GROUP BY g""")
 def capture_reconcile(spark, sf):
     """Stored amounts found among printed ones, at the unit that finds most."""
     lines = table(spark, sf, "lineitem", ["l_suppkey", "l_linenumber", "l_extendedprice"]).select(F.col("l_suppkey").alias("g"), "l_linenumber", F.round("l_extendedprice").alias("v"))
     printed = table(spark, sf, "lineitem", ["l_suppkey", "l_linenumber", "l_extendedprice"]).where("l_linenumber != 2").select(F.col("l_suppkey").alias("g"), (F.col("l_extendedprice") * F.when(F.col("l_suppkey") % 3 == 0, 1000).otherwise(1)).alias("v"))
-    return C.capture_share(lines.where("l_linenumber <= 4"), printed, ["g"], "v").select("g", F.round("found", 4).alias("found"))
+    return C.capture_share(lines, printed, ["g"], "v").select("g", F.round("found", 4).alias("found"))
 
 
-@query("""WITH t AS (SELECT DISTINCT l_suppkey AS g, year(l_shipdate)::INT AS y, l_returnflag AS r FROM lineitem), a AS (SELECT g, y FROM t GROUP BY g, y), n AS (SELECT g, y, count(*) AS k FROM t GROUP BY ALL)
-    SELECT concat(a.g::VARCHAR, ':', a.y::VARCHAR) AS k, 'new' AS state FROM a WHERE y = 1998 UNION ALL SELECT concat(g::VARCHAR, ':', y::VARCHAR), 'resolved' FROM a WHERE y = 1996""")
+@query("""WITH t AS (SELECT DISTINCT l_suppkey AS g, year(l_shipdate)::INT AS y FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity > 40), r AS (SELECT year(l_shipdate)::INT AS y FROM lineitem GROUP BY 1), p AS (SELECT g, y + 1 AS y FROM t JOIN r USING (y) WHERE y + 1 IN (SELECT y FROM r)), n AS (SELECT g, y FROM t WHERE y - 1 IN (SELECT y FROM r))
+    SELECT concat(coalesce(n.g, p.g)::VARCHAR, ':', coalesce(n.y, p.y)::VARCHAR) AS k, CASE WHEN p.g IS NULL THEN 'new' ELSE 'resolved' END AS state FROM n FULL JOIN p ON n.g = p.g AND n.y = p.y WHERE n.g IS NULL OR p.g IS NULL""")
 def anomaly_delta(spark, sf):
-    """Findings of one run against a stored set: new ones and those resolved."""
-    a = table(spark, sf, "lineitem", ["l_suppkey", "l_shipdate"]).select(F.col("l_suppkey").alias("g"), F.year("l_shipdate").alias("y")).distinct().withColumn("k", F.concat_ws(":", "g", "y"))
-    return C.anomaly_delta(a.where("y in (1997, 1998)").select("k"), a.where("y in (1996, 1997)").select("k"), "k")
+    """Findings of each year's run against the run before: new ones and those resolved. A finding is a supplier with a large last line returned."""
+    lines = table(spark, sf, "lineitem", ["l_suppkey", "l_shipdate", "l_returnflag", "l_linenumber", "l_quantity"]).withColumn("y", F.year("l_shipdate"))
+    runs = lines.select("y").distinct()  # a row for each year
+    found = lines.where("l_returnflag = 'R' and l_linenumber = 7 and l_quantity > 40").select(F.col("l_suppkey").alias("g"), "y").distinct()
+    had = F.broadcast(runs.select((F.col("y") + 1).alias("y")))
+    now = found.join(had, "y").select(F.concat_ws(":", "g", "y").alias("k"))
+    before = found.select("g", (F.col("y") + 1).alias("y")).join(F.broadcast(runs), "y").select(F.concat_ws(":", "g", "y").alias("k"))
+    return C.anomaly_delta(now, before, "k")
 
 
 @query("""SELECT o_orderkey AS k, count(*) AS n, sum(length(l_returnflag || l_linestatus))::BIGINT AS chars, min(l_linenumber)::INT AS first FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
@@ -95,15 +90,14 @@ def document_grids(spark, sf):
     return got.select("k", F.size("c").cast("bigint").alias("n"), F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["cell"])).alias("chars"), F.array_min(F.transform("c", lambda x: x["row"])).alias("first"))
 
 
-@query("""WITH w AS (SELECT DATE '1997-01-15' + (k * 91)::INT AS opens, DATE '1997-01-15' + (k * 91)::INT + 44 AS closes FROM (SELECT unnest(range(0, date_diff('day', DATE '1997-01-15', max(o_orderdate)::DATE) // 91 + 1)) AS k FROM orders)), o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-15')
+@query("""WITH b AS (SELECT min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last FROM orders), w AS (SELECT first + (k * 91)::INT AS opens, first + (k * 91)::INT + 44 AS closes FROM (SELECT first, unnest(range(0, date_diff('day', first, last) // 91 + 1)) AS k FROM b)), o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d FROM orders)
     SELECT k, max(opens) AS opens, (date_diff('day', max(opens), any_value(d)) + 1)::INT AS day, any_value(d) <= max(closes) AS open FROM o JOIN w ON opens <= d GROUP BY k""")
 def window_calendar(spark, sf):
-    """The last window opened by each order's day: windows become days, so the join is by equality."""
-    final = table(spark, sf, "orders", ["o_orderdate"]).agg(F.greatest(F.to_date(F.max("o_orderdate")), F.to_date(F.lit("1997-01-15"))).alias("final"))
-    spans = final.select(F.explode(F.expr("sequence(date '1997-01-15', final, interval 91 days)")).alias("opens"))
+    """The last window opened by each order's day, from the first order on: windows become days, so the join is by equality."""
+    span = table(spark, sf, "orders", ["o_orderdate"]).agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"))
+    spans = span.select(F.explode(F.expr("sequence(first, last, interval 91 days)")).alias("opens"))
     days = spans.select("opens", F.explode(F.sequence("opens", F.date_add("opens", 90))).alias("d"))
-    last = F.lit("1997-01-15").cast("date")
-    orders = table(spark, sf, "orders", ["o_orderkey", "o_orderdate"]).select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d")).where(F.col("d") >= last)
+    orders = table(spark, sf, "orders", ["o_orderkey", "o_orderdate"]).select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d"))
     return orders.join(F.broadcast(days), "d").select("k", "opens", (F.datediff("d", "opens") + 1).alias("day"), (F.datediff("d", "opens") <= 44).alias("open"))
 
 

@@ -35,15 +35,6 @@ def cash_flow_identity(spark, sf):
     return _statement(spark, sf).select("g", "o", I.cash_flow(parts, told, v[5], closing).alias("verdict"))
 
 
-@query(f"""WITH {STATEMENT} SELECT a.g, a.o, CASE WHEN b.v1 IS NULL OR a.v1 IS NULL THEN 'skip' WHEN a.g % 5 = 0 THEN 'fail' ELSE 'pass' END AS verdict FROM st a JOIN st b ON a.g = b.g AND a.o = b.o + 1""")
-def equity_change(spark, sf):
-    """The closing equity of a quarter, moved by its own flows, against the next one's; a fifth of the entities are off by a hundredth and a thousand."""
-    at = _statement(spark, sf).select("g", "o", "v1").withColumn("was", F.max("v1").over(Window.partitionBy("g").orderBy("o").rangeBetween(-1, -1))).withColumn("there", F.count("*").over(Window.partitionBy("g").orderBy("o").rangeBetween(-1, -1)))
-    flows = F.col("v1") - F.col("was")
-    told = F.col("v1") + F.when(F.col("g") % 5 == 0, 1000 + F.abs("v1") * 0.01).otherwise(0)
-    return at.where("there > 0").select("g", "o", verdict(F.col("was") + flows, told, 10.0, 5e-5).alias("verdict"))
-
-
 @query(f"""WITH {STATEMENT} SELECT g, o, CASE WHEN v1 IS NULL OR v2 IS NULL THEN 'skip' WHEN g % 4 = 3 THEN 'fail' ELSE 'pass' END AS total, CASE WHEN v1 IS NULL THEN 'skip' WHEN v2 IS NULL AND v3 IS NULL THEN 'skip' WHEN g % 3 = 0 AND v2 IS NOT NULL THEN 'pass' WHEN v3 IS NOT NULL AND abs(v3 - v1) <= 10 THEN 'pass' WHEN v2 IS NOT NULL AND g % 3 <> 0 AND abs(v2 - v1) <= 10 THEN 'pass' ELSE 'fail' END AS bottom FROM st""")
 def income_identities(spark, sf):
     """III = I + II, a fourth of it off; and a bottom line that any of the candidates may match."""
@@ -122,15 +113,6 @@ def coverage_divergence(spark, sf):
     return got.where((F.abs(F.col("r") - F.col("r4")) <= 0.0015) & (F.col("fall") <= -0.01)).select("g", "o", r6(F.col("fall"), "fall"))
 
 
-@query(f"""WITH {SUPPLIER}, t AS (SELECT g, o, flow, flow * CASE WHEN (g + o) % 11 = 0 THEN 1.1 ELSE 1 END AS whole FROM sq), r AS (SELECT g, o, whole / flow - 1 AS gap, lag(whole / flow - 1) OVER (PARTITION BY g ORDER BY o) AS was FROM t)
-    SELECT g, o, round(gap - was, 6) AS move FROM r WHERE abs(gap - was) > 0.03""")
-def perimeter_gap(spark, sf):
-    """The gap between consolidated and own figures moves by over 3 %."""
-    at = supplier_quarters(spark, sf).select("g", "o", (F.col("flow") * F.when((F.col("g") + F.col("o")) % 11 == 0, 1.1).otherwise(1.0) / F.col("flow") - 1).alias("gap"))
-    move = F.col("gap") - F.lag("gap").over(Window.partitionBy("g").orderBy("o"))
-    return at.withColumn("move", move).where(F.abs("move") > 0.03).select("g", "o", r6(F.col("move"), "move"))
-
-
 @query(f"""WITH {SUPPLIER}, t AS (SELECT g, o, qty, lag(qty) OVER (PARTITION BY g ORDER BY o) AS was FROM sq) SELECT g, o, qty, was FROM t WHERE was IS NOT NULL AND (was >= 500) <> (qty >= 500)""")
 def materiality_flips(spark, sf):
     return I.flips(supplier_quarters(spark, sf).select("g", "o", "qty"), ["g"], "o", "qty", 500)
@@ -144,23 +126,6 @@ def line_item_changes(spark, sf):
     return I.role_changes(at.distinct(), ["g"], "o", "role")
 
 
-@query(f"""WITH {STATEMENT} SELECT g, o, CASE WHEN v1 IS NOT NULL AND g % 3 <> 0 THEN 'clean' WHEN v1 IS NULL AND v2 IS NULL THEN 'not captured' WHEN v1 IS NULL THEN 'not mapped' WHEN g % 6 = 0 THEN 'unit' ELSE 'source' END AS cause FROM st""")
-def broken_checks_triage(spark, sf):
-    broken = F.col("v1").isNull() | (F.col("g") % 3 == 0)
-    return _statement(spark, sf).select("g", "o", I.triage(broken, F.col("v1").isNotNull() | F.col("v2").isNotNull(), F.col("v1").isNotNull(), F.col("g") % 6 == 0).alias("cause"))
-
-
-@query(f"""WITH {SUPPLIER}, t AS (SELECT g, sum(flow::DECIMAL(38,6))::DOUBLE AS total FROM sq GROUP BY g), p AS (SELECT g, o, (sum(flow::DECIMAL(38,6)) OVER (PARTITION BY g ORDER BY o ROWS UNBOUNDED PRECEDING))::DOUBLE AS run, row_number() OVER (PARTITION BY g ORDER BY o DESC) AS k FROM sq)
-    SELECT p.g, CASE WHEN p.g % 12 = 0 THEN 'fail' ELSE 'pass' END AS verdict FROM p WHERE k = 1""")
-def anchor_total(spark, sf):
-    """The TOTAL row of the last period, as filed, against the one restated from all its parts; a twelfth is off."""
-    at = supplier_quarters(spark, sf).select("g", "o", "flow")
-    sums = at.groupBy("g").agg(P.exact_sum(F.col("flow")).cast("double").alias("total"))
-    told = F.col("total") * F.when(F.col("g") % 12 == 0, 1.02).otherwise(1.0)
-    mismatch = F.abs(told - F.col("total")) / F.greatest(F.abs(told), F.abs("total"))
-    return sums.select("g", F.when(mismatch > 0.01, "fail").otherwise("pass").alias("verdict"))
-
-
 @query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v, o_orderkey % 3 = 0 AS kept FROM orders""")
 def validated_write(spark, sf):
     """A statement that passed is not replaced by a re-extract that fails; other re-extracts replace theirs."""

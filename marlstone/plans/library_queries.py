@@ -72,13 +72,13 @@ def stored_objects(spark, sf):
     return listed.join(rows.groupBy(F.col("e").alias("entity"), F.col("p").alias("period")).agg(F.count("*").alias("rows")), ["entity", "period"])
 
 
-@query("""SELECT o_orderkey::VARCHAR AS external_id, concat('http://h', (o_custkey % 7)::VARCHAR, '.example/', o_orderkey::VARCHAR) AS link, NOT (o_orderpriority = '5-LOW') OR o_orderstatus = 'F' AS relevant FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_custkey % 7 <> 3""")
+@query("""SELECT o_orderkey::VARCHAR AS external_id, concat('http://h', (o_custkey % 7)::VARCHAR, '.example/', o_orderkey::VARCHAR) AS link, NOT (o_orderpriority = '5-LOW') OR o_orderstatus = 'F' AS relevant FROM orders WHERE o_custkey % 7 <> 3""")
 def press_items(spark, sf):
     """Feeds of items written as XML and read back: canonical links, relevance by three patterns, hosts that are read directly left out."""
     at = _folder(spark, "feed")
     body = F.concat(F.lit("about rates "), F.when(F.col("o_orderpriority") == "5-LOW", "and football").otherwise("only"), F.when(F.col("o_orderstatus") == "F", " by the board").otherwise(""))
     link = F.concat(F.lit("http://h"), (F.col("o_custkey") % 7).cast("string"), F.lit(".example/"), F.col("o_orderkey").cast("string"), F.lit("/?utm=1#top"))
-    items = table(spark, sf, "orders").where("o_orderpriority in ('1-URGENT', '5-LOW')").select(F.col("o_orderkey").cast("string").alias("guid"), link.alias("link"), F.lit("item").alias("title"), body.alias("description"))
+    items = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("guid"), link.alias("link"), F.lit("item").alias("title"), body.alias("description"))
     items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(at)
     got = feeds.news_items(spark, at, "rates", "board", "football")
     followed = spark.createDataFrame([("h3.example",)], "host string")

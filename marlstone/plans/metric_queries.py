@@ -93,10 +93,13 @@ def token_containment(spark, sf):
     return M.contains_all(parts.select(F.col("p_partkey").alias("k"), "t"), parts.select(F.col("p_partkey").alias("match"), F.col("t").alias("u")), "k", "t", "match", "u")
 
 
-@query("""SELECT o_orderpriority AS source, count(*) AS n, max(o_orderdate)::DATE AS newest, CASE WHEN date_diff('day', max(o_orderdate)::DATE, DATE '2001-08-05') <= 1.5 * 2 THEN 'fresh' WHEN date_diff('day', max(o_orderdate)::DATE, DATE '2001-08-05') <= 3 * 2 THEN 'late' ELSE 'stale' END AS status FROM orders GROUP BY 1""")
+@query("""WITH b AS (SELECT max(o_orderdate)::DATE + 4 AS now FROM orders) SELECT c_mktsegment || o_orderpriority AS source, count(*) AS n, max(o_orderdate)::DATE AS newest, CASE WHEN date_diff('day', max(o_orderdate)::DATE, any_value(now)) <= 1.5 * 2 THEN 'fresh' WHEN date_diff('day', max(o_orderdate)::DATE, any_value(now)) <= 3 * 2 THEN 'late' ELSE 'stale' END AS status FROM orders JOIN customer ON o_custkey = c_custkey, b GROUP BY 1""")
 def source_freshness(spark, sf):
-    got = table(spark, sf, "orders", ["o_orderpriority", "o_orderdate"]).groupBy(F.col("o_orderpriority").alias("source")).agg(F.count("*").alias("n"), F.to_date(F.max("o_orderdate")).alias("newest"))
-    return got.withColumn("status", M.freshness(F.datediff(F.lit("2001-08-05").cast("date"), "newest"), 2))
+    """How old each source's newest row is four days after the newest of all, against a rhythm of two days."""
+    orders, customers = table(spark, sf, "orders", ["o_custkey", "o_orderpriority", "o_orderdate"]), table(spark, sf, "customer", ["c_custkey", "c_mktsegment"])
+    now = orders.agg(F.date_add(F.to_date(F.max("o_orderdate")), 4).alias("now"))
+    got = orders.join(customers, orders.o_custkey == customers.c_custkey).groupBy(F.concat("c_mktsegment", "o_orderpriority").alias("source")).agg(F.count("*").alias("n"), F.to_date(F.max("o_orderdate")).alias("newest"))
+    return got.crossJoin(F.broadcast(now)).select("source", "n", "newest", M.freshness(F.datediff("now", "newest"), 2).alias("status"))
 
 
 @query("""SELECT c_mktsegment AS g, min(date_diff('day', o_orderdate, l_shipdate)) AS least, max(date_diff('day', o_orderdate, l_shipdate)) AS most, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1""")

@@ -143,11 +143,11 @@ def asof_rate(spark, sf):
     return orders.join(F.broadcast(steps), "d", "left").select("o_orderkey", r6(F.col("rate"), "rate"), r6(S.safe_div(F.col("o_totalprice"), F.col("rate")), "converted"))
 
 
-@query(f"""WITH {DAILY}, l AS (SELECT DISTINCT o_orderstatus AS g, o_orderdate::DATE AS d FROM orders WHERE o_orderpriority = '1-URGENT'),
+@query(f"""WITH {DAILY}, l AS (SELECT DISTINCT o_orderstatus AS g, o_orderdate::DATE AS d FROM orders),
     j AS (SELECT l.g, l.d, max(k.d) AS at FROM l LEFT JOIN (SELECT * FROM daily WHERE v > 400000) k ON k.g = l.g AND k.d <= l.d GROUP BY ALL)
     SELECT j.g, j.d, CASE WHEN date_diff('day', j.at, j.d) <= 12 THEN round(daily.v, 2) END AS v FROM j LEFT JOIN daily ON daily.g = j.g AND daily.d = j.at""")
 def asof_bounded(spark, sf):
-    left = table(spark, sf, "orders", ["o_orderstatus", "o_orderdate", "o_orderpriority"]).where("o_orderpriority = '1-URGENT'").select(F.col("o_orderstatus").alias("g"), F.to_date("o_orderdate").alias("d")).distinct()
+    left = table(spark, sf, "orders", ["o_orderstatus", "o_orderdate"]).select(F.col("o_orderstatus").alias("g"), F.to_date("o_orderdate").alias("d")).distinct()
     return S.asof(left, daily_orders(spark, sf).where("v > 400000"), ["g"], "d", "v", 12).select("g", "d", F.round("v", 2).alias("v"))
 
 

@@ -173,19 +173,6 @@ def citation_support(spark, sf):
     return both.select("k", (F.size(lost) == 0).alias("supported"), F.size(lost).cast("bigint").alias("rejected"))
 
 
-@query("""WITH e AS (SELECT l_orderkey AS k, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS v, max(l_shipdate)::DATE AS d FROM lineitem GROUP BY 1), f AS (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN -1 ELSE o_orderkey END AS ref, o_orderkey % 3 = 0 AS off, o_orderkey % 4 = 0 AS old FROM orders)
-    SELECT f.k, CASE WHEN e.v IS NULL THEN 'MISSING' WHEN off THEN 'CONTRADICTED' WHEN old THEN 'STALE' ELSE 'PASS' END AS verdict FROM f LEFT JOIN e ON e.k = f.ref""")
-def fact_scoring(spark, sf):
-    """Claims against logged evidence: missing, contradicted beyond half a percent, stale, or passed."""
-    log = table(spark, sf, "lineitem", ["l_orderkey", "l_quantity", "l_shipdate"]).groupBy(F.col("l_orderkey").alias("ref")).agg(F.sum(money("l_quantity")).cast("double").alias("v"), F.to_date(F.max("l_shipdate")).alias("d"))
-    k = F.col("k")
-    claims = table(spark, sf, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("k")).withColumn("ref", F.when(k % 5 == 0, -1).otherwise(k))
-    both = claims.join(log, "ref", "left")
-    told, asof = F.col("v") * F.when(k % 3 == 0, 1.01).otherwise(1.001), F.date_sub("d", F.when(k % 4 == 0, 30).otherwise(0))
-    verdict = F.when(F.col("v").isNull(), "MISSING").when(F.abs(told - F.col("v")) > 0.005 * F.abs("v"), "CONTRADICTED").when(F.datediff("d", asof) > 7, "STALE").otherwise("PASS")
-    return both.select("k", verdict.alias("verdict"))
-
-
 @query("""SELECT o_orderkey AS k, CASE WHEN s IS NULL THEN 'skip' WHEN abs(s - t) <= 0.005 * abs(t) THEN 'pass' ELSE 'fail' END AS verdict, round(s - t, 2) AS gap FROM (SELECT o_orderkey, o_totalprice AS t, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS s FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)""")
 def reconciliations(spark, sf):
     """An order's total against the sum of its lines, at half a percent."""
