@@ -126,3 +126,81 @@ def test_nothing_to_learn_and_empty(spark):
     r = p.score_texts(df, F.lit(True)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isfinite(r.score)
     assert p.score_texts(df.limit(0), F.lit(True)).count() == 0
+
+
+class _Restaurant:
+    """Customers of dishes at tables, seated one at a time."""
+
+    def __init__(self, discount, strength):
+        self.d, self.theta, self.tables, self.all, self.count = discount, strength, collections.defaultdict(list), 0, 0
+
+    def predict(self, dish, base):
+        own = self.tables[dish]
+        return (max(0.0, sum(own) - self.d * len(own)) + (self.theta + self.d * self.all) * base) / (self.theta + self.count)
+
+    def add(self, dish, base, rng):
+        """True if the customer opens a table, which is a customer of the parent."""
+        own = self.tables[dish]
+        weights = [max(0.0, n - self.d) for n in own] + [(self.theta + self.d * self.all) * base]
+        at = rng.choices(range(len(weights)), weights)[0]
+        self.count += 1
+        if at == len(own):
+            own.append(1)
+            self.all += 1
+            return True
+        own[at] += 1
+        return False
+
+    def remove(self, dish, rng):
+        own = self.tables[dish]
+        at = rng.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        self.count -= 1
+        if not own[at]:
+            del own[at]
+            self.all -= 1
+            return True
+        return False
+
+
+def _sequential(train, texts, sweeps, burn, rng):
+    """Mean predictive probability of each text's pairs under Gibbs sampling that moves one customer at a time through both levels."""
+    parent, contexts = _Restaurant(*p.PARENT), collections.defaultdict(lambda: _Restaurant(*p.CONTEXT))
+    pairs = [x for t in train for x in zip(["", *t[:-1]], t)]
+    base = 1 / (len({w for _, w in pairs}) + 1)
+    seat = lambda u, w: contexts[u].add(w, parent.predict(w, base), rng) and parent.add(w, base, rng)
+    for u, w in pairs:
+        seat(u, w)
+    total = [0.0] * len(texts)
+    for k in range(sweeps):
+        for u, w in pairs:
+            if contexts[u].remove(w, rng):
+                parent.remove(w, rng)
+            seat(u, w)
+        if k >= burn:
+            for i, t in enumerate(texts):
+                total[i] += sum(math.log10(contexts[u].predict(w, parent.predict(w, base))) for u, w in zip(["", *t[:-1]], t))
+    return [x / (sweeps - burn) for x in total]
+
+
+def test_scores_follow_a_sequential_sampler(spark):
+    """Under the real law, scores of a small corpus lie near those of plain Gibbs sampling of both levels."""
+    import random
+
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(12)]
+    follow = {w: rng.choices(words, k=3) for w in words}
+    texts = []
+    for _ in range(60):
+        t = [rng.choice(words[:4])]
+        while len(t) < rng.randint(3, 14):
+            t.append(rng.choice(follow[t[-1]] if rng.random() < 0.8 else words))
+        texts.append(t)
+    texts[7], texts[13] = ["new", "w1", "unseen"], []
+    held = [k % 4 == 3 for k in range(60)]
+    tokens = [[*t, ""] for t in texts]
+    want = _sequential([t for t, h in zip(tokens, held, strict=True) if not h], tokens, 400, 100, rng)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in p.score_texts(df, F.col("doc_id") % 4 == 3).collect()}
+    apart = np.array([got[k] - want[k] for k in range(60)]) / [len(t) for t in tokens]
+    assert abs(apart.mean()) < 0.02 and np.abs(apart).max() < 0.15
