@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import inspect
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 #: Bytes of text that one block holds; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
 
@@ -33,22 +34,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
-
-    Only where both are unset on a local master (tests) a temporary folder becomes
-    the context's checkpoint folder; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not at:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-        at = context.getCheckpointDir()
-    return at
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
