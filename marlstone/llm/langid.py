@@ -119,19 +119,28 @@ class Tree:
         return best, sure
 
 
-def fit_names(x: np.ndarray, labels: np.ndarray) -> Machines | Tree:
-    """Machines between all pairs of ``MOST_NAMES`` names at most, else a tree of such."""
+def _fit_in_span(x: np.ndarray, labels: np.ndarray) -> Machines:
+    """Machines fitted on the rows' coordinates in the space that they span, which is where their weights lie."""
+    if len(x) >= x.shape[1]:
+        return Machines.fit(x, labels)
+    axes, r = np.linalg.qr(x.T)
+    made = Machines.fit(np.ascontiguousarray(r.T), labels)
+    return Machines(made.names, np.column_stack([made.weights[:, :-1] @ axes.T, made.weights[:, -1]]).astype(made.weights.dtype).reshape(len(made.weights), x.shape[1] + 1))
+
+
+def fit_names(x: np.ndarray, labels: np.ndarray, inner: bool = False) -> Machines | Tree:
+    """Machines between all pairs of ``MOST_NAMES`` names at most, else a tree of such. ``inner``: of a tree's nodes, which have few rows."""
     names = sorted(set(labels.tolist()))
     if len(names) <= MOST_NAMES:
-        return Machines.fit(x, labels)
+        return _fit_in_span(x, labels) if inner else Machines.fit(x, labels)
     at = np.searchsorted(names, labels)
     centres = np.stack([x[at == k].mean(axis=0) for k in range(len(names))])
     groups = _halves(np.arange(len(names)), centres, GROUPS)
     of = np.zeros(len(names), np.int64)
     for g, places in enumerate(groups):
         of[places] = g
-    top = Machines.fit(x, np.array([f"{g:02d}" for g in range(len(groups))])[of[at]])
-    return Tree(names, top, groups, [fit_names(x[of[at] == g], labels[of[at] == g]) for g in range(len(groups))])
+    top = _fit_in_span(x, np.array([f"{g:02d}" for g in range(len(groups))])[of[at]])
+    return Tree(names, top, groups, [fit_names(x[of[at] == g], labels[of[at] == g], True) for g in range(len(groups))])
 
 
 @dataclass
