@@ -85,15 +85,21 @@ def press_items(spark, sf):
     return feeds.without_followed_hosts(got, followed).select("external_id", "link", "relevant")
 
 
-@query("""SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS row, l_linenumber::VARCHAR AS line, concat(l_returnflag, ' & ', l_linestatus) AS flags FROM lineitem""")
+@query("""SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, l_partkey NULLS FIRST, l_quantity NULLS FIRST, l_returnflag NULLS FIRST, l_linestatus NULLS FIRST) - 1 AS row, l_linenumber::VARCHAR AS line, trim(concat(l_returnflag, ' & ', l_linestatus)) AS flags FROM lineitem""")
 def page_tables(spark, sf):
-    """Cells of tables in pages, entities decoded, back as rows."""
-    row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td>"), "l_returnflag", F.lit(" &amp; "), "l_linestatus", F.lit("</td></tr>"))
-    lines = table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"])
-    cells = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", row.alias("r")))), lambda x: x["r"])
+    """Cells of tables in pages, entities decoded, back as rows.
+
+    Lines of an order are in the order of all that tells them apart, nulls first; a missing flag is left out of its cell.
+    """
+    none = F.lit("")
+    row = F.concat(F.lit("<tr><td>"), F.coalesce(F.col("l_linenumber").cast("string"), none), F.lit("</td><td>"), F.coalesce("l_returnflag", none), F.lit(" &amp; "), F.coalesce("l_linestatus", none), F.lit("</td></tr>"))
+    order = ["l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"]
+    lines = table(spark, sf, "lineitem", ["l_orderkey", *order])
+    cells = F.transform(F.sort_array(F.collect_list(F.struct(*order, row.alias("r")))), lambda x: x["r"])
     pages = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.concat(F.lit("<p>Rates</p><table>"), F.array_join(cells, ""), F.lit("</table>")).alias("html"))
     got = feeds.html_cells(pages, ["k"], "html")
-    return got.groupBy("k", F.col("row").cast("bigint").alias("row")).agg(F.max(F.when(F.col("col") == 0, F.col("cell"))).alias("line"), F.max(F.when(F.col("col") == 1, F.col("cell"))).alias("flags"))
+    line = F.nullif(F.max(F.when(F.col("col") == 0, F.col("cell"))), none)
+    return got.groupBy("k", F.col("row").cast("bigint").alias("row")).agg(line.alias("line"), F.max(F.when(F.col("col") == 1, F.col("cell"))).alias("flags"))
 
 
 @query(f"WITH {FACTS}, a AS (SELECT * FROM (VALUES ('MS.SQ.Q.003.2', 0), ('MS.SQ.Q.001.1', 1), ('MS.SQ.Q.999.1', 2)) t(series_code, pos)) SELECT a.series_code, pos, item, e AS end_date FROM a LEFT JOIN cat USING (series_code)")
