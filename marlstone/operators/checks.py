@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import quantiles
 
+#: Rows of a group up to which runs are found side by side with those of other groups.
+SIDE_BY_SIDE = 64
+
 
 def tolerance(x: Column, base: float, rel: float) -> Column:
     return F.greatest(F.lit(float(base)), F.abs(x) * rel)
@@ -42,32 +50,103 @@ def roll_up(checks: DataFrame, keys: list[str]) -> DataFrame:
 def increasing_spine(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Rows on the longest strictly increasing run of ``value`` (not always neighbours) along ``order``.
 
-    Each group is one statement, so it is bounded by what one statement holds.
+    Rows come sorted by group, and the runs of all groups of a batch are found side by side. A group
+    is one statement, so it is bounded by what one statement holds. Of rows of one place the run takes
+    one at most.
     """
-    import bisect
+    cols = [*keys, order, value]
+    some = df.select(*cols)
+    at = some.repartition(*keys).sortWithinPartitions(*keys, F.col(order).asc_nulls_last(), F.col(value).desc())
+    return at.mapInArrow(_spines(len(keys)), some.schema)
 
-    import pyarrow as pa
 
-    def spine(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        tails, ends, back = [], [], []
-        for i, v in enumerate(t.column(value).to_pylist()):
-            if v is None:
-                back.append(None)
+def _spines(keys: int):
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # rows of the last group so far
+        for b in batches:
+            if not b.num_rows:
                 continue
-            k = bisect.bisect_left(tails, v)
-            tails[k : k + 1] = [v]
-            ends[k : k + 1] = [i]
-            back.append(ends[k - 1] if k else None)
-        at, keep = ends[-1] if ends else None, []
-        while at is not None:
-            keep.append(at)
-            at = back[at]
-        return t.take(pa.array(sorted(keep), pa.int64()))
-
-    cols = [*keys, order, value]
-    some = df.select(*cols)
-    return some.groupBy(*keys).applyInArrow(spine, some.schema)
+            if held:
+                seam = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b])
+                first = _firsts(seam, keys)[1:] - 1
+            else:
+                first = _firsts(pa.Table.from_batches([b]), keys)[1:]
+            if len(first):
+                last = int(first[-1])
+                yield from _kept(pa.Table.from_batches([*held, b.slice(0, last)]), keys)
+                held = [b.slice(last)]
+            else:
+                held.append(b)
+        if held:
+            yield from _kept(pa.Table.from_batches(held), keys)
+
+    return run
+
+
+def _firsts(t: pa.Table, keys: int) -> np.ndarray:
+    """Rows of a sorted table at which a group begins."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for k in range(keys):
+        code = t.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _kept(t: pa.Table, keys: int):
+    """Rows of whole groups that lie on their group's run."""
+    if not t.num_rows:
+        return
+    first = _firsts(t, keys)
+    size = np.diff(np.append(first, t.num_rows))
+    value = t.column(t.num_columns - 1)
+    rank = pc.rank(value, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+    rank[value.is_null().to_numpy()] = -1
+    keep, width = np.zeros(t.num_rows, bool), np.frexp(size - 0.5)[1]  # groups of like size together
+    for w in np.unique(width[size <= SIDE_BY_SIDE]).tolist():
+        some = (width == w) & (size <= SIDE_BY_SIDE)
+        _runs(rank, first[some], size[some], keep)
+    for a, n in zip(first[size > SIDE_BY_SIDE].tolist(), size[size > SIDE_BY_SIDE].tolist(), strict=True):
+        keep[[a + i for i in _run(rank[a : a + n].tolist())]] = True
+    yield from t.filter(pa.array(keep)).to_batches()
+
+
+def _run(ranks: list[int]) -> list[int]:
+    """Places of a longest strictly increasing run; negative ranks never lie on it."""
+    tails, ends, back = [], [], []
+    for i, v in enumerate(ranks):
+        if v < 0:
+            back.append(None)
+            continue
+        k = bisect.bisect_left(tails, v)
+        tails[k : k + 1] = [v]
+        ends[k : k + 1] = [i]
+        back.append(ends[k - 1] if k else None)
+    at, out = ends[-1] if ends else None, []
+    while at is not None:
+        out.append(at)
+        at = back[at]
+    return out
+
+
+def _runs(rank: np.ndarray, first: np.ndarray, size: np.ndarray, keep: np.ndarray) -> None:
+    """``_run`` of many groups at a time, place by place."""
+    groups, n, none = np.arange(len(first)), int(size.max()), np.iinfo(np.int64).max
+    there = np.arange(n) < size[:, None]
+    v = np.where(there, rank.take(first[:, None] + np.arange(n), mode="clip"), -1)
+    tails, ends, back = np.full(v.shape, none), np.full(v.shape, -1), np.full(v.shape, -1)
+    for j in range(n):
+        g = np.flatnonzero(v[:, j] >= 0)
+        x = v[g, j]
+        k = (tails[g] < x[:, None]).sum(axis=1)
+        back[g, j] = np.where(k > 0, ends[g, k - 1], -1)
+        tails[g, k], ends[g, k] = x, j
+    length = (tails < none).sum(axis=1)
+    at = np.where(length > 0, ends[groups, length - 1], -1)
+    for _ in range(int(length.max())):
+        g = np.flatnonzero(at >= 0)
+        keep[first[g] + at[g]] = True
+        at[g] = back[g, at[g]]
 
 
 def repeated_period(df: DataFrame, keys: list[str], line: str, order: str, value: str, least: int = 15, share: float = 0.95) -> DataFrame:

@@ -1,10 +1,13 @@
 """Ties that an order must settle, and steps whose cost or memory must not outgrow the input."""
 
+import bisect
 import random
 
 import duckdb
+import pytest
 
 from marlstone import plans
+from marlstone.operators import checks as C
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
 
@@ -27,3 +30,48 @@ def test_page_tables_settles_ties(spark, tmp_path):
     rows = [(rng.choice([*range(30), None]), 1, 1, rng.choice([1, 2, None]), rng.choice([1.0, None]), flag(["R", "A", "N", None]), flag(["F", "O", None])) for _ in range(600)]
     got, want = against_sql(spark, "page_tables", rows, LINES, tmp_path)
     assert len(got) == 600 and got == want
+
+
+def spine_of(rows):
+    """Rows (order, value) of one group on its run, found row by row."""
+    rows = sorted(rows)
+    tails, ends, back = [], [], {}
+    for i, (_, v) in enumerate(rows):
+        if v is not None:
+            k = bisect.bisect_left(tails, v)
+            tails[k : k + 1], ends[k : k + 1], back[i] = [v], [i], ends[k - 1] if k else None
+    at, out = ends[-1] if ends else None, []
+    while at is not None:
+        out.append(rows[at])
+        at = back[at]
+    return out
+
+
+@pytest.mark.parametrize("batch", [5, 10000])
+def test_spines_of_many_groups_without_a_call_for_each(spark, batch):
+    rng = random.Random(batch)
+    rows = []
+    for a in [*range(150), None]:
+        for b in ("x", None):
+            n = rng.choice([0, 1, 2, 3, 4, 5, 7, 8, 9, 17, 64, 65, 150])
+            rows += [(a, b, o, rng.choice([None, *range(n)])) for o in rng.sample(range(1000), n)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = C.increasing_spine(spark.createDataFrame(rows, "a int, b string, o int, v int"), ["a", "b"], "o", "v")
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+        found = sorted(map(tuple, got.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    groups = {}
+    for a, b, o, v in rows:
+        groups.setdefault((a, b), []).append((o, v))
+    assert found == sorted(((*k, *r) for k, g in groups.items() for r in spine_of([(o, v) for o, v in g])), key=str)
+
+
+def test_a_spine_takes_one_row_of_a_place(spark):
+    rows = [(1, 1, v) for v in range(20)] + [(1, 2, 5), (1, 3, 30)]
+    for _ in range(3):
+        random.Random(1).shuffle(rows)
+        got = C.increasing_spine(spark.createDataFrame(rows, "g int, o int, v int"), ["g"], "o", "v").collect()
+        assert [r.o for r in got] == [1, 2, 3] and got[0].v < 5
