@@ -4,9 +4,11 @@ import bisect
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from marlstone import plans
+from marlstone.operators import alignment as L
 from marlstone.operators import checks as C
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
@@ -75,3 +77,21 @@ def test_a_spine_takes_one_row_of_a_place(spark):
         random.Random(1).shuffle(rows)
         got = C.increasing_spine(spark.createDataFrame(rows, "g int, o int, v int"), ["g"], "o", "v").collect()
         assert [r.o for r in got] == [1, 2, 3] and got[0].v < 5
+
+
+def test_a_header_is_read_once(monkeypatch):
+    calls, whole = [], L.column_model
+    monkeypatch.setattr(L, "column_model", lambda *a: calls.append(1) or whole(*a))
+    bands = (("a", "^lo w$"), ("b", "^hi$"))
+    low, high = [{"x": 1.0, "y": 1.0, "text": "w"}, {"x": 1.5, "y": 0.0, "text": "lo"}], [{"x": 8.0, "y": 0.0, "text": "hi"}]
+    headers = [([0.0, 9.0], low + high), ([0.0, 9.0], high + low), ([0.0], low), ([0.0, 9.0], low), ([], []), ([9.0, 0.0], low + high)]
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("text", pa.string())]))
+    every = headers * 500
+    places, parts = pa.array([h[0] for h in every], pa.list_(pa.float64())), pa.array([h[1] for h in every], kind)
+    want = [whole(c, [(p["x"], p["y"], p["text"]) for p in f], bands, 1) for c, f in headers] * 500
+    assert want[0] == ["a", "b"] and want[5] == ["b", "a"] and want[4] is None
+    for a, b in ((places, parts), (places.slice(7, 900), parts.slice(7, 900))):
+        assert L._models(a, b, bands, 1).to_pylist() == (want if len(a) == len(want) else want[7:907])
+    assert len(calls) == len(headers)
+    some = pa.array([*headers[0][:1], None], pa.list_(pa.float64())), pa.array([headers[0][1], None], kind)
+    assert L._models(*some, bands, 1).to_pylist() == [["a", "b"], None]
