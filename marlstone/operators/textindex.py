@@ -10,6 +10,7 @@ of a scan for the term.
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import reduce
 
@@ -21,19 +22,37 @@ from ..functions.text import fold
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS, LEAST, AROUND = 64, 3, 160
+#: Places that a worker gathers before it hands them on.
+HELD = 50_000
 
 
 def _places(batches):
+    """Rows of word, id and places, few at a time: a long text's words may come in several."""
     for b in batches:
-        words, ids, places = [], [], []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            at: dict[str, list[int]] = {}
-            for m in WORD.finditer(text or ""):
-                at.setdefault(m[0], []).append(m.start() + 1)
-            words += at
-            places += at.values()
-            ids += [i] * len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, b.column(0).type), pa.array(places, pa.list_(pa.int32()))], names=["word", "id", "places"])
+        kinds = [pa.string(), b.column(0).type, pa.list_(pa.int32())]
+
+        def rows(words, ids, places, kinds=kinds):
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((words, ids, places), kinds, strict=True)], names=["word", "id", "places"])
+
+        words, ids, places, held = [], [], [], 0
+        for k in range(b.num_rows):
+            i, found = b.column(0)[k].as_py(), WORD.finditer(b.column(1)[k].as_py() or "")
+            while at := _by_word(itertools.islice(found, HELD)):
+                words += at
+                places += at.values()
+                ids += [i] * len(at)
+                held += sum(map(len, at.values()))
+                if held >= HELD:
+                    yield rows(words, ids, places)
+                    words, ids, places, held = [], [], [], 0
+        yield rows(words, ids, places)
+
+
+def _by_word(found) -> dict[str, list[int]]:
+    at: dict[str, list[int]] = {}
+    for m in found:
+        at.setdefault(m[0], []).append(m.start() + 1)
+    return at
 
 
 class TextIndex:

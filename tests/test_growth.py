@@ -10,6 +10,7 @@ import pytest
 from marlstone import plans
 from marlstone.operators import alignment as L
 from marlstone.operators import checks as C
+from marlstone.operators import textindex as X
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
 
@@ -95,3 +96,14 @@ def test_a_header_is_read_once(monkeypatch):
     assert len(calls) == len(headers)
     some = pa.array([*headers[0][:1], None], pa.list_(pa.float64())), pa.array([headers[0][1], None], kind)
     assert L._models(*some, bands, 1).to_pylist() == [["a", "b"], None]
+
+
+def test_places_are_handed_on_in_small_batches():
+    texts = ["ab, cd ab"] * 30_000 + [None, "", "12 x " * 200_000]
+    got = list(X._places([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "t"])]))
+    assert max(sum(map(len, b.column("places").to_pylist())) for b in got) <= 2 * X.HELD
+    found = {}
+    for r in (r for b in got for r in b.to_pylist()):
+        found.setdefault((r["id"], r["word"]), []).extend(r["places"])
+    assert len(found) == 2 * 30_000 + 2 and found[29_999, "ab"] == [1, 8] and found[0, "cd"] == [5]
+    assert found[30_002, "12"] == [1 + 5 * k for k in range(200_000)] and found[30_002, "x"] == [4 + 5 * k for k in range(200_000)]
