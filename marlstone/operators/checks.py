@@ -14,6 +14,8 @@ from .panel import quantiles
 
 #: Rows of a group up to which runs are found side by side with those of other groups.
 SIDE_BY_SIDE = 64
+#: Rows of a task that counts distinct labels.
+ROWS_A_TASK = 250_000
 
 
 def tolerance(x: Column, base: float, rel: float) -> Column:
@@ -35,9 +37,15 @@ def parent_sums(nodes: DataFrame, child: str, parent: str, value: str, base: flo
     return got.select(F.col("p").alias(child), "own", "total", F.when(total.isNull() | F.col("own").isNull(), "skip").when(ok, "pass").otherwise("fail").alias("verdict"))
 
 
-def duplicate_keys(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
-    """Keys with more than one label and at least two non-zero values."""
-    return df.groupBy(*keys).agg(F.countDistinct(label).alias("labels"), F.count_if(F.col(value) != 0).alias("values")).where("labels > 1 and values >= 2")
+def duplicate_keys(df: DataFrame, keys: list[str], label: str, value: str, rows: int = ROWS_A_TASK) -> DataFrame:
+    """Keys with more than one label and at least two non-zero values.
+
+    Tasks grow in number with the rows, ``rows`` to each, and not in memory. A key's labels are spread
+    over tasks, each label once; only their counts meet by key.
+    """
+    parts = max(1, -(-df.count() // rows))
+    each = df.select(*keys, label, value).repartition(parts, *keys, label).groupBy(*keys, label).agg(F.count_if(F.col(value) != 0).alias("values"))
+    return each.repartition(parts, *keys).groupBy(*keys).agg(F.count(label).alias("labels"), F.sum("values").alias("values")).where("labels > 1 and values >= 2")
 
 
 def roll_up(checks: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone import plans
 from marlstone.operators import alignment as L
@@ -107,3 +108,13 @@ def test_places_are_handed_on_in_small_batches():
         found.setdefault((r["id"], r["word"]), []).extend(r["places"])
     assert len(found) == 2 * 30_000 + 2 and found[29_999, "ab"] == [1, 8] and found[0, "cd"] == [5]
     assert found[30_002, "12"] == [1 + 5 * k for k in range(200_000)] and found[30_002, "x"] == [4 + 5 * k for k in range(200_000)]
+
+
+def test_tasks_of_duplicate_keys_grow_in_number_with_the_rows(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([*range(40), None]), rng.choice([1, 2]), rng.choice([1, 2, None]), rng.choice([0.0, 1.0, None])) for _ in range(400)] + [(99, 1, k, 1.0) for k in range(300)]
+    df = spark.createDataFrame(rows, "a int, b int, l int, v double")
+    got = C.duplicate_keys(df, ["a", "b"], "l", "v", rows=50)
+    want = df.groupBy("a", "b").agg(F.countDistinct("l").alias("labels"), F.count_if(F.col("v") != 0).alias("values")).where("labels > 1 and values >= 2")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert got.rdd.getNumPartitions() == 14
