@@ -7,6 +7,7 @@ apart, and in some filings it is wrong in one place.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import constraints as C
@@ -65,8 +66,10 @@ def _statements(spark, sf):
     single = lines.select("g", "o", (dbl(F.col("p")) + off(21, 1000)).alias("amount"), (F.col("flag") == "R").alias("returned"))
     of = lambda cond: dbl(F.coalesce(F.sum(F.when(cond, F.col("p"))), F.lit(0).cast("decimal(18,2)")))
     sums = lines.groupBy("g", "o").agg(of(F.col("flag").isin("A", "N")).alias("core"), of(F.col("flag") == "R").alias("r"), dbl(F.sum("p")).alias("all"), dbl(F.sum(F.col("p") * (4 + F.col("currency")))).alias("w"), F.count("*").alias("n"), dbl(F.sum("d")).alias("ds"), F.count_if(F.col("s") == "F").alias("home"), F.count_if(F.col("s") != "F").alias("abroad"))
-    before = sums.select("g", (F.col("o") + 4).alias("o"), F.col("all").alias("all_before"))
-    sums = sums.join(before, ["g", "o"], "left")
+    sums = sums.where("g is not null and o is not null")  # a filing has a supplier and a quarter
+    # a supplier's quarters are few: earlier ones are looked up in its window
+    earlier = lambda c, back: F.max(c).over(Window.partitionBy("g").orderBy("o").rangeBetween(-back, -back))
+    sums = sums.withColumn("all_before", earlier("all", 4))
     tier1 = F.col("core") + off(1, 1000)
     whole = tier1 + F.col("r") + off(2, 500)
     weighted = F.col("w") / F.when(fault == 4, 20).otherwise(1)
@@ -79,11 +82,10 @@ def _statements(spark, sf):
         (F.col("all") * F.when(fault == 16, 1.2).otherwise(1.01)).alias("loans"),
         F.col("home"), (F.col("abroad") + off(17, 2)).alias("abroad"), F.col("n").alias("branches"), (F.col("n") + F.when(fault == 18, -1).otherwise(F.col("g") % 3)).alias("branches_group"),
         F.when(fault != 19, F.concat(F.lit("a"), F.col("g") % 7)).alias("auditor"), F.col("o").alias("signed"), F.when(fault == 20, "none").when(F.col("g") % 5 == 0, "qualified").otherwise("clean").alias("kind"),
-        (F.col("all") * 2 + off(22, 600)).alias("closing"), F.lit(None).cast("double").alias("flow"),
+        (F.col("all") * 2 + off(22, 600)).alias("closing"), (2 * F.col("all")).alias("true_closing"),
     )
     # the flow is filed from the quarter's own books: this closing, less the last one as it was filed
-    last = filed.select("g", (F.col("o") + 1).alias("o"), F.col("closing").alias("opening"))
-    filed = filed.drop("flow").join(last, ["g", "o"], "left").join(sums.select("g", "o", (2 * F.col("all")).alias("true_closing")), ["g", "o"]).withColumn("flow", F.col("true_closing") - F.col("opening"))
+    filed = filed.withColumn("flow", F.col("true_closing") - earlier("closing", 1))
     return {"parts": parts, "currencies": currencies, "lines": single, "filed": filed}
 
 

@@ -118,3 +118,8 @@ def test_tasks_of_duplicate_keys_grow_in_number_with_the_rows(spark):
     want = df.groupBy("a", "b").agg(F.countDistinct("l").alias("labels"), F.count_if(F.col("v") != 0).alias("values")).where("labels > 1 and values >= 2")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert got.rdd.getNumPartitions() == 14
+
+
+def test_statements_look_earlier_quarters_up_without_joins(spark, sf):
+    plan = plans.QUERIES["statement_constraints"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
