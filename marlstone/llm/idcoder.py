@@ -17,6 +17,7 @@ agree on any machine.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 
@@ -44,26 +45,30 @@ class _Places:
         while not self.tables or len(left):
             hasher = _U(64 - max(4, len(left).bit_length() + 1)), _U(_ODD[len(self.tables) % 4] + 2 * (len(self.tables) // 4))
             table = np.full(1 << (64 - int(hasher[0])), len(keys), np.int32)
-            at = self._hash(keys[left], hasher)
+            at = self._hash(keys.take(left) if self.tables else keys, hasher)
             table[at] = left
             self.tables.append((hasher, table))
-            left = left[table[at] != left]
+            left = left[table.take(at) != left]
 
     @staticmethod
     def _hash(keys: np.ndarray, hasher) -> np.ndarray:
         return ((keys.view(_U) * hasher[1]) >> hasher[0]).view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places, or the number of keys where there is none."""
+        """Places, or the number of keys where there is none.
+
+        A key goes on to the next table only where another one holds its slot: an empty slot ends the search.
+        """
+        none = len(self.keys) - 1
         hasher, table = self.tables[0]
-        out = table.take(self._hash(keys, hasher))
-        lost = (self.keys.take(out) != keys).nonzero()[0]
+        out = table.take(self._hash(keys, hasher)).astype(np.int64)
+        lost = ((self.keys.take(out) != keys) & (out < none)).nonzero()[0]
         for hasher, table in self.tables[1:]:
             own = keys.take(lost)
-            got = table.take(self._hash(own, hasher))
+            got = table.take(self._hash(own, hasher)).astype(np.int64)
             out[lost] = got
-            lost = lost.take((self.keys.take(got) != own).nonzero()[0])
-        out[lost] = len(self.keys) - 1
+            lost = lost.take(((self.keys.take(got) != own) & (got < none)).nonzero()[0])
+        out[lost] = none
         return out
 
 
@@ -74,27 +79,37 @@ class _Order:
         """``key``: context * width + id of each entry; ``below``: the id's probability in the order below."""
         context = key // width
         self.id = key - context * width
-        fresh = np.ones(len(key), bool)
-        np.not_equal(context[1:], context[:-1], out=fresh[1:])
-        first = np.flatnonzero(fresh)
+        fresh, first = _fresh(context)
         self.end = np.append(first[1:], len(key)) if len(key) else first
-        self.context, kinds = context[first], self.end - first
-        self.of = of = np.repeat(np.arange(len(first)), kinds)
+        self.context, kinds = context.take(first), self.end - first
+        self.of = of = np.cumsum(fresh)
+        of -= 1
         total = np.add.reduceat(count, first) if len(key) else first
-        once, twice = int((count == 1).sum()), int((count == 2).sum())
+        once, twice = np.count_nonzero(count == 1), np.count_nonzero(count == 2)
         discount = (once + 1) / (once + 2 * twice + 2)
         self.bits = np.clip(np.frexp(total.astype(np.float64))[1] + 1, np.frexp(kinds.astype(np.float64))[1] + 1, 20).astype(np.int64)
-        share = ((count - discount) + (discount * kinds)[of] * below) / total[of]
-        units = (1 << self.bits) - kinds - 1
-        freq = 1 + (share * units[of]).astype(np.int64)
+        share = (discount * kinds).take(of)
+        share *= below
+        share += count - discount
+        share /= total.astype(np.float64).take(of)
+        share *= ((1 << self.bits) - kinds - 1).astype(np.float64).take(of)
+        self.freq = freq = share.astype(np.int64)
+        freq += 1
         ends = np.cumsum(freq)
-        known = ends[self.end - 1]
+        known = ends.take(self.end - 1)
         base = np.append(0, known[:-1]) if len(key) else known
-        self.chance = freq / (1 << self.bits)[of]
         known = known - base
+        size = self.bits << 2 * _FIELD
         #: interval of each entry, then of each escape
-        self.low = np.append(ends - freq - base[of], known)
-        self.freq = np.append(freq, (1 << self.bits) - known)
+        self.interval = np.empty(len(key) + len(first), np.int64)
+        self.interval[len(key) :] = size | (1 << self.bits) - known << _FIELD | known
+        ends -= freq
+        ends += (size - base).take(of)
+        np.bitwise_or(ends, freq << _FIELD, out=self.interval[: len(key)])
+
+    def chance(self) -> np.ndarray:
+        """The probability of each entry."""
+        return self.freq / (1 << self.bits).take(self.of)
 
     def by_context(self) -> np.ndarray:
         """Entries and escapes in the order of contexts."""
@@ -114,39 +129,59 @@ class _Model:
 
     def __init__(self, grid: np.ndarray, steps: int, kinds: int):
         self.width = width = kinds + 1
-        a, b, c = (grid[k : k + steps].ravel().astype(np.int64) for k in (0, 1, 2))
-        triple, count = _counted(np.sort((a * width + b) * width + c))
-        under = triple % (width * width)
-        pair, _ = _counted(np.sort(under))
-        self.triples, self.pairs = _Places(triple), _Places(pair)
-        pair_of = self.pairs.find(under)
-        twos = np.bincount(pair_of, weights=count, minlength=len(pair)).astype(np.int64)
+        key = grid[:steps].ravel().astype(np.int64)
+        for k in (1, 2):
+            key *= width
+            key += grid[k : k + steps].ravel()
+        key.sort()
+        _, first = _fresh(key)
+        triple, count = key.take(first), np.diff(np.append(first, len(key)))
+        # the pair in each triple, sorted with the triple's place
+        shift = len(triple).bit_length()
+        key = triple % (width * width)
+        key <<= shift
+        key |= np.arange(len(triple))
+        key.sort()
+        of = key & ((1 << shift) - 1)
+        key >>= shift
+        fresh, first = _fresh(key)
+        pair, pair_of = key.take(first), np.empty(len(key), np.int64)
+        pair_of[of] = np.cumsum(fresh) - 1
+        twos = np.add.reduceat(count.take(of), first) if len(key) else first
+        del key, of, fresh, first
         ones = np.bincount(pair % width, weights=twos, minlength=kinds).astype(np.int64)
         bits0 = max(12, kinds.bit_length() + 4)
-        freq = 1 + ones * ((1 << bits0) - kinds) // max(1, len(c))
+        freq = 1 + ones * ((1 << bits0) - kinds) // max(1, grid[:steps].size)
         freq[-1] += (1 << bits0) - freq.sum()
         ends = np.cumsum(freq)
-        self.one = one = _Order(pair, twos, width, (freq / (1 << bits0))[pair % width])
-        self.two = two = _Order(triple, count, width, one.chance[pair_of])
+        self.one = one = _Order(pair, twos, width, (freq / (1 << bits0)).take(pair % width))
+        self.two = two = _Order(triple, count, width, one.chance().take(pair_of))
         self.places = _Places(two.context)
-        self.first1, self.first0 = len(two.freq), len(two.freq) + len(one.freq)
+        self.first1, self.first0 = len(two.interval), len(two.interval) + len(one.interval)
         self.context0 = len(two.context) + len(one.context)
         self.context1 = np.full(width, self.context0, np.int64)
         self.context1[one.context] = len(two.context) + np.arange(len(one.context))
         self.bits = np.concatenate([two.bits, one.bits, [bits0]])
-        bits = np.concatenate([two.bits[two.of], two.bits, one.bits[one.of], one.bits, np.full(kinds, bits0)])
-        self.interval = np.concatenate([two.low, one.low, ends - freq]) | np.concatenate([two.freq, one.freq, freq]) << _FIELD | bits << 2 * _FIELD
-        self.pair, self.pair_of, self.kinds = pair, pair_of, kinds
+        self.interval = np.concatenate([two.interval, one.interval, ends - freq | freq << _FIELD | bits0 << 2 * _FIELD])
+        self.triple, self.pair, self.pair_of, self.kinds = triple, pair, pair_of, kinds
+
+    @functools.cached_property
+    def triples(self) -> _Places:
+        return _Places(self.triple)
+
+    @functools.cached_property
+    def pairs(self) -> _Places:
+        return _Places(self.pair)
 
     def context(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The context after ids ``a`` and ``b``, of the highest order that was seen."""
-        at = self.places.find(a * self.width + b).astype(np.int64)
+        at = self.places.find(a * self.width + b)
         new = np.flatnonzero(at == len(self.two.context))
-        at[new] = self.context1[b[new]]
+        at[new] = self.context1.take(b.take(new))
         return at
 
     def automaton(self):
-        """For the reader. Of each context: bits and the place of its units; of each unit: its entry; of each entry: the id and the context that follows."""
+        """For the reader. Of each context: bits and the place of its units; of each unit: its entry; of each entry: its interval, and beside it the id and the context that follows."""
         one, two, kinds = self.one, self.two, self.kinds
         place = np.append(0, np.cumsum(1 << self.bits)[:-1])
         order = np.concatenate([two.by_context(), self.first1 + one.by_context(), self.first0 + np.arange(kinds)])
@@ -155,15 +190,14 @@ class _Model:
         none = np.full(1, (1 << _ID) - 1)
         ids = np.concatenate([two.id, none.repeat(len(two.context)), one.id, none.repeat(len(one.context)), np.arange(kinds)])
         follow = np.concatenate([after[self.pair_of], self.context1[two.context % self.width], after, np.full(len(one.context), self.context0), self.context1[:kinds]])
-        return self.bits | place << 8, unit, ids | follow << _ID
+        return self.bits | place << 8, unit, np.stack([self.interval, ids | follow << _ID], axis=1).view(np.complex128).ravel()  # one look-up for both
 
 
-def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of a sorted array and how often each occurs."""
+def _fresh(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values of a sorted array differ from the one before, and where those are."""
     fresh = np.ones(len(key), bool)
     np.not_equal(key[1:], key[:-1], out=fresh[1:])
-    first = np.flatnonzero(fresh)
-    return key[first], np.diff(np.append(first, len(key)))
+    return fresh, np.flatnonzero(fresh)
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -184,16 +218,16 @@ def _events(model: _Model, a, b, c) -> tuple[np.ndarray, list]:
     """Of each id: how many entries code it, and places and entries of the first, second and third."""
     w, n2 = model.width, len(model.two.id)
     pair = b * w + c
-    entry = model.triples.find(a * (w * w) + pair).astype(np.int64)
+    entry = model.triples.find(a * (w * w) + pair)
     count = np.ones(len(a), np.int8)
     lost = np.flatnonzero(entry == n2)
-    after = model.context(a[lost], b[lost])
-    now, second, third = np.empty(len(lost), np.int64), np.full(len(lost), -1), np.full(len(lost), -1)
+    under = b.take(lost)
+    after = model.context(a.take(lost), under)
     at2 = after < len(model.two.context)
-    found = model.pairs.find(pair[lost]).astype(np.int64)
-    has1 = model.context1[b[lost]]
+    found = model.pairs.find(pair.take(lost))
+    has1 = model.context1.take(under)
     hit1, esc1 = found < len(model.one.id), has1 < model.context0
-    zero = model.first0 + c[lost]
+    zero = model.first0 + c.take(lost)
     # entries of order 1 and below
     low1 = np.where(hit1, model.first1 + found, np.where(esc1, model.first1 + len(model.one.id) + has1 - len(model.two.context), zero))
     low2 = np.where(hit1 | ~esc1, -1, zero)
@@ -202,7 +236,7 @@ def _events(model: _Model, a, b, c) -> tuple[np.ndarray, list]:
     entry[lost] = now
     count[lost] += (second >= 0).astype(np.int8) + (third >= 0)
     s, t = np.flatnonzero(second >= 0), np.flatnonzero(third >= 0)
-    return count, [(slice(None), entry), (lost[s], second[s]), (lost[t], third[t])]
+    return count, [(slice(None), entry), (lost.take(s), second.take(s)), (lost.take(t), third.take(t))]
 
 
 def compress(ids: np.ndarray, kinds: int) -> tuple[bytes, np.ndarray]:
@@ -298,8 +332,7 @@ def expand(data: bytes, size: np.ndarray, n: int, kinds: int) -> np.ndarray:
     until[-1] = n - (lanes - 1) * steps
     for a, b in _spans(steps):
         model = _Model(grid, a, kinds)
-        context, unit, follow = model.automaton()
-        interval = model.interval
+        context, unit, entries = model.automaton()
         lane, left = np.arange(lanes), np.minimum(until, b) - a
         now, to = model.context(grid[a].astype(np.int64), grid[a + 1].astype(np.int64)), (a + 2) * lanes + lane
         co, sp, place, stop = code, span, at, end
@@ -313,19 +346,21 @@ def expand(data: bytes, size: np.ndarray, n: int, kinds: int) -> np.ndarray:
                 c = context.take(now)
                 sp >>= (c & 255).view(_U)
                 u = co // sp
-                entry = unit.take((c >> 8) + u.view(np.int64), mode="clip")
-                x, f = interval.take(entry).view(_U), follow.take(entry)
+                c >>= 8
+                c += u.view(np.int64)
+                entry = entries.take(unit.take(c)).view(_U)
+                x, f = entry[::2], entry[1::2].view(np.int64)
                 co -= sp * (x & _MASK)
                 sp *= x >> _U(_FIELD) & _MASK
                 more = (sp < _LEAST).nonzero()[0]
                 while len(more):
                     w, s, p = co.take(more), sp.take(more), place.take(more)
                     w <<= _WORD
-                    w |= np.where(p < stop.take(more), words.take(p, mode="clip"), _U(0))
+                    w |= np.where(p < stop.take(more), words.take(p), _U(0))
                     s <<= _WORD
                     co[more], sp[more], place[more] = w, s, p + 1
                     more = more[s < _LEAST]
-                i = f & ((1 << _ID) - 1)
+                i = (f & ((1 << _ID) - 1)).astype(np.uint32)
                 flat[to] = i
                 to += (i < kinds) * lanes
                 now = f >> _ID

@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .bpe import ragged
-from .common import binary_array, byte_list, new_path, resource, table, text_blocks, text_view, tidy, tune
+from .common import binary_array, byte_list, new_path, release, resource, table, text_blocks, text_view, tidy, tune
 from .idcoder import BLOCK_IDS, from_block, to_block
 from .ranges import bounds, in_ranges
 from .warc import file_system
@@ -95,7 +94,8 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     at = pretokens.starts(data, docs)
     code = binary_array(data, np.append(at, len(data))).dictionary_encode()
     flat, off, place = known.encode(byte_list(code.dictionary), tok.model.tokenize, letters)
-    ids, ends = ragged(flat, off, place[code.indices.to_numpy(zero_copy_only=False)])
+    lists = pa.LargeListArray.from_arrays(pa.array(off), pa.array(flat)).take(pa.array(place.take(code.indices.to_numpy(zero_copy_only=False))))
+    ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
     docs_at = ends[np.searchsorted(at, docs)]
     if whole:
         parts = [np.array(whole[d], np.uint32) if d in whole else ids[docs_at[d] : docs_at[d + 1]] for d in range(len(docs) - 1)]
@@ -144,6 +144,7 @@ def _writer(root: str, path: str, end_id: int, file_ids: int):
         def close():
             nonlocal names, sizes, ids, held, n
             if names:
+                release()  # what encoding held is not there beside the coder's tables
                 data = to_file(names, np.concatenate(sizes), np.concatenate(ids))
                 name = f"part-{part:06d}-{n:05d}.ids"
                 temp = f"{at}/.{name}-{attempt}.tmp"

@@ -36,7 +36,7 @@ def byte_classes(data: np.ndarray) -> np.ndarray:
     points = classes()
     low = np.full(256, OTHER, np.uint8)
     low[:128] = points[:128]
-    kind = low[data]
+    kind = np.frombuffer(bytearray(data.tobytes().translate(low.tobytes())), np.uint8)
     lead = np.flatnonzero(data >= 0xC0)
     if lead.size:
         padded = np.concatenate([data, np.zeros(3, np.uint8)])
@@ -71,14 +71,13 @@ def starts(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
     after[1:] = (of[:-1] == SPACE) & ~first[1:]
     joined = after & (data[run - 1] == 0x20) & (of != SPACE)
     out = np.zeros(n, bool)
-    out[run[~joined]] = True
-    out[run[joined] - 1] = True
+    out[run - joined] = True
     last = run[after & ~joined & (of != SPACE)] - 1
     for _ in range(3):
         last = np.where((data[last] & 0xC0) == 0x80, last - 1, last)
     out[last] = True
-    mark = np.flatnonzero((of == OTHER) & (end - run == 1) & (data[run] == 0x27) & ~joined)
-    mark = mark[mark + 1 < len(run)]
+    mark = np.flatnonzero(of[:-1] == OTHER)
+    mark = mark[(data[run[mark]] == 0x27) & (end[mark] - run[mark] == 1) & ~joined[mark]]
     mark = mark[(of[mark + 1] == LETTER) & ~first[mark + 1]]
     if mark.size:
         at, size = run[mark + 1], end[mark + 1] - run[mark + 1]

@@ -77,6 +77,25 @@ def test_checksums_catch_damage():
     assert caught > 0.8 * len(places)
 
 
+def test_searches_end_at_empty_slots(monkeypatch):
+    """Keys that a table lacks cost little more than one look, and the reader makes tables of contexts alone."""
+    rng, looks, made = np.random.default_rng(6), [], []
+    keys = np.unique(rng.integers(0, 1 << 40, 300_000))
+    places, hashed, make = idcoder._Places(keys), idcoder._Places._hash, idcoder._Places.__init__
+    monkeypatch.setattr(idcoder._Places, "_hash", staticmethod(lambda k, h: looks.append(len(k)) or hashed(k, h)))
+    asked = np.concatenate([keys[::7], rng.integers(1 << 40, 1 << 41, 200_000)])
+    rng.shuffle(asked)
+    at = places.find(asked)
+    inside = asked < 1 << 40
+    assert (keys[at[inside]] == asked[inside]).all() and (at[~inside] == len(keys)).all()
+    assert sum(looks) < 1.8 * len(asked)
+    coded = idcoder.to_block(rng.zipf(1.3, 50_000).astype(np.uint32) % 5000)
+    monkeypatch.setattr(idcoder._Places, "__init__", lambda self, k: made.append(len(k)) or make(self, k))
+    idcoder.from_block(coded)
+    n = idcoder._shape(50_000)[1]
+    assert len(made) == len(list(idcoder._spans(n)))
+
+
 def test_blocks_decode_alone(monkeypatch):
     monkeypatch.setattr(i, "BLOCK_IDS", 1000)
     ids = np.random.default_rng(0).integers(0, 50, 5300).astype(np.uint32)
